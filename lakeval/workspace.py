@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """At most so many rows in a batch for Python, as texts can be long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Workspace:
     """Named Parquet tables of one operator call. ``drop`` frees those the result no longer reads;
     the rest goes when the driver ends."""
@@ -42,15 +49,17 @@ class Workspace:
         self._n = 0
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return it as read back; shuffle files of the phase are let go."""
+    def save(self, df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
+        """Write ``df`` and return it as read back. ``release`` lets the phase's shuffle files go."""
         self._n += 1
         path = f"{self.base}/{name}-{self._n}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._lakeval_path = path
-        self.release()
+        if release:
+            del df
+            self.release()
         return out
 
     def release(self) -> None:
