@@ -1,0 +1,107 @@
+"""From buckets of alike rows to groups of linked ones, without all pairs of a bucket.
+
+``buckets`` says which nodes share a key; any two nodes that may be linked share at least one. First each
+node is compared with the least node of the bucket fellows it meets most often, then with the other
+buckets' least nodes that it isn't yet grouped with. A bucket whose nodes are all of one group is settled,
+as its nodes can't be linked to anything in it that they don't already reach. In what is left, small
+buckets are compared node by node across groups, large ones are cut up by further keys, and those that
+stay large go through pivots: nodes of their smallest groups, each compared with all others. No pair of
+nodes of different groups that share a bucket is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.components import connected_components
+from ..workspace import Workspace
+
+SMALL = 24
+PIVOTS = 8
+REFINED = 2
+
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """(key, node) of the keys that two nodes or more have. Keys are summed up before the shuffle."""
+    ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
+    return buckets.join(ends, "key").select("key", "node")
+
+
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    of = groups.select(F.col("node").alias("n"), "component")
+    return members.join(of, members["node"] == of["n"], "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
+    return members.join(mixed, "key").select("key", "node", "component", "n")
+
+
+def _pair(a: str, b: str) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def link(members: DataFrame, verify: Verify, ws: Workspace, refine: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of the nodes that are linked to another.
+
+    ``members`` has distinct (key, node) of keys with two nodes or more. ``verify`` keeps the pairs (a, b),
+    a < b, that are linked. ``refine(nodes, round)`` gives (node, key) such that linked nodes share a key.
+    """
+    lead = members.groupBy("key").agg(F.min("node").alias("lead"))
+    leads = ws.save(members.join(lead, "key").filter("node != lead").groupBy("lead", "node").agg(F.count("*").alias("n")), "leads")
+    best = leads.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    links = ws.save(verify(best.select(*_pair("node", "lead"))), "links")
+    tested = best.select(*_pair("node", "lead"))
+    groups = ws.save(connected_components(links, ws), "groups")
+    of = groups.select(F.col("node").alias("x"), "component")
+    rest = leads.join(of, leads["node"] == of["x"], "left").drop("x").withColumnRenamed("component", "cn").join(of, leads["lead"] == of["x"], "left")
+    rest = rest.filter(F.coalesce("cn", "node") != F.coalesce("component", "lead")).select(*_pair("node", "lead"))
+    more = ws.save(rest.join(tested, ["a", "b"], "left_anti").distinct(), "rest")
+    if not more.isEmpty():
+        found = ws.save(verify(more), "links")
+        tested = tested.unionAll(more)
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            groups = ws.save(connected_components(links, ws), "groups")
+    left = ws.save(_unsettled(_grouped(members, groups)), "left")
+    step = 0
+    while not left.isEmpty():
+        small = left.filter(f"n <= {SMALL}")
+        a, b = small.alias("x"), small.alias("y")
+        pairs = a.join(b, F.expr("x.key = y.key and x.node < y.node and x.component != y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        large = left.filter(f"n > {SMALL}")
+        if not large.isEmpty():
+            if refine and step < REFINED:
+                finer = refine(large.select("node").distinct(), step + 1).withColumnRenamed("key", "finer")
+                cut = large.join(finer, "node").select(F.xxhash64("key", "finer").alias("key"), "node").distinct()
+                large = ws.save(shared_buckets(ws.save(cut, "cut")), "large")
+                lead = large.groupBy("key").agg(F.min("node").alias("lead"))
+                pairs = pairs.unionAll(large.join(lead, "key").filter("node != lead").select(*_pair("node", "lead")))
+            else:
+                sizes = large.groupBy("key", "component").agg(F.count("*").alias("m"))
+                least = sizes.groupBy("key").agg(F.min_by("component", F.struct("m", "component")).alias("component"))
+                chosen = large.join(least, ["key", "component"]).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("node")), 1, PIVOTS).alias("ps"))
+                chosen = ws.save(chosen.select("key", F.explode("ps").alias("pivot")), "pivots")
+                met = large.join(chosen, "key")
+                own = met.filter("node = pivot").select("key", "pivot", F.col("component").alias("own"))
+                met = met.join(own, ["key", "pivot"]).filter("component != own")
+                pairs = pairs.unionAll(met.select(*_pair("node", "pivot")))
+                large = ws.save(large.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "large")
+        else:
+            large = None
+        pairs = ws.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = ws.save(verify(pairs), "links")
+        tested = tested.unionAll(pairs)
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            groups = ws.save(connected_components(links, ws), "groups")
+        if large is None:
+            break
+        left = ws.save(_unsettled(_grouped(large, groups)), "left")
+        step += 1
+    return groups

@@ -7,6 +7,12 @@ import importlib
 #: Query name to the module that holds its ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE_SQL``.
 MODULES = {
     "op1_byte_bpe": "op1_byte_bpe",
+    "op3_mixing": "op3_mixing",
+    "op4_shingle_join": "op4_shingle_join",
+    "op5_fingerprints": "op5_fingerprints",
+    "op7_vptree_neighbours": "op7_vptree_neighbours",
+    "op8_language_id": "op8_language_id",
+    "op9_url_filters": "op9_url_filters",
 }
 
 
