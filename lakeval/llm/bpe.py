@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..workspace import bound_batches
+
 _ROOT = 0
 _BESIDE = re.compile(r"\s | \s")
 _START = -1
@@ -43,7 +46,7 @@ class LazyTransducer:
 
     ``max_states`` bounds the tables of deterministic states; beyond it they start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -119,17 +122,17 @@ class LazyTransducer:
     # -- deterministic states
 
     def _reset(self) -> None:
-        start = (((_START, _ROOT, ()),), ())
-        self._ids: dict = {start: 0}
-        self._walks: list = [start]
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self._ids: dict = {}
+        self._walks: list = []
+        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._state(((_START, _ROOT, ()),), ())
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, live: tuple, final: tuple[int, ...]) -> int:
+        key = (live, final)
         state = self._ids.get(key)
         if state is None:
             state = self._ids[key] = len(self._walks)
             self._walks.append(key)
-            self._moves.append({})
         return state
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -148,14 +151,17 @@ class LazyTransducer:
                 if self._follows(last, token) if ok is None else ok:
                     final = (*owed, token)
                     live.append((token, _ROOT, final))
-        low, high = min(w[2] for w in live), max(w[2] for w in live)
-        common = 0
-        for x, y in zip(low, high, strict=False):
-            if x != y:
-                break
-            common += 1
-        key = (tuple((a, n, o[common:]) for a, n, o in live), final[common:]) if common else (tuple(live), final)
-        out = self._moves[state][byte] = (self._state(key), low[:common])
+        common: tuple[int, ...] = ()
+        if live[0][2]:  # the oldest walk owes least
+            n, low, high = 0, min(w[2] for w in live), max(w[2] for w in live)
+            for x, y in zip(low, high, strict=False):
+                if x != y:
+                    break
+                n += 1
+            if n:
+                common, final = low[:n], final[n:]
+                live = [(a, b, owed[n:]) for a, b, owed in live]
+        out = self._moves[state << 8 | byte] = (self._state(tuple(live), final), common)
         return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -166,14 +172,14 @@ class LazyTransducer:
         if len(self._walks) > self.max_states:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self._moves
+        state, known = 0, self._moves.get
         for byte in piece:
-            step = moves[state].get(byte)
+            step = known(state << 8 | byte)
             if step is None:
-                if len(moves) > 2 * self.max_states:  # within one very long piece
+                if len(self._walks) > 2 * self.max_states:  # within one very long piece
                     here = self._walks[state]
                     self._reset()
-                    state, moves = self._state(here), self._moves
+                    state, known = self._state(*here), self._moves.get
                 step = self._move(state, byte)
             state, emitted = step
             if emitted:
@@ -205,12 +211,20 @@ class Encoder:
     among white space, a text is first cut before each space that has no white space next to it; no
     pretoken crosses such a cut. Frequent units and pretokens are kept, up to ``most`` of each."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 300_000):
         machine = LazyTransducer(ranks)
         find = regex.compile(pattern).findall
-        self.pieces = _Units(lambda piece: np.array(machine.encode_piece(piece.encode()), "<u4").tobytes(), most)
+
+        def piece_ids(piece: str) -> bytes:
+            return struct.pack(f"<{len(ids := machine.encode_piece(piece.encode()))}I", *ids)
+
+        def unit_ids(unit: str) -> bytes:
+            found = find(unit)
+            return piece_ids(unit) if len(found) == 1 else b"".join(map(piece, found))
+
+        self.pieces = _Units(piece_ids, most // 3)
         piece = self.pieces.__getitem__
-        self.units = _Units(lambda unit: b"".join(map(piece, find(unit))), most)
+        self.units = _Units(unit_ids, most)
         self.cut_spaces = cut_spaces
 
     def encode(self, text: str | None) -> bytes:
@@ -318,6 +332,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     with open(ranks_path, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
     key = ranks_path
+    bound_batches(df.sparkSession)
     schema = _with(df.schema, **{ids: T.BinaryType(), count: T.LongType()})
 
     def run(batches):
@@ -340,6 +355,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str
     with open(ranks_path, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
     key = ranks_path
+    bound_batches(df.sparkSession)
     schema = _with(df.schema, **{decoded: T.BinaryType()})
 
     def run(batches):
