@@ -10,6 +10,7 @@ MODULES = {
     "op3_mixing": "op3_mixing",
     "op4_shingle_join": "op4_shingle_join",
     "op5_fingerprints": "op5_fingerprints",
+    "op6_suffix_dedup": "op6_suffix_dedup",
     "op7_vptree_neighbours": "op7_vptree_neighbours",
     "op8_language_id": "op8_language_id",
     "op9_url_filters": "op9_url_filters",
