@@ -14,6 +14,7 @@ MODULES = {
     "op7_vptree_neighbours": "op7_vptree_neighbours",
     "op8_language_id": "op8_language_id",
     "op9_url_filters": "op9_url_filters",
+    "op10_line_dedup": "op10_line_dedup",
 }
 
 
