@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module that holds its ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE_SQL``.
 MODULES = {
     "op1_byte_bpe": "op1_byte_bpe",
+    "op2_pii_surrogates": "op2_pii_surrogates",
     "op3_mixing": "op3_mixing",
     "op4_shingle_join": "op4_shingle_join",
     "op5_fingerprints": "op5_fingerprints",
