@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,3 +153,22 @@ def mix(rows: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, seed: int =
             return done
         some = out.filter("open").drop("open").withColumn("block", F.expr(f"block div {FAN_IN}"))
         widest, depth = -(-widest // FAN_IN), depth + 1
+
+
+def mixed_rows(docs: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, text: str = "text") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; its columns are those of ``docs``.
+
+    Rows that share doc_id, source and size are dealt their copies in the order of their texts."""
+    cols = docs.columns
+    sized = count_words(docs, text, "size_")
+    sizes = sized.select("doc_id", "source", F.col("size_").alias("size"))
+    taken = mix(sizes, ws, weight_of, cap).filter("copies > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("copies").alias("c_"))
+    taken = ws.save(taken, "taken")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        out = docs.join(taken, F.col("doc_id") == F.col("d_"))
+    else:
+        own = Window.partitionBy("doc_id", "source", "size_").orderBy(text)
+        other = Window.partitionBy("d_", "s_", "z_").orderBy(F.desc("c_"))
+        out = sized.withColumn("n_", F.row_number().over(own)).join(taken.withColumn("m_", F.row_number().over(other)), F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("z_")) & (F.col("n_") == F.col("m_")))
+    return out.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("c_"))).alias("copy_")).select(*cols)
