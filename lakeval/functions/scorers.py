@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .text import normalized, strip, words
 
@@ -88,17 +90,25 @@ def token_f1(text: Column, reference: Column) -> Column:
     return F.when(total > 0, 2.0 * overlap / total).otherwise(F.lit(0.0))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, a row of the table at a time."""
-
-    def row(state: Column, x: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            up, diagonal, left = F.get(state, i + 1), F.get(state, i), F.element_at(acc, -1)
-            return F.concat(acc, F.array(F.when(F.get(b, i) == x, diagonal + 1).otherwise(F.greatest(up, left))))
-
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+@pandas_udf("int")
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays: bit-parallel, a word of the first array's
+    length for each element of the second. A null array has length 0 in common with any."""
+
+    def one(x, y) -> int:
+        if x is None or y is None or not len(x):
+            return 0
+        at: dict = {}
+        for i, w in enumerate(x):
+            at[w] = at.get(w, 0) | 1 << i
+        full = (1 << len(x)) - 1
+        v = full
+        for w in y:
+            u = v & at.get(w, 0)
+            v = (v + u | v - u) & full
+        return len(x) - v.bit_count()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def rouge_l(text: Column, reference: Column) -> Column:

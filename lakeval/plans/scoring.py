@@ -1 +1,191 @@
-"""Queries to come."""
+"""Row scorers, run comparison and judge summaries, over answers derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scorers
+from ..operators import evaluate
+from .examples import norm
+from .registry import register
+
+_WORDS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def words(c: str) -> str:
+    return _WORDS.format(norm(c))
+
+
+_ANSWERS = """a AS (SELECT event_id AS id, event_type AS gold, CASE event_id % 5 WHEN 0 THEN '  ' || upper(event_type) || ' ' WHEN 1 THEN 'click' WHEN 2 THEN event_type WHEN 3 THEN 'none of these' ELSE NULL END AS text FROM events)"""
+
+
+def _answers(t):
+    text = F.expr("case event_id % 5 when 0 then '  ' || upper(event_type) || ' ' when 1 then 'click' when 2 then event_type when 3 then 'none of these' end")
+    return t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("gold"), text.alias("text"))
+
+
+@register(f"WITH {_ANSWERS} SELECT id, CASE WHEN text IS NULL THEN NULL WHEN trim(text) = gold OR trim(text) = 'click' THEN 1.0 ELSE 0.0 END AS score FROM a")
+def exact_match(spark, t):
+    """The answer is one of the options."""
+    return _answers(t).select("id", scorers.exact_match(F.col("text"), F.array("gold", F.lit("click"))).alias("score"))
+
+
+@register("SELECT doc_id, CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'and') THEN 1.0 ELSE 0.0 END AS score FROM documents WHERE text IS NOT NULL")
+def contains_metric(spark, t):
+    """All needles are in the text."""
+    return t("documents").filter("text is not null").select("doc_id", scorers.contains_all(F.col("text"), F.array(F.lit("The"), F.lit("AND"))).alias("score"))
+
+
+@register("SELECT doc_id, CASE WHEN regexp_matches(text, '\\d{3}\\) 555-\\d{4}|token = \"[0-9a-f]+\"') THEN 1.0 ELSE 0.0 END AS score FROM documents WHERE text IS NOT NULL")
+def regex_metric(spark, t):
+    """The pattern is found."""
+    pattern = F.lit(r'\d{3}\) 555-\d{4}|token = "[0-9a-f]+"')
+    return t("documents").filter("text is not null").select("doc_id", scorers.regex_found(F.col("text"), pattern).alias("score"))
+
+
+@register("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'It is ' || props || ' then' ELSE 'nothing' END AS text, props FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0 WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = event_id % 100 THEN 1.0 ELSE 0.0 END AS score FROM a""")
+def json_field(spark, t):
+    """A field of loosely parsed JSON equals what is wanted."""
+    text = F.expr("case event_id % 4 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then 'It is ' || props || ' then' else 'nothing' end")
+    return t("events").select("event_id", scorers.json_field(text, "k", (F.col("event_id") % 100).cast("string")).alias("score"))
+
+
+@register(f"""WITH {_ANSWERS}, p AS (SELECT id, gold, text IS NULL AS failed, CASE WHEN {norm('text')} IN ('view','signup','click','error','purchase') THEN {norm('text')} END AS pred FROM a),
+h AS (SELECT gold AS c, count(*) AS n, count(*) FILTER (WHERE pred = gold) AS tp FROM p GROUP BY gold), k AS (SELECT pred AS c, count(*) AS called FROM p WHERE pred IS NOT NULL GROUP BY pred),
+m AS (SELECT round(avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (n + coalesce(called, 0)) ELSE 0 END), 9) AS macro_f1, count(*) AS classes FROM h LEFT JOIN k USING (c))
+SELECT count(*) AS n_rows, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(*) FILTER (WHERE pred IS NULL AND NOT failed) AS invalid, count(*) FILTER (WHERE failed) AS failed, any_value(macro_f1) AS macro_f1, any_value(classes) AS classes FROM p, m""")
+def class_metrics(spark, t):
+    """Accuracy and macro F1, failed and invalid answers in the denominators."""
+    pred, _ = scorers.score_class(F.col("text"), F.col("gold"), ["view", "signup", "click", "error", "purchase"])
+    return evaluate.class_metrics(_answers(t).withColumn("pred", pred).withColumn("failed", F.col("text").isNull()))
+
+
+_RUNS = """r AS (SELECT event_type AS run, event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value) % 2 END AS score, value AS latency, length(props) AS tokens FROM events)"""
+
+
+def _runs(t):
+    score = F.when(F.col("event_id") % 7 != 0, F.round("value") % 2)
+    return t("events").select(F.col("event_type").alias("run"), "event_id", "user_id", score.alias("score"), F.col("value").alias("latency"), F.length("props").alias("tokens"))
+
+
+@register(f"WITH {_RUNS} SELECT run, count(*) AS n_rows, round(avg(score), 9) AS mean_score, count(*) FILTER (WHERE score IS NULL) AS unscored, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, sum(tokens) AS tokens FROM r GROUP BY run")
+def eval_table(spark, t):
+    """Mean score, unscored rows, latency percentiles and tokens of each run."""
+    return evaluate.eval_table(_runs(t))
+
+
+@register("""WITH r AS (SELECT user_id AS id, event_type AS model, min(CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value) % 2 END) AS score, min(props) AS text FROM events GROUP BY 1, 2),
+g AS (SELECT id, model FROM (SELECT DISTINCT id FROM r), (VALUES ('view'), ('click'), ('error')) m(model)),
+f AS (SELECT g.id, g.model, score, text FROM g LEFT JOIN r USING (id, model)),
+p AS (SELECT id, count(DISTINCT coalesce(CAST(score AS VARCHAR), 'none')) AS s, count(DISTINCT coalesce(text, '')) AS x, count(score) AS present FROM f GROUP BY id)
+SELECT id, CASE WHEN s > 1 THEN 'score' ELSE 'text' END AS by, present FROM p WHERE s > 1 OR x > 1""")
+def disagreements(spark, t):
+    """Rows on which models differ in score, or else in text."""
+    score = F.when(F.col("event_id") % 7 != 0, F.round("value") % 2)
+    runs = t("events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("model")).agg(F.min(score).alias("score"), F.min("props").alias("text"))
+    return evaluate.disagreements(runs, ["view", "click", "error"])
+
+
+@register("""WITH x AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'view') % 2 = 0 AS was, count(*) FILTER (WHERE event_type = 'click') % 2 = 0 AS now FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'view') > 0 AND count(*) FILTER (WHERE event_type = 'click') > 0)
+SELECT id, CASE WHEN now THEN 'improvement' ELSE 'regression' END AS change FROM x WHERE was <> now""")
+def model_diff(spark, t):
+    """Improvements and regressions between two runs."""
+    side = lambda kind: t("events").filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("id")).agg((F.count("*") % 2 == 0).alias("correct"))
+    return evaluate.run_differences(side("view"), side("click"))
+
+
+@register(f"""WITH p AS (SELECT a.conv_id, a.turn, {words('a.text')} AS x, {words('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+o AS (SELECT conv_id, turn, x, y, list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) AS o FROM p)
+SELECT conv_id, turn, round(CASE WHEN len(x) + len(y) > 0 THEN 2.0::DOUBLE * coalesce(o, 0) / (len(x) + len(y)) ELSE 0 END, 9) AS f1, x = y AS same FROM o""")
+def token_f1(spark, t):
+    """Word overlap of each question with its answer."""
+    pairs = _turns(t)
+    return pairs.select("conv_id", "turn", F.round(scorers.token_f1(F.col("q"), F.col("a")), 9).alias("f1"), (scorers.words(F.col("q")) == scorers.words(F.col("a"))).alias("same"))
+
+
+def _turns(t):
+    c = t("conversations").select("conv_id", "turn", "role", "text")
+    q, a = c.filter("role = 'user'").alias("q"), c.filter("role = 'assistant'").alias("a")
+    return q.join(a, F.expr("q.conv_id = a.conv_id and a.turn = q.turn + 1")).select(F.col("q.conv_id").alias("conv_id"), F.col("q.turn").alias("turn"), F.col("q.text").alias("q"), F.col("a.text").alias("a"))
+
+
+@register()
+def rouge_l(spark, t):
+    """Longest common word subsequence of each question and its answer, as an F score."""
+    return _turns(t).select("conv_id", "turn", F.round(scorers.rouge_l(F.col("q"), F.col("a")), 9).alias("f"))
+
+
+@register(f"""WITH p AS (SELECT a.conv_id, a.turn, {words('a.text')} AS x, {words('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
+SELECT count(*) AS n, sum(len(x)) AS output_words, sum(len(y)) AS reference_words, count(*) FILTER (WHERE x = y) AS exact FROM p""")
+def open_metrics(spark, t):
+    """Lengths and exact matches of open answers."""
+    x, y = scorers.words(F.col("q")), scorers.words(F.col("a"))
+    return _turns(t).agg(F.count("*").alias("n"), F.sum(F.size(x)).alias("output_words"), F.sum(F.size(y)).alias("reference_words"), F.count_if(x == y).alias("exact"))
+
+
+@register("""WITH r AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'Rationale: good. Score: 5' WHEN 1 THEN 'Score: 2 at first. Score: 4' WHEN 2 THEN 'score: 3' WHEN 3 THEN 'no idea' WHEN 4 THEN NULL ELSE 'Score: 1' END AS reply FROM benchmark),
+s AS (SELECT item_id, CAST(CASE item_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 5 THEN 1 END AS INTEGER) AS score FROM r)
+SELECT item_id % 2 AS model, round(avg(score), 9) AS mean, count(*) FILTER (WHERE score IS NULL) AS unscored, count(*) FILTER (WHERE score = 1) AS s1, count(*) FILTER (WHERE score = 2) AS s2, count(*) FILTER (WHERE score = 3) AS s3, count(*) FILTER (WHERE score = 4) AS s4, count(*) FILTER (WHERE score = 5) AS s5 FROM s GROUP BY 1""")
+def pointwise(spark, t):
+    """Judge scores from 1 to 5, the last one in a reply."""
+    reply = F.expr("case item_id % 6 when 0 then 'Rationale: good. Score: 5' when 1 then 'Score: 2 at first. Score: 4' when 2 then 'score: 3' when 3 then 'no idea' when 4 then null else 'Score: 1' end")
+    return evaluate.pointwise_summary(t("benchmark").select((F.col("item_id") % 2).alias("model"), scorers.pointwise_score(reply).alias("score")), "model")
+
+
+@register("""WITH p AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' END AS pick_1, CASE item_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' END AS pick_2 FROM benchmark),
+m AS (SELECT *, CASE pick_1 WHEN 'A' THEN 'new' WHEN 'B' THEN 'old' WHEN 'tie' THEN 'tie' END AS one, CASE pick_2 WHEN 'A' THEN 'old' WHEN 'B' THEN 'new' END AS two FROM p),
+v AS (SELECT *, CASE WHEN one IS NULL OR two IS NULL THEN NULL WHEN one = two THEN one ELSE 'tie' END AS verdict, one <> two AS disagreed FROM m)
+SELECT 'new-old' AS pair, count(*) FILTER (WHERE verdict = 'new') AS wins, count(*) FILTER (WHERE verdict = 'tie') AS ties, count(*) FILTER (WHERE verdict = 'old') AS losses, count(*) FILTER (WHERE verdict IS NULL) AS unscored,
+round(count(*) FILTER (WHERE disagreed) / nullif(count(verdict), 0), 9) AS disagreement, round((count(*) FILTER (WHERE pick_1 = 'A') + count(*) FILTER (WHERE pick_2 = 'A')) / nullif(count(pick_1) + count(pick_2), 0), 9) AS first_pick_rate FROM v""")
+def pairwise(spark, t):
+    """Verdicts of both presentation orders, and how often the first place wins."""
+    one = F.expr("case item_id % 4 when 0 then 'Better: B. No, better: A' when 1 then 'Better: B' when 2 then 'better: tie' else 'unsure' end")
+    two = F.expr("case item_id % 3 when 0 then 'Better: B' when 1 then 'Better: A' end")
+    rows = t("benchmark").select(scorers.pairwise_pick(one).alias("pick_1"), scorers.pairwise_pick(two).alias("pick_2")).withColumns({"first": F.lit("new"), "second": F.lit("old"), "pair": F.lit("new-old")})
+    verdict, disagreed = scorers.combined_orders(scorers.to_model(F.col("pick_1"), F.col("first"), F.col("second")), scorers.to_model(F.col("pick_2"), F.col("second"), F.col("first")))
+    return evaluate.pairwise_summary(rows.withColumn("verdict", verdict).withColumn("disagreed", disagreed), "pair")
+
+
+@register("""WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'one two three four five six' ELSE 'Not There' END AS reference, 'the ' || event_type || ' came' AS output, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 5 + 1 END AS score FROM events),
+c AS (SELECT score >= 4 AS high, event_id % 3 = 0 AS match FROM r WHERE event_id % 3 <> 1 AND score IS NOT NULL)
+SELECT count(*) FILTER (WHERE high AND match) AS both, count(*) FILTER (WHERE high AND NOT match) AS judge_only, count(*) FILTER (WHERE NOT high AND match) AS match_only, count(*) FILTER (WHERE NOT high AND NOT match) AS neither, count(*) AS n, round(count(*) FILTER (WHERE high = match) / count(*), 9) AS agreement FROM c""")
+def calibration(spark, t):
+    """Judge scores against word-for-word matches."""
+    reference = F.expr("case event_id % 3 when 0 then event_type when 1 then 'one two three four five six' else 'Not There' end")
+    output = F.concat(F.lit("the "), "event_type", F.lit(" came"))
+    score = F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 5 + 1)
+    return evaluate.calibration(t("events").select(scorers.checkable(reference).alias("checkable"), scorers.reference_in_output(reference, output).alias("match"), score.alias("score")))
+
+
+@register("""SELECT item_id, CASE item_id % 5 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN NULL ELSE 0.5 END AS score FROM benchmark""")
+def judge_unit_score(spark, t):
+    """The first number from 0 to 1 in a reply."""
+    reply = F.expr("case item_id % 5 when 0 then 'I say 0.75 or 0.9' when 1 then '15 of 20: 1.0' when 2 then '0' when 3 then '27 and 3.5' else 'about 0.5.' end")
+    return t("benchmark").select("item_id", scorers.unit_score(reply).alias("score"))
+
+
+_LOGITS = """x AS (SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS l, generate_subscripts(embedding, 1) - 1 AS tok FROM embeddings WHERE len(embedding) > 0),
+z AS (SELECT vec_id, tok, l - (max(l) OVER w + ln(sum(exp(l - m)) OVER w)) AS lp FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS m FROM x) WINDOW w AS (PARTITION BY vec_id))"""
+
+
+@register(f"WITH {_LOGITS} SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(lp, 9) DESC, tok) AS rank, CAST(tok AS INTEGER) AS token, round(lp, 6) AS logprob FROM z QUALIFY rank <= 5")
+def topk_logprobs(spark, t):
+    """The five likeliest tokens of each vector of logits."""
+    x = t("embeddings").filter("size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
+    top = F.array_max("l")
+    norm_ = top + F.log(F.aggregate("l", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("l"))))
+    lps = F.transform("l", lambda v, i: F.struct((-F.round(v - norm_, 9)).alias("s"), i.alias("token"), (v - norm_).alias("lp")))
+    best = F.slice(F.array_sort(lps), 1, 5)
+    rows = x.select("vec_id", F.posexplode(best).alias("r", "p"))
+    return rows.select("vec_id", (F.col("r") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.lp", 6).alias("logprob"))
+
+
+@register(f"WITH {_LOGITS} SELECT vec_id, round(sum(lp), 6) AS total, round(avg(lp), 6) AS mean, round(exp(-avg(lp)), 6) AS perplexity FROM z GROUP BY vec_id")
+def sequence_score(spark, t):
+    """Sum, mean and perplexity of the log-probabilities of each vector."""
+    x = t("embeddings").filter("size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
+    norm_ = F.array_max("l") + F.log(F.aggregate("l", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("l"))))
+    total = F.aggregate("l", F.lit(0.0), lambda s, v: s + (v - norm_))
+    mean = total / F.size("l")
+    return x.select("vec_id", F.round(total, 6).alias("total"), F.round(mean, 6).alias("mean"), F.round(F.exp(-mean), 6).alias("perplexity"))
