@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,11 +51,22 @@ class Workspace:
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
-        """Write ``df`` and return it as read back. ``release`` lets the phase's shuffle files go."""
+        """Write ``df`` and return it as read back.
+
+        The write's shuffle files go when it ends, as nothing reads them again: the table stands for them.
+        ``release`` also has the driver forget what earlier plans left."""
         self._n += 1
         path = f"{self.base}/{name}-{self._n}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._lakeval_path = path
         if release:
