@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .text import normalized, strip, words
@@ -90,7 +91,7 @@ def token_f1(text: Column, reference: Column) -> Column:
     return F.when(total > 0, 2.0 * overlap / total).otherwise(F.lit(0.0))
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays: bit-parallel, a word of the first array's
     length for each element of the second. A null array has length 0 in common with any."""

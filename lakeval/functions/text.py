@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: What counts as a word character, and the order of characters that case folding widens.
@@ -24,7 +25,7 @@ def normalized(c: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normalized_any(c: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, ends trimmed, full case folding; null stays null."""
     return c.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
