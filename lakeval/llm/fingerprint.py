@@ -44,7 +44,8 @@ def fingerprints(df: DataFrame, key: str, texts: Sequence[str], ws: Workspace, k
     no group of copies meets in one task.
     """
     names = [f"{c}_h" for c in texts]
-    hashed = ws.save(df.select(F.col(key), *keep, *(wide_hash(canonical(F.col(c))).alias(n) for c, n in zip(texts, names, strict=True))), "hashes", release=True)
+    forms = df.select(F.col(key), *keep, *(canonical(F.col(c)).alias(n) for c, n in zip(texts, names, strict=True)))  # a step of its own, so each is made once
+    hashed = ws.save(forms.withColumns({n: wide_hash(F.col(n)) for n in names}), "hashes", release=True)
     each = hashed.select(key, F.explode(F.array(*names)).alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     members = each.join(shared, "h", "left_semi").select(key).filter(F.col(key).isNotNull()).distinct()
