@@ -46,7 +46,7 @@ class LazyTransducer:
 
     ``max_states`` bounds the tables of deterministic states; beyond it they start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 350_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -189,17 +189,21 @@ class LazyTransducer:
 
 
 class _Units(dict):
-    """Text units to their packed ids, made when first asked for; of a bounded number."""
+    """Text units to their packed ids, made when first asked for. Two generations of up to ``most`` are
+    kept: when the young one is full it becomes the old one, and units still in use come back from it."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.make(unit)
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.make(unit)
         if len(unit) <= 48:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
             self[unit] = ids
         return ids
 
@@ -211,7 +215,7 @@ class Encoder:
     among white space, a text is first cut before each space that has no white space next to it; no
     pretoken crosses such a cut. Frequent units and pretokens are kept, up to ``most`` of each."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 240_000):
         machine = LazyTransducer(ranks)
         find = regex.compile(pattern).findall
 

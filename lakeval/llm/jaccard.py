@@ -181,6 +181,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+BLOCK_ROWS = 512
+
+
+def _linked_in_block(ids: list[int], groups: list[int], texts: list[str], words: int, p: int, q: int) -> list[tuple[int, int]]:
+    """Links that connect all linked documents of a block that aren't of one group already.
+
+    Sizes of all intersections come from one product of the matrix of documents by shingles that two or
+    more of them have; it is made in slices of shingles."""
+    sets = [shingles(t, words) for t in texts]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1, np.int64)
+    place[shared] = np.arange(len(shared))
+    keep = place[column] >= 0
+    rows, column = rows[keep], place[column][keep]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, len(shared), 8192):
+        here = (column >= low) & (column < low + 8192)
+        m = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
+        m[rows[here], column[here] - low] = 1
+        both += m @ m.T
+    near = q * both >= p * (sizes[:, None] + sizes[None, :] - both)
+    up = {g: g for g in groups}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        a, b = root(groups[x]), root(groups[y])
+        if a != b:
+            up[a] = b
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return out
+
+
+def _block_links(crowd: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """Links within crowds, from blocks of documents of like size against each other.
+
+    Size classes are a factor of the square root of the threshold apart, so linked documents are at most
+    three classes apart; a class is cut into blocks of about BLOCK_ROWS / 2 by id."""
+    step = float(np.log(q / p) / 2) or 1.0
+    rows = crowd.join(sizes.withColumnRenamed("node", "z"), F.col("node") == F.col("z")).withColumn("class", F.floor(F.log("n_shingles") / step).cast("int"))
+    cut = rows.groupBy("crowd", "class").agg(F.ceil(F.count("*") / (BLOCK_ROWS / 2)).cast("int").alias("blocks"))
+    rows = rows.join(cut, ["crowd", "class"]).withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))"))
+    others = cut.select("crowd", F.col("class").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
+    pairs = rows.join(others, "crowd").filter("abs(class - c2) <= 3")
+    mine, other = F.struct("class", "block"), F.struct(F.col("c2").alias("class"), F.col("b2").alias("block"))
+    pairs = pairs.select("crowd", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), "node", "component")
+    pairs = pairs.join(texts.select(F.col("doc_id").alias("t"), "text"), F.col("node") == F.col("t")).select("crowd", "x", "y", "node", "component", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        found = _linked_in_block(t.column("node").to_pylist(), t.column("component").to_pylist(), t.column("text").to_pylist(), words, p, q)
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return pairs.groupBy("crowd", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def join(docs: DataFrame, ws: Workspace, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; others are ignored).
 
@@ -208,9 +272,11 @@ def join(docs: DataFrame, ws: Workspace, words: int = 5, p: int = 80, q: int = 1
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, texts, words, p, q)
 
-    def refine(some: DataFrame, seed: int) -> DataFrame:
-        return sketch_keys(texts.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), words, p, q, seed)
+    of_size = known.join(classes, "digest").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+
+    def blocks(crowd: DataFrame) -> DataFrame:
+        return _block_links(crowd, texts, of_size, words, p, q)
 
-    groups = link(members, verify, ws, refine)
+    groups = link(members, verify, ws, blocks)
     labels = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return known.join(labels, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

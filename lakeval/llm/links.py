@@ -4,7 +4,7 @@
 node is compared with the least node of the bucket fellows it meets most often, then with the other
 buckets' least nodes that it isn't yet grouped with. A bucket whose nodes are all of one group is settled,
 as its nodes can't be linked to anything in it that they don't already reach. In what is left, small
-buckets are compared node by node across groups, large ones are cut up by further keys, and those that
+buckets are compared node by node across groups. Large ones are merged to crowds where they overlap,
 stay large go through pivots: nodes of their smallest groups, each compared with all others. No pair of
 nodes of different groups that share a bucket is left out.
 """
@@ -21,7 +21,6 @@ from ..workspace import Workspace
 
 SMALL = 24
 PIVOTS = 8
-REFINED = 2
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -46,11 +45,12 @@ def _pair(a: str, b: str) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def link(members: DataFrame, verify: Verify, ws: Workspace, refine: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def link(members: DataFrame, verify: Verify, ws: Workspace, blocks: Verify | None = None) -> DataFrame:
     """(node, component) of the nodes that are linked to another.
 
     ``members`` has distinct (key, node) of keys with two nodes or more. ``verify`` keeps the pairs (a, b),
-    a < b, that are linked. ``refine(nodes, round)`` gives (node, key) such that linked nodes share a key.
+    a < b, that are linked. ``blocks``, if given, takes (crowd, node, component) and gives links that
+    connect all linked nodes of a crowd; else pairs of a crowd are verified through pivots.
     """
     lead = members.groupBy("key").agg(F.min("node").alias("lead"))
     leads = ws.save(members.join(lead, "key").filter("node != lead").groupBy("lead", "node").agg(F.count("*").alias("n")), "leads")
@@ -69,33 +69,31 @@ def link(members: DataFrame, verify: Verify, ws: Workspace, refine: Callable[[Da
             links = links.unionAll(found)
             groups = ws.save(connected_components(links, ws), "groups")
     left = ws.save(_unsettled(_grouped(members, groups)), "left")
-    step = 0
     while not left.isEmpty():
         small = left.filter(f"n <= {SMALL}")
         a, b = small.alias("x"), small.alias("y")
         pairs = a.join(b, F.expr("x.key = y.key and x.node < y.node and x.component != y.component")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        large = left.filter(f"n > {SMALL}")
-        if not large.isEmpty():
-            if refine and step < REFINED:
-                finer = refine(large.select("node").distinct(), step + 1).withColumnRenamed("key", "finer")
-                cut = large.join(finer, "node").select(F.xxhash64("key", "finer").alias("key"), "node").distinct()
-                large = ws.save(shared_buckets(ws.save(cut, "cut")), "large")
-                lead = large.groupBy("key").agg(F.min("node").alias("lead"))
-                pairs = pairs.unionAll(large.join(lead, "key").filter("node != lead").select(*_pair("node", "lead")))
-            else:
-                sizes = large.groupBy("key", "component").agg(F.count("*").alias("m"))
-                least = sizes.groupBy("key").agg(F.min_by("component", F.struct("m", "component")).alias("component"))
-                chosen = large.join(least, ["key", "component"]).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("node")), 1, PIVOTS).alias("ps"))
-                chosen = ws.save(chosen.select("key", F.explode("ps").alias("pivot")), "pivots")
-                met = large.join(chosen, "key")
-                own = met.filter("node = pivot").select("key", "pivot", F.col("component").alias("own"))
-                met = met.join(own, ["key", "pivot"]).filter("component != own")
-                pairs = pairs.unionAll(met.select(*_pair("node", "pivot")))
-                large = ws.save(large.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "large")
-        else:
+        large, crowd = left.filter(f"n > {SMALL}"), None
+        if large.isEmpty():
+            large = None
+        elif blocks:
+            star = large.join(large.groupBy("key").agg(F.min("node").alias("lead")), "key").filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+            crowds = connected_components(star, ws).select(F.col("node").alias("x"), F.col("component").alias("crowd"))
+            crowd = large.select("node", "component").distinct().join(crowds, F.col("node") == F.col("x")).select("crowd", "node", "component")
             large = None
+        else:
+            sizes = large.groupBy("key", "component").agg(F.count("*").alias("m"))
+            least = sizes.groupBy("key").agg(F.min_by("component", F.struct("m", "component")).alias("component"))
+            chosen = large.join(least, ["key", "component"]).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("node")), 1, PIVOTS).alias("ps"))
+            chosen = ws.save(chosen.select("key", F.explode("ps").alias("pivot")), "pivots")
+            met = large.join(chosen, "key")
+            own = met.filter("node = pivot").select("key", "pivot", F.col("component").alias("own"))
+            met = met.join(own, ["key", "pivot"]).filter("component != own")
+            pairs = pairs.unionAll(met.select(*_pair("node", "pivot")))
+            large = ws.save(large.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "large")
         pairs = ws.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = ws.save(verify(pairs), "links")
+        found = verify(pairs)
+        found = ws.save(found.unionAll(blocks(crowd)) if crowd is not None else found, "links")
         tested = tested.unionAll(pairs)
         if not found.isEmpty():
             links = links.unionAll(found)
@@ -103,5 +101,4 @@ def link(members: DataFrame, verify: Verify, ws: Workspace, refine: Callable[[Da
         if large is None:
             break
         left = ws.save(_unsettled(_grouped(large, groups)), "left")
-        step += 1
     return groups

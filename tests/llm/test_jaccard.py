@@ -48,11 +48,11 @@ def test_components_equal_brute_force(spark, docs, corpus, words, p):
 
 
 def test_large_buckets_of_unlinked_documents(spark, docs, monkeypatch):
-    """Many documents that share most of their text but aren't linked go through refining and pivots."""
+    """Many documents that share most of their text but aren't linked are compared in blocks."""
     from lakeval.llm import links
 
     monkeypatch.setattr(links, "SMALL", 3)
-    monkeypatch.setattr(links, "REFINED", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 6)
     rng = random.Random(9)
     shared = prose(rng, 60, 5000)
     rows = []
