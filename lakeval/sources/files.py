@@ -16,7 +16,8 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Records are (file, row, values): row is the 1-based data row, values a map by column. Quotes may hold
     delimiters and line ends. Blank rows are skipped. Issues are (file, row, problem): a row with another
-    number of fields, a repeated column, an empty file, bytes that aren't UTF-8. A file is parsed by one
+    number of fields, a repeated column, no header, bytes that aren't UTF-8. (Spark does not list files of
+    no bytes at all.) A file is parsed by one
     task, as row numbers need; many files are parsed in parallel."""
 
     def run(batches):

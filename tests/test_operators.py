@@ -102,7 +102,7 @@ def test_csv_with_rejects(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label\n"one, ""two""\nthree",x\n\nbad\n four ,y\n', encoding="utf-8")
     (tmp_path / "b.csv").write_bytes(b"text,label\n\xff\xfe,x\n")
     (tmp_path / "c.csv").write_text("a,a\n1,2\n")
-    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "d.csv").write_text("\n")
     good, bad = files.read_table(spark, str(tmp_path))
     assert sorted((r["row"], r["values"]["text"]) for r in good.collect()) == [(1, 'one, "two"\nthree'), (3, " four ")]
     assert sorted((r["file"][-5:], r["row"]) for r in bad.collect()) == [("a.csv", 2), ("b.csv", 0), ("c.csv", 0), ("d.csv", 0)]
