@@ -26,35 +26,38 @@ def line_form(line: Column) -> Column:
     return F.btrim(line, F.lit(_WHITE))
 
 
+def _with(values: dict[str, Column], use) -> Column:
+    """``use`` of the values, each worked out once a row however often it is used."""
+    held = F.array(F.struct(*(c.alias(n) for n, c in values.items())))
+    return F.get(F.transform(held, lambda s: use(*(s[n] for n in values))), F.lit(0))
+
+
 def segment_keys(form: Column, tau: int) -> Column:
-    """Array of the keys of a line; it needs more than ``2 * tau + 1`` characters."""
-    n = F.length(form)
-    keys = []
-    for shorter in range(tau + 1):  # the segments are those of lines so much shorter
+    """Array of the keys of a line; it needs more than ``2 * tau + 1`` characters, so that every probe lies
+    within the line."""
+
+    def of_length(f: Column, n: Column, shorter: int) -> Column:
+        """Keys into the segments of lines so much shorter; the last segments take what is over."""
         m = n - shorter
-        base, extra = F.floor(m / (tau + 1)).cast("int"), (m % (tau + 1)).cast("int")
-        for i in range(tau + 1):
-            size = base + F.when(F.lit(i) >= F.lit(tau + 1) - extra, 1).otherwise(0)
-            start = base * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(tau + 1) - extra))
-            low, high = max(-i, shorter - (tau - i)), min(i, shorter + (tau - i))
-            for shift in range(low, high + 1):
-                part = F.substring(form, start + 1 + shift, size)
-                at = start + shift
-                inside = (at >= 0) & (at + size <= n)
-                keys.append(F.when(inside, F.xxhash64(part, m, F.lit(i))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+        base, extra = F.call_function("div", m, F.lit(tau + 1)).cast("int"), m % (tau + 1)
+        size = {f"z{i}": base + (extra >= tau + 1 - i).cast("int") for i in range(tau + 1)}
+        start = {f"s{i}": base * i + F.greatest(F.lit(0), extra - (tau + 1 - i)) for i in range(tau + 1)}
+
+        def probes(g: Column, k: Column, *at: Column) -> Column:
+            keys = []
+            for i in range(tau + 1):
+                for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
+                    keys.append(F.xxhash64(F.substring(g, at[i] + (1 + shift), at[tau + 1 + i]), k, F.lit(i)))
+            return F.array(*keys)
+
+        return _with({"f": f, "m": m, **start, **size}, probes)
+
+    return F.array_distinct(_with({"f": form, "n": F.length(form)}, lambda f, n: F.concat(*(of_length(f, n, x) for x in range(tau + 1)))))
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
     """Whether the edit distance of two strings (in code points) is at most ``tau``."""
     full = (1 << (2 * tau + 1)) - 1
-    one, two = F.split(a, ""), F.split(b, "")
-
-    def equal_at(c: Column, j: Column) -> Column:
-        out = F.lit(0)
-        for k in range(-tau, tau + 1):
-            out = out + F.when(F.get(one, j + k) == c, 1 << (k + tau)).otherwise(0)
-        return out
 
     def step(state: Column, match: Column) -> Column:
         new: list[Column] = []
@@ -68,7 +71,17 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
         return F.struct(*(w.alias(f"e{e}") for e, w in enumerate(new)))
 
     begin = F.struct(*(F.lit(((1 << (e + 1)) - 1) << tau & full).alias(f"e{e}") for e in range(tau + 1)))
-    last = F.aggregate(F.transform(two, equal_at), begin, step, lambda s: s.getField(f"e{tau}"))
+
+    def run(one: Column, two: Column) -> Column:
+        def equal_at(c: Column, j: Column) -> Column:
+            out = F.lit(0)
+            for k in range(-tau, tau + 1):
+                out = out + F.when(F.get(one, j + k) == c, 1 << (k + tau)).otherwise(0)
+            return out
+
+        return F.aggregate(F.transform(two, equal_at), begin, step, lambda s: s.getField(f"e{tau}"))
+
+    last = _with({"x": F.split(a, ""), "y": F.split(b, "")}, run)
     gap = F.length(a) - F.length(b)
     return F.when(F.abs(gap) > tau, False).when(F.length(b) == 0, True).otherwise(F.call_function("shiftright", last, gap + tau).bitwiseAND(F.lit(1)) == 1)
 
@@ -88,10 +101,9 @@ def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: in
     if min_chars <= 2 * tau + 1:
         raise ValueError("lines must be longer than twice the threshold and one")
     lines = _lines(docs, min_chars)
-    places = ws.save(lines.select("node", "doc_id", "pos"), "places")
+    places = ws.save(lines.select("node", "doc_id", "pos", segment_keys(F.col("form"), tau).alias("keys")), "places")
     firsts = ws.save(places.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.min_by("pos", F.struct("doc_id", "pos")).alias("at")), "firsts")
-    keyed = lines.select(F.explode(segment_keys(F.col("form"), tau)).alias("key"), "node")
-    members = ws.save(shared_buckets(keyed).distinct(), "members", release=True)
+    members = ws.save(shared_buckets(places.select(F.explode("keys").alias("key"), "node"), ws).distinct(), "members", release=True)
     wanted = members.select("node").distinct()
     texts = ws.save(lines.select("node", "form").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("form").alias("form")), "texts", release=True)
     a = texts.select(F.col("node").alias("a"), F.col("form").alias("fa"))
@@ -104,7 +116,7 @@ def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: in
     grouped = firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = grouped.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("head"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     heads = ws.save(grouped.join(heads, "component").select("node", F.col("head.doc").alias("doc"), F.col("head.at").alias("at")), "heads")
-    return places.join(heads, "node").filter("doc_id > doc or (doc_id = doc and pos > at)").select("doc_id", "pos")
+    return places.select("node", "doc_id", "pos").join(heads, "node").filter("doc_id > doc or (doc_id = doc and pos > at)").select("doc_id", "pos")
 
 
 def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -25,10 +25,11 @@ PIVOTS = 8
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """(key, node) of the keys that two nodes or more have. Keys are summed up before the shuffle."""
+def shared_buckets(buckets: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """(key, node) of the keys that two nodes or more have. Keys are summed up before the shuffle; with a
+    workspace, in a step of its own, whose shuffle files are gone before the join's come."""
     ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
-    return buckets.join(ends, "key").select("key", "node")
+    return buckets.join(ws.save(ends, "ends") if ws else ends, "key").select("key", "node")
 
 
 def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
