@@ -13,14 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..workspace import Workspace
 
 SMALL = 24
-PIVOTS = 8
+PIVOTS = 128
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -84,9 +84,9 @@ def link(members: DataFrame, verify: Verify, ws: Workspace, blocks: Verify | Non
             large = None
         else:
             sizes = large.groupBy("key", "component").agg(F.count("*").alias("m"))
-            least = sizes.groupBy("key").agg(F.min_by("component", F.struct("m", "component")).alias("component"))
-            chosen = large.join(least, ["key", "component"]).groupBy("key").agg(F.slice(F.array_sort(F.collect_set("node")), 1, PIVOTS).alias("ps"))
-            chosen = ws.save(chosen.select("key", F.explode("ps").alias("pivot")), "pivots")
+            place = F.row_number().over(Window.partitionBy("key").orderBy("m", "component", "node"))
+            chosen = large.join(sizes, ["key", "component"]).withColumn("place", place).filter(F.col("place") <= PIVOTS)
+            chosen = ws.save(chosen.select("key", F.col("node").alias("pivot")), "pivots")
             met = large.join(chosen, "key")
             own = met.filter("node = pivot").select("key", "pivot", F.col("component").alias("own"))
             met = met.join(own, ["key", "pivot"]).filter("component != own")

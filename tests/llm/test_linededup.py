@@ -84,3 +84,21 @@ def test_equals_brute_force(spark, docs, ws):
 def test_no_python_in_the_plan(spark, docs, ws):
     plan = linededup.dedup_lines(docs([(1, "a" * 40), (2, "a" * 40)]), ws)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_crowded_buckets_go_through_pivots(spark, ws, monkeypatch):
+    """Many unlinked lines that share a segment, with a linked one to every third."""
+    from lakeval.llm import links
+
+    monkeypatch.setattr(links, "SMALL", 3)
+    monkeypatch.setattr(links, "PIVOTS", 4)
+    rng = random.Random(3)
+    head = "".join(rng.choice("abcdef ") for _ in range(30))
+    rows = []
+    for i in range(18):
+        t = head + "".join(rng.choice("xyz") for _ in range(24))
+        rows.append((i, t))
+        if i % 3 == 0:
+            rows.append((100 + i, t[:-1] + "q"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["pos"]) for r in linededup.repeated_lines(df, ws, 2, 30).collect()} == brute(rows, 2, 30)
