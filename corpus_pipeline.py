@@ -12,15 +12,12 @@ from lakeval.llm.queries.op3_mixing import CAP, weight_of
 from lakeval.llm.queries.op10_line_dedup import MIN_CHARS, TAU
 from lakeval.workspace import Workspace
 
-#: Below this score a text is like no language learned: its best centred cosine is negative.
-LEAST_LIKENESS = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the corpus's own languages; those without letters, or like none, go."""
     known = hdlang.learn(docs)
-    judged = hdlang.predict(docs, known, pred="lang_pred_", score="lang_score_")
-    return judged.filter((F.col("lang_pred_") != hdlang.UNKNOWN) & (F.col("lang_score_") >= LEAST_LIKENESS)).select(*docs.columns)
+    judged = hdlang.predict(docs, known, pred="lang_pred_", score="lang_score_", least=hdlang.fences(docs, known))
+    return judged.filter(F.col("lang_pred_") != hdlang.UNKNOWN).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every letter has a random vector of signs, fixed by its code point. A letter n-gram is the product of its
 letters' vectors, each rotated by its place; a text is the sum of its n-grams' vectors, and a language
 the sum of its texts' vectors, each of length one, less the mean of all languages. A text is of the
-language with the largest cosine.
+language with the largest cosine. Whether it is like that language at all is another question: its cosine
+with the whole sum (its likeness) against the fence that the language's learned texts of like length set.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..workspace import bound_batches
 DIMS = 256
 N = 3
 UNKNOWN = "und"
+#: A fence stands so many standard deviations under the mean likeness of at least so many texts, if there are.
+DEVIATIONS, ENOUGH = 4.0, 30
 _SPACE = 32
 
 
@@ -73,6 +76,11 @@ class Profiles:
             at = np.searchsorted(self._codes, codes)
         return self._vectors[self._rows[at]]
 
+    def length_class(self, text: str) -> int:
+        """Bits of the number of letters of a text."""
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        return int(np.count_nonzero(self._is_letter[points])).bit_length()
+
     def text(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a whole text; None without letters."""
         if not text:
@@ -137,11 +145,58 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
     return dict(sorted(units.items()))
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+#: By language, the fences of the length classes from the shortest learned one up.
+Fences = dict[str, list[tuple[int, float]]]
+
+
+def fences(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> Fences:
+    """How like its language a text must be, by length class, from all rows that ``learn`` learns from.
+
+    A class with less than ENOUGH texts takes in the shorter classes. Short texts vary so much that their
+    fence can be below any likeness; they hold too little to tell."""
+    schema = "lang string, class int, likeness double"
+
+    def run(batches):
+        made = _profiles()
+        for b in batches:
+            langs, classes, likes = [], [], []
+            for t, of in zip(b.column("text"), b.column("lang"), strict=True):
+                whole, own = t.as_py(), prototypes.get(of.as_py())
+                v = made.text(whole) if own is not None else None
+                if v is not None:
+                    langs.append(of.as_py())
+                    classes.append(made.length_class(whole))
+                    likes.append(float(own @ v))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(classes, pa.int32()), pa.array(likes, pa.float64())], names=["lang", "class", "likeness"])
+
+    bound_batches(df.sparkSession)
+    rows = df.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    each = rows.mapInArrow(run, schema).groupBy("lang", "class").agg(F.count("*").alias("n"), F.sum("likeness").alias("x"), F.sum(F.col("likeness") * F.col("likeness")).alias("xx"))
+    out: Fences = {}
+    sums: dict[str, list[tuple[int, int, float, float]]] = {}
+    for r in each.orderBy("lang", "class").collect():
+        seen = sums.setdefault(r["lang"], [])
+        seen.append((r["class"], r["n"], r["x"], r["xx"]))
+        n, x, xx = 0, 0.0, 0.0
+        for _, more, y, yy in reversed(seen):
+            if n < ENOUGH:
+                n, x, xx = n + more, x + y, xx + yy
+        mean = x / n
+        out.setdefault(r["lang"], []).append((r["class"], mean - DEVIATIONS * max(0.0, xx / n - mean * mean) ** 0.5))
+    return out
+
+
+def _fence(of: list[tuple[int, float]], length_class: int) -> float:
+    """The fence of the class, or of the next shorter one learned; below all of them there is none."""
+    return next((least for c, least in reversed(of) if c <= length_class), -1.0)
+
+
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score", least: Fences | None = None) -> DataFrame:
     """Add the language of each whole text, and (1 + cosine) / 2 as its score from 0 to 1.
 
-    A null text, one without letters, or no prototypes at all: ``und`` and 0. Ties go to the language
-    that sorts first. Input columns named like the outputs are replaced.
+    A null text, one without letters, or no prototypes at all: ``und`` and 0; with fences also a text less
+    like its language than the fence of its length. Ties go to the language that sorts first. Input columns
+    named like the outputs are replaced.
     """
     names = sorted(prototypes)
     schema = T.StructType([f for f in df.schema.fields if f.name not in (pred, score)] + [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
@@ -153,18 +208,26 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     bound_batches(df.sparkSession)
     held = centred.astype(np.float32)
 
+    def unlike(made: Profiles, whole: str, v: np.ndarray, name: str) -> bool:
+        return least is not None and float(prototypes[name] @ v) < _fence(least.get(name, []), made.length_class(whole)) - 1e-6
+
     def run(batches):
         made = _profiles()
         for b in batches:
             langs, scores = [], []
             for t in b.column(text):
-                v = made.text(t.as_py()) if names else None
+                whole = t.as_py()
+                v = made.text(whole) if names else None
                 if v is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
                 cosine = held @ v
                 best = int(cosine.argmax())
+                if unlike(made, whole, v, names[best]):
+                    langs.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, (1.0 + float(cosine[best])) / 2))))
             made_of = {pred: pa.array(langs, pa.string()), score: pa.array(scores, pa.float64())}

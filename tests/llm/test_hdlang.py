@@ -52,3 +52,22 @@ def test_nothing_learned(spark, docs):
     out = hdlang.predict(df, {}).collect()
     assert {(r["lang_pred"], r["score"]) for r in out} == {("und", 0.0)}
     assert hdlang.learn(docs([])) == {} and hdlang.predict(docs([]), {}).count() == 0
+
+
+def test_unlike_texts_leave_the_pipeline(spark):
+    """Texts of a language that was not learned, gibberish and letter junk go; learned ones stay, with or without label."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    foreign = "kaj la estas en mi ne vi al por kun ili sed kiu tio ghi li shi plej chiuj tamen".split()
+    planted = [(2000 + i, " ".join(rng.choice(foreign) for _ in range(60)), None, "s", 0) for i in range(5)]
+    planted += [(2100 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(60)), None, "s", 0) for i in range(5)]
+    planted += [(2200, "x" * 300, None, "s", 0), (2201, "x" * 100_000, None, "s", 0), (2202, "語" * 200, "en", "s", 0)]
+    unlabelled = [(3000 + i, t, None, s, n) for i, t, _, s, n in texts(30, seed=9)]
+    rows = [*texts(600), *planted, *unlabelled]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, df, "")
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == df.columns
+    assert not kept & {r[0] for r in planted}
+    assert {r[0] for r in unlabelled} <= kept and len(kept & set(range(600))) >= 597
