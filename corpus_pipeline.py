@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakeval.llm import bpe, hdlang, jaccard, linededup, mixing
 from lakeval.llm.queries.op1_byte_bpe import RANKS
 from lakeval.llm.queries.op3_mixing import CAP, weight_of
-from lakeval.llm.queries.op10_line_dedup import MIN_CHARS, TAU
+from lakeval.llm.queries.op10_line_dedup import LEAST, MIN_CHARS, TAU
 from lakeval.workspace import Workspace
 
 
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that nearly repeat an earlier one; n_chars follows the text."""
-    out = linededup.dedup_lines(docs, Workspace(spark, "lines"), TAU, MIN_CHARS)
+    out = linededup.dedup_lines(docs, Workspace(spark, "lines"), TAU, MIN_CHARS, LEAST)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -6,6 +6,9 @@ less, each at the few offsets that the edits on either side still allow (the mul
 so its keys are ``(length, segment number, substring)`` hashes. What meets under a key is verified by a
 banded bit-parallel automaton: for each number of errors a word holds the 2 tau + 1 diagonals that can
 still lead to the end.
+
+``tau`` edits are for lines of ``min_chars`` and more; shorter ones are allowed edits in proportion, down
+to none, where lines are grouped by exact form. A pair is allowed the edits of its shorter line.
 """
 
 from __future__ import annotations
@@ -86,22 +89,49 @@ def within_edits(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(gap) > tau, False).when(F.length(b) == 0, True).otherwise(F.call_function("shiftright", last, gap + tau).bitwiseAND(F.lit(1)) == 1)
 
 
+def _spans(tau: int, min_chars: int) -> list[tuple[int, int, int]]:
+    """(edits, least length, length from which more are allowed) of the lines that are allowed any."""
+    least = [max(-(-e * min_chars // tau), 2 * e + 2) for e in range(1, tau + 1)]
+    return [(e, low, high) for e, low, high in zip(range(1, tau + 1), least, [*least[1:], 1 << 30], strict=True)]
+
+
+def line_keys(form: Column, tau: int, min_chars: int, least: int) -> Column:
+    """Array of the keys of a line under the edits allowed to it and to lines that much shorter."""
+    if least >= min_chars or not tau:
+        return segment_keys(form, tau)
+    n, none = F.length(form), F.array().cast("array<bigint>")
+    each = [F.when((n >= low) & (n < high + e), segment_keys(form, e)).otherwise(none) for e, low, high in _spans(tau, min_chars)]
+    return F.array_distinct(F.concat(*each))
+
+
+def linked(a: Column, b: Column, tau: int, min_chars: int, least: int) -> Column:
+    """Whether two lines are within the edits allowed to the shorter one."""
+    if least >= min_chars or not tau:
+        return within_edits(a, b, tau)
+    n, out = F.least(F.length(a), F.length(b)), a == b
+    for e, low, _ in _spans(tau, min_chars):
+        out = F.when(n >= low, within_edits(a, b, e)).otherwise(out)
+    return out
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     form = line_form(F.col("line"))
     return rows.select("doc_id", "pos", form.alias("form")).filter(F.length("form") >= min_chars).withColumn("node", F.xxhash64("form"))
 
 
-def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS, least: int | None = None) -> DataFrame:
     """(doc_id, pos) of the lines that go: those with an earlier line in their group.
 
     Groups are lines reached from each other by steps of at most ``tau`` edits; earlier is by doc_id, then
-    by place in the text. A line's node is 64 bits of xxhash of its form.
+    by place in the text. A line's node is 64 bits of xxhash of its form. Lines from ``least`` characters
+    up (``min_chars`` if not given) take part, those under ``min_chars`` with fewer edits.
     """
+    least = min_chars if least is None else least
     if min_chars <= 2 * tau + 1:
         raise ValueError("lines must be longer than twice the threshold and one")
-    lines = _lines(docs, min_chars)
-    places = ws.save(lines.select("node", "doc_id", "pos", segment_keys(F.col("form"), tau).alias("keys")), "places")
+    lines = _lines(docs, least)
+    places = ws.save(lines.select("node", "doc_id", "pos", line_keys(F.col("form"), tau, min_chars, least).alias("keys")), "places")
     firsts = ws.save(places.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.min_by("pos", F.struct("doc_id", "pos")).alias("at")), "firsts")
     members = ws.save(shared_buckets(places.select(F.explode("keys").alias("key"), "node"), ws).distinct(), "members", release=True)
     wanted = members.select("node").distinct()
@@ -110,7 +140,7 @@ def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: in
     b = texts.select(F.col("node").alias("b"), F.col("form").alias("fb"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "a").join(b, "b").filter(within_edits(F.col("fa"), F.col("fb"), tau)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").filter(linked(F.col("fa"), F.col("fb"), tau, min_chars, least)).select("a", "b")
 
     groups = link(members, verify, ws)
     grouped = firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -119,17 +149,17 @@ def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: in
     return places.select("node", "doc_id", "pos").join(heads, "node").filter("doc_id > doc or (doc_id = doc and pos > at)").select("doc_id", "pos")
 
 
-def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS, least: int | None = None) -> DataFrame:
     """``docs`` with each text less its repeated lines, and n_lines and n_removed.
 
-    Lines are cut at line feeds. Shorter lines than ``min_chars`` (ends trimmed) always stay. A null text
-    stays null with 0 lines. Rows that repeat a doc_id count as one document: a line at the same place of
+    Lines are cut at line feeds. Shorter lines than ``least`` (ends trimmed; ``min_chars`` if not given)
+    always stay, so with 1 only blank ones do; see ``repeated_lines`` for those between. A null text stays null with 0 lines. Rows that repeat a doc_id count as one document: a line at the same place of
     them is one line. A row with a null doc_id stays whole and makes no other line go. All other columns
     stay, but input columns named n_lines and n_removed are replaced. An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
-    gone = repeated_lines(docs, ws, tau, min_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_lines(docs, ws, tau, min_chars, least).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     gone = ws.save(gone, "gone", release=True).select(F.col("doc_id").alias("gone_id"), "gone")
     out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
     lines = F.split("text", "\n")

@@ -102,3 +102,37 @@ def test_crowded_buckets_go_through_pivots(spark, ws, monkeypatch):
             rows.append((100 + i, t[:-1] + "q"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r["doc_id"], r["pos"]) for r in linededup.repeated_lines(df, ws, 2, 30).collect()} == brute(rows, 2, 30)
+
+
+def test_short_lines_go_too(spark, docs, ws):
+    """Every line that is not blank against brute force: edits in proportion to the shorter line."""
+
+    def allowed(n):
+        return 2 if n >= 30 else 1 if n >= 15 else 0
+
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abc é") for _ in range(n)).strip() or "x" for n in [1, 3, 5, 6, 9, 13, 14, 15, 16, 22, 28, 29, 30, 31, 45] for _ in range(3)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 1, 2, 3])) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    rows += [(100, "All rights reserved.\n\nLes."), (101, "Les.\n\nAll rights reserved.\nAll right reserved."), (102, "Les!"), (None, "Les."), (103, "y" * 29), (104, "y" * 30), (105, "y" * 32)]
+    found = [(i, p, f) for i, t in rows if i is not None for p, x in enumerate(t.split("\n")) if (f := x.strip(" \t\r\x0b\x0c"))]
+    group = {f: f for *_, f in found}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sorted(group):
+        for b in sorted(group):
+            if a < b and distance(a, b) <= allowed(min(len(a), len(b))):
+                group[root(a)] = root(b)
+    first = {}
+    for i, p, f in found:
+        first[root(f)] = min(first.get(root(f), (i, p)), (i, p))
+    gone = {(i, p) for i, p, f in found if first[root(f)] < (i, p)}
+    assert {(101, 0), (101, 2), (101, 3), (104, 0), (105, 0)} <= gone and not {(100, 1), (101, 1), (102, 0)} & gone
+    got = linededup.repeated_lines(docs(rows), ws, 2, 30, 1).collect()
+    assert {(r["doc_id"], r["pos"]) for r in got} == gone
+    from lakeval.llm.queries import op10_line_dedup as q
+
+    assert (q.TAU, q.MIN_CHARS, q.LEAST) == (2, 30, 1)
