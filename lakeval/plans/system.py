@@ -15,9 +15,13 @@ from .registry import register
 @register("""WITH w AS (SELECT range AS id FROM range(0, 400)), r AS (SELECT event_id % 450 AS id FROM events WHERE event_id < 500 AND event_id % 10 <> 3), c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
 SELECT id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'extra' ELSE 'duplicated' END AS problem FROM w FULL OUTER JOIN c USING (id) WHERE n IS NULL OR w.id IS NULL OR n > 1""")
 def row_audit(spark, t):
-    """Missing, extra and duplicated rows of a job."""
-    results = t("events").filter("event_id < 500 and event_id % 10 <> 3").select((F.col("event_id") % 450).alias("id"))
-    return evaluate.row_audit(spark.range(400), results, "id")
+    """Missing, extra and duplicated rows of a job: of n events, four fifths of n ids are wanted and every event
+    but each tenth has a result, whose ids start afresh after nine tenths."""
+    ids = F.broadcast(t("events").agg((F.max("event_id") + 1).alias("ids")))
+    events = t("events").select("event_id").crossJoin(ids)
+    wanted = events.filter("event_id < ids * 4 div 5").select(F.col("event_id").alias("id"))
+    results = events.filter("event_id % 10 <> 3").select(F.expr("event_id % (ids * 9 div 10)").alias("id"))
+    return evaluate.row_audit(wanted, results, "id")
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -85,7 +89,7 @@ def bounded_history(spark, t):
 SELECT count(*) AS n, max(gap) AS worst, round(avg(gap), 9) AS mean, arg_min(step, (-gap, step)) AS "at" FROM g""")
 def loss_curves(spark, t):
     """How far two loss curves are apart."""
-    e = t("events").filter("event_id < 1000")
+    e = t("events")
     other = e.select(F.col("event_id").alias("step"), (F.col("value") * (1 + (F.col("event_id") % 7) / 1000.0)).alias("loss"))
     return compare.loss_gap(e.select(F.col("event_id").alias("step"), F.col("value").alias("loss")), other)
 
