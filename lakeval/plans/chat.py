@@ -115,7 +115,7 @@ def judge_requests(spark, t):
 SELECT min(conv_id) AS conv_id, sha256(lower(text)) AS digest FROM f GROUP BY lower(text)""")
 def flattened_segments(spark, t):
     """Segments put together as one text, texts that differ in case alone once."""
-    seg = t("conversations").select("conv_id", "turn", F.regexp_replace(F.trim(F.left("text", F.lit(40))), r"\s+", " ").alias("seg"))
+    seg = t("conversations").select("conv_id", "turn", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("seg"))
     whole = seg.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "seg"))), lambda x: x["seg"]), " ").alias("text"))
     return whole.groupBy(F.lower("text").alias("low")).agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.sha2("low", 256).alias("digest"))
 

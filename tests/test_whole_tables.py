@@ -33,3 +33,8 @@ def test_loss_curves_reach_the_last_event(spark, tmp_path):
     rows = [(n, 1.0) for n in range(3000)]
     spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert QUERIES["loss_curves"](spark, str(tmp_path)).collect()[0]["n"] == 3000
+
+
+def test_segments_are_whole_turns(spark, duck):  # noqa: F811
+    compared(spark, duck, "flattened_segments", """WITH s AS (SELECT conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') AS seg FROM conversations), f AS (SELECT conv_id, string_agg(seg, ' ' ORDER BY turn) AS text FROM s GROUP BY conv_id)
+SELECT min(conv_id) AS conv_id, sha256(lower(text)) AS digest FROM f GROUP BY lower(text)""")
