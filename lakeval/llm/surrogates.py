@@ -37,8 +37,8 @@ _LOW = r"[a-zß-öø-ÿа-яёά-ώ]"
 _NAME = rf"{_UP}{_LOW}+(?:-{_UP}{_LOW}+)?"
 _FIRST = "|".join(sorted(FEMALE + MALE, key=len, reverse=True))
 PATTERN = re.compile(
-    r"(?P<secret>(?<![\w])(?:token|secret|password|passwd|api_?key|access_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_\-]{12,128})[\"']?)"
-    r"|(?P<email>(?<![\w.+\-])[^\W_][\w.+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w\-]))"
+    r"(?P<secret>(?<![\w])(?:token|secret|password|passwd|api_?key|access_?key)\s{0,3}[=:]\s{0,3}(?:(?P<quote>[\"'])(?P<quoted>(?:(?!(?P=quote))\S){12,})|(?P<bare>(?=[A-Za-z0-9+/_\-.=~]{12})[^\s\"'<>,;&(){}\[\]|]*[A-Za-z0-9+/_\-=~])))"
+    r"|(?P<email>(?<![\w.+\-])[_.+\-]*+(?P<address>[^\W_][\w.+\-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w\-])))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w.\-+])(?:\d{13,19}|\d{4}(?P<sep>[ \-])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7})(?![\w]|[.\-]\d))"
@@ -52,6 +52,12 @@ _HINT = re.compile(rf"@|\d\d|[=:]|(?<!\w)(?:{'|'.join(TITLES)}|{_FIRST})(?!\w)")
 _GENDER = {n.casefold(): g for g, names in (("f", FEMALE), ("m", MALE)) for n in names}
 
 
+#: Letters and digits that a secret has at least; a line to fill in has none, and no surrogate.
+LEAST_SECRET = 4
+#: Strings beyond so many characters are permuted part by part.
+PART = 1024
+
+
 class _Key:
     def __init__(self, key: str):
         self.key = hashlib.blake2b(key.encode()).digest()
@@ -85,7 +91,14 @@ _DIGITS, _LOWER, _UPPER, _HEX, _HEXUP = "0123456789", "abcdefghijklmnopqrstuvwxy
 def _reshuffled(k: _Key, text: str, label: str, fixed: int = 0, hexes: bool = False) -> str:
     """Another string of the same pattern: digits to digits, letters to letters of their case, all else
     and the first ``fixed`` of them kept. Non-ASCII letters move within 32 neighbours of their alphabet's
-    letters only when these are of the same category."""
+    letters only when these are of the same category. Each part of a long string is permuted under a label
+    that depends on all parts before it, so the whole is one to one as well."""
+    if len(text) > PART:
+        out, own = [], label
+        for at in range(0, len(text), PART):
+            out.append(_reshuffled(k, text[at : at + PART], own, max(0, fixed - at), hexes))
+            own = f"{label}/{k.number(own, text[at : at + PART])}"
+        return "".join(out)
     alphabet = []
     seen = 0
     for c in text:
@@ -237,9 +250,11 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
         if m["secret"]:
-            out.append((*m.span("value"), "secret", m["value"]))
+            group = "quoted" if m["quoted"] else "bare"
+            if sum(c.isascii() and c.isalnum() for c in m[group]) >= LEAST_SECRET:
+                out.append((*m.span(group), "secret", m[group]))
         elif m["email"]:
-            out.append((*m.span(), "email", m["email"].lower()))
+            out.append((*m.span("address"), "email", m["address"].lower()))
         elif m["iban"]:
             out.append((*m.span(), "iban", m["iban"].replace(" ", "")))
         elif m["ip"]:

@@ -76,3 +76,23 @@ def test_clashes_are_resolved(spark, monkeypatch):
     out = s.resolve(seen, KEY, Workspace(spark, "t")).collect()
     assert len(out) == 30 and len({r["made"] for r in out}) == 30
     assert not {r["made"] for r in out} & set(forms)
+
+
+def test_secrets_and_addresses_are_replaced_whole():
+    k = s._Key(KEY)
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    long = "aB3" * 67
+    for text, secret in [(f'token = "{long}"###', long), (f"token={jwt}. Next", jwt), (f"secret: '{jwt}==~'", jwt + "==~"), ('password = "p@ss!word#1234" x', "p@ss!word#1234"), (f"api_key={long}$tail9 x", long + "$tail9"), ("token=" + "f00d" * 5000, "f00d" * 5000)]:
+        ((a, b, kind, form),) = s.mentions(text)
+        assert (kind, form, text[a:b]) == ("secret", secret, secret)
+        out = s.surrogate(k, kind, form, 0)
+        assert len(out) == len(secret) and re.sub(r"[A-Za-z0-9]", "x", out) == re.sub(r"[A-Za-z0-9]", "x", secret)
+        assert all(out[n : n + 20] != secret[n : n + 20] for n in range(0, len(out) - 20, 20))
+    for before in ("-", "_", ".", "--.", "(", "x: +"):
+        ((a, b, kind, form),) = s.mentions(f"{before}jane@example.com")
+        assert (kind, form, a) == ("email", "jane@example.com", len(before))
+    glued = "word" * 30 + "jane@example.com"
+    assert [x[3] for x in s.mentions(glued)] == [glued]
+    assert s.mentions("password: ____________ or secret = ----------------") == []
+    assert s.mentions("a.b-c+" * 50_000) == []  # in time that grows with the text alone
+    assert len({s._reshuffled(k, "a" * 1024 + f"{n:02d}", "y") for n in range(100)}) == 100
