@@ -167,6 +167,9 @@ def _walk(k: _Key, text: str, label: str, attempt: int, fixed: int = 0, hexes: b
     return text
 
 
+#: After so many clashes a name gets one syllable more, so no number of names fills the space.
+LONGER = 4
+
 _SYLLABLES = {
     "LATIN": ("b br c d dr f fl g gr h j k kl l m n p pr r s st t tr v w z".split(), "a e i o u ei au ie".split(), {"f": ["a", "ia", "elle", "ine"], "m": ["o", "en", "ric", "us"], "n": ["er", "man", "ley", "sen"]}),
     "CYRILLIC": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split(), {"f": ["а", "ия"], "m": ["ей", "ир", "ан"], "n": ["енко", "ук", "ич"]}),
@@ -179,10 +182,14 @@ def _name(k: _Key, name: str, kind: str, gender: str, attempt: int) -> str:
     onset, vowel, endings = _SYLLABLES.get(script, _SYLLABLES["LATIN"])
     n = k.number(kind, gender, name.casefold(), attempt)
     out = ""
-    for _ in range(2 if len(name) < 7 else 3):
+    for _ in range((2 if len(name) < 7 else 3) + attempt // LONGER):
+        if n < 1 << 32:
+            n = k.number(kind, gender, name.casefold(), attempt, len(out))
         n, a = divmod(n, len(onset))
         n, b = divmod(n, len(vowel))
         out += onset[a] + vowel[b]
+    if n < 1 << 32:
+        n = k.number(kind, gender, name.casefold(), attempt, len(out))
     n, a = divmod(n, len(onset))
     out += onset[a] + endings[gender if kind == "given" else "n"][n % len(endings[gender if kind == "given" else "n"])]
     parts = [out[:1].upper() + out[1:]]
@@ -338,22 +345,29 @@ def _redrawn(rows: DataFrame, key: str) -> DataFrame:
 
 def resolve(seen: DataFrame, key: str, ws: Workspace, rounds: int = 50) -> DataFrame:
     """(kind, form, made, attempt) of the distinct entities, no two of a kind with one surrogate and none
-    with a surrogate that is an original. Of those that clash the least form stays."""
+    with a surrogate that is an original. Of those that clash the least form stays.
+
+    Rounds go on until none clashes. Names get longer, so they end; patterns of digits and letters end
+    unless the corpus fills one whole, when ``rounds`` rounds in a row bring no fewer clashes."""
     table = ws.save(seen.select("kind", "form", "made").distinct().withColumn("attempt", F.lit(0)), "entities")
     kinds = [F.col("kind"), F.lower("made").alias("low")]
     originals = table.select("kind", F.lower("form").alias("low")).distinct()
-    for _ in range(rounds):
+    fewest, stalled = None, 0
+    while stalled < rounds:
         shared = table.groupBy(*kinds).agg(F.count("*").alias("n"), F.min("form").alias("least")).filter("n > 1").drop("n")
         taken = table.select(*kinds).distinct().join(originals, ["kind", "low"], "left_semi").withColumn("least", F.lit(None).cast("string"))
         clash = shared.unionByName(taken)
         marked = table.withColumn("low", F.lower("made")).join(clash, ["kind", "low"], "left_semi")
         again = marked.join(shared.withColumnRenamed("least", "stays"), ["kind", "low"], "left").join(taken.select("kind", "low", F.lit(True).alias("real")), ["kind", "low"], "left")
         again = ws.save(again.filter("real or form != stays").select("kind", "form", "made", (F.col("attempt") + 1).alias("attempt")), "again")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             return table
+        stalled = 0 if fewest is None or left < fewest else stalled + 1
+        fewest = left if fewest is None else min(fewest, left)
         kept = table.join(again.select("kind", "form"), ["kind", "form"], "left_anti")
         table = ws.save(kept.unionByName(_redrawn(again, key)), "entities")
-    raise RuntimeError(f"surrogates still clash after {rounds} rounds")
+    raise RuntimeError(f"surrogates still clash, and no fewer after {rounds} more rounds")
 
 
 def replace(docs: DataFrame, ws: Workspace, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:

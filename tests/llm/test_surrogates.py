@@ -96,3 +96,14 @@ def test_secrets_and_addresses_are_replaced_whole():
     assert s.mentions("password: ____________ or secret = ----------------") == []
     assert s.mentions("a.b-c+" * 50_000) == []  # in time that grows with the text alone
     assert len({s._reshuffled(k, "a" * 1024 + f"{n:02d}", "y") for n in range(100)}) == 100
+
+
+def test_names_get_longer_until_none_clashes(spark):
+    """More rounds than ``rounds``, as long as each leaves fewer clashes."""
+    k = s._Key(KEY)
+    assert len(s._name(k, "Νίκας", "surname", "n", 40)) > len(s._name(k, "Νίκας", "surname", "n", 3)) + 10
+    assert len({s._name(k, "Νίκας", "surname", "n", 200 + n) for n in range(50)}) == 50
+    rows = [(n, "surname", f"n/Ν{n}", "n/Βαβάκης") for n in range(4000)]
+    seen = spark.createDataFrame(rows, "doc_id long, kind string, form string, made string")
+    out = s.resolve(seen, KEY, Workspace(spark, "t"), rounds=2).collect()
+    assert len(out) == 4000 and len({r["made"] for r in out}) == 4000 and max(r["attempt"] for r in out) > 2
