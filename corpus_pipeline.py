@@ -29,17 +29,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8.
 
-    Rows that repeat a doc_id are one document, of which the row with the least text stays; rows without a
-    doc_id all stay."""
+    Of rows that repeat a doc_id those with linked or equal texts are one document, as any others are;
+    unlike texts of one doc_id all stay, and so do rows without a doc_id."""
     ws = Workspace(spark, "near")
-    groups = jaccard.join(docs, ws, words=5, p=80, q=100)
-    keep = ws.save(groups.filter("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        groups = jaccard.join(docs, ws, words=5, p=80, q=100)
+        keep = ws.save(groups.filter("doc_id = component_id").select("doc_id").distinct(), "keep")
+        kept = docs.join(keep, "doc_id", "left_semi")
+    else:
         from pyspark.sql import Window
 
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-        kept = kept.withColumn("place_", first).filter("place_ = 1")
+        first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0)))
+        rows = docs.filter("doc_id is not null").withColumn("place_", first).filter("place_ = 1").drop("place_")
+        rows = ws.save(rows.withColumn("node_", F.monotonically_increasing_id()), "rows")
+        groups = jaccard.join(rows.select(F.col("node_").alias("doc_id"), "text"), ws, words=5, p=80, q=100)
+        groups = groups.select(F.col("doc_id").alias("node_"), "component_id").join(rows.select("node_", F.col("doc_id").alias("id_"), F.xxhash64("text").alias("text_")), "node_")
+        keep = ws.save(groups.groupBy("component_id").agg(F.min_by("node_", F.struct("id_", "text_", "node_")).alias("node_")).select("node_"), "keep")
+        kept = rows.join(keep, "node_", "left_semi")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -39,3 +39,13 @@ def test_run_on_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "shingle_join", "mixing", "byte_bpe"]
+
+
+def test_unlike_texts_of_one_id_stay(spark, docs):
+    """Rows of one doc_id go only where their texts are linked or equal."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (1, None), (1, ""), (1, a + " more"), (2, c), (3, c), (3, "few words"), (None, a), (4, b)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs(rows), "").collect()]
+    of_a = [x for x in got if x[0] == 1 and x[1] in (a, a + " more")]
+    assert len(of_a) == 1
+    assert sorted(set(got) - set(of_a), key=str) == sorted([(1, b), (1, None), (1, ""), (2, c), (3, "few words"), (None, a)], key=str) and len(got) == 7
