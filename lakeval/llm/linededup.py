@@ -3,7 +3,7 @@
 Two lines within ``tau`` edits share a segment: cut the shorter one into ``tau + 1`` segments, and as many
 edits leave one of them whole. A line looks for the segments of lines of its length and up to ``tau``
 less, each at the few offsets that the edits on either side still allow (the multi-match-aware windows),
-so its keys are ``(length, segment number, substring)`` hashes. What meets under a key is verified by a
+so its keys are hashes of ``(length, segment number, substring)``. What meets under a key is verified by a
 banded bit-parallel automaton: for each number of errors a word holds the 2 tau + 1 diagonals that can
 still lead to the end.
 
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..workspace import Workspace
-from .links import link, shared_buckets
 
 TAU = 2
 MIN_CHARS = 30
@@ -35,27 +35,27 @@ def _with(values: dict[str, Column], use) -> Column:
     return F.get(F.transform(held, lambda s: use(*(s[n] for n in values))), F.lit(0))
 
 
-def segment_keys(form: Column, tau: int) -> Column:
-    """Array of the keys of a line; it needs more than ``2 * tau + 1`` characters, so that every probe lies
-    within the line."""
-
-    def of_length(f: Column, n: Column, shorter: int) -> Column:
-        """Keys into the segments of lines so much shorter; the last segments take what is over."""
+def _segments(form: Column, tau: int) -> tuple[list[Column], list[Column]]:
+    """Keys of a line's own segments, and of the places where it may hold those of lines of its length or
+    up to ``tau`` less. The last segments take the characters that are over."""
+    own, probes, n = [], [], F.length(form)
+    for shorter in range(tau + 1):
         m = n - shorter
         base, extra = F.call_function("div", m, F.lit(tau + 1)).cast("int"), m % (tau + 1)
-        size = {f"z{i}": base + (extra >= tau + 1 - i).cast("int") for i in range(tau + 1)}
-        start = {f"s{i}": base * i + F.greatest(F.lit(0), extra - (tau + 1 - i)) for i in range(tau + 1)}
-
-        def probes(g: Column, k: Column, *at: Column) -> Column:
-            keys = []
-            for i in range(tau + 1):
-                for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                    keys.append(F.xxhash64(F.substring(g, at[i] + (1 + shift), at[tau + 1 + i]), k, F.lit(i)))
-            return F.array(*keys)
+        for i in range(tau + 1):
+            size = base + (extra >= tau + 1 - i).cast("int")
+            start = base * i + F.greatest(F.lit(0), extra - (tau + 1 - i))
+            for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
+                key = F.xxhash64(F.substring(form, start + (1 + shift), size), m, F.lit(i), F.lit(tau))
+                (probes if shorter or shift else own).append(key)
+    return own, probes
 
-        return _with({"f": f, "m": m, **start, **size}, probes)
 
-    return F.array_distinct(_with({"f": form, "n": F.length(form)}, lambda f, n: F.concat(*(of_length(f, n, x) for x in range(tau + 1)))))
+def segment_keys(form: Column, tau: int) -> Column:
+    """Array of all keys of a line; it needs more than ``2 * tau + 1`` characters, so that every probe lies
+    within the line."""
+    own, probes = _segments(form, tau)
+    return F.array(*own, *probes)
 
 
 def within_edits(a: Column, b: Column, tau: int) -> Column:
@@ -95,13 +95,18 @@ def _spans(tau: int, min_chars: int) -> list[tuple[int, int, int]]:
     return [(e, low, high) for e, low, high in zip(range(1, tau + 1), least, [*least[1:], 1 << 30], strict=True)]
 
 
-def line_keys(form: Column, tau: int, min_chars: int, least: int) -> Column:
-    """Array of the keys of a line under the edits allowed to it and to lines that much shorter."""
-    if least >= min_chars or not tau:
-        return segment_keys(form, tau)
+def line_keys(form: Column, tau: int, min_chars: int, least: int) -> tuple[Column, Column]:
+    """Arrays of a line's own keys and of its other probes, under the edits allowed to it and to lines that
+    much shorter. No key is in both."""
     n, none = F.length(form), F.array().cast("array<bigint>")
-    each = [F.when((n >= low) & (n < high + e), segment_keys(form, e)).otherwise(none) for e, low, high in _spans(tau, min_chars)]
-    return F.array_distinct(F.concat(*each))
+    spans = [(tau, 2 * tau + 2, 1 << 30)] if least >= min_chars or not tau else _spans(tau, min_chars)
+    own, probes = [], []
+    for e, low, high in spans:
+        mine, other = _segments(form, e)
+        taken = (n >= low) & (n < high + e)
+        own.append(F.when(taken, F.array(*mine)).otherwise(none))
+        probes.append(F.when(taken, F.array(*other)).otherwise(none) if other else none)
+    return F.concat(*own), F.array_except(F.concat(*probes), F.concat(*own))
 
 
 def linked(a: Column, b: Column, tau: int, min_chars: int, least: int) -> Column:
@@ -114,39 +119,98 @@ def linked(a: Column, b: Column, tau: int, min_chars: int, least: int) -> Column
     return out
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+#: Classes of letters whose counts an edit changes by one or two in all; fixed values, any choice is right.
+_CLASSES = ("e", "a", "i", "o", "u", "n", "t", "s", "r", "h", "d", "l", "cmpw", "bfgy", "jkqvxz", "0123456789")
+
+
+def _counts(form: Column) -> list[Column]:
+    """How many characters of each class a line has."""
+    low, n = F.lower(form), F.length(F.lower(form))
+    return [(n - F.length(F.translate(low, c, ""))).alias(f"c{k}") for k, c in enumerate(_CLASSES)]
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     form = line_form(F.col("line"))
-    return rows.select("doc_id", "pos", form.alias("form")).filter(F.length("form") >= min_chars).withColumn("node", F.xxhash64("form"))
+    return rows.select("doc_id", "pos", form.alias("form")).filter(F.length("form") >= least).withColumn("h", F.xxhash64("form"))
+
+
+def _members(forms: DataFrame, ws: Workspace, tau: int, min_chars: int, least: int) -> DataFrame:
+    """(key, node, own) of the keys under which a line's own segment meets another line.
+
+    An own key is tagged by the line's node, a probe by ``-node - 1``, so the least and the greatest tag of
+    a key, summed up before the shuffle, tell whether it has a segment and two lines."""
+    own, probes = line_keys(F.col("form"), tau, min_chars, least)
+    keyed = ws.save(forms.select("node", own.alias("own"), probes.alias("probes")).filter("size(own) > 0"), "keyed")
+    node = F.col("node")
+    tags = keyed.select(F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), node.alias("tag"))), F.transform("probes", lambda k: F.struct(k.alias("key"), (-node - 1).alias("tag"))))).alias("t")).select("t.key", "t.tag")
+    shared = ws.save(tags.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("high >= 0 and low != high").select("key"), "shared")
+    # merged at every size: a broadcast would only ever do for small tables
+    out = tags.join(shared.hint("merge"), "key").select("key", F.when(F.col("tag") < 0, -F.col("tag") - 1).otherwise(F.col("tag")).alias("node"), (F.col("tag") >= 0).alias("own"))
+    out = ws.save(out.groupBy("key", "node").agg(F.max("own").alias("own")), "members", release=True)
+    ws.drop(keyed, shared)
+    return out
+
+
+def _groups(forms: DataFrame, ws: Workspace, tau: int, min_chars: int, least: int) -> DataFrame:
+    """(node, component) of the lines that are linked to another.
+
+    Each line is first verified against the least of the lines whose segment it holds. Keys whose lines are
+    all in one group by then are settled. Under the others a segment's lines are joined with those that hold
+    it, across groups only, and what the join lets through has like counts of letters; nothing else is
+    written, so look-alike lines of one template don't become rows of pairs."""
+    members = _members(forms, ws, tau, min_chars, least)
+    texts = ws.save(forms.select("node", "form").join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "texts", release=True)
+    a = texts.select(F.col("node").alias("a"), F.col("form").alias("fa"))
+    b = texts.select(F.col("node").alias("b"), F.col("form").alias("fb"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "a").join(b, "b").filter(linked(F.col("fa"), F.col("fb"), tau, min_chars, least)).select("a", "b")
+
+    lead = members.filter("own").groupBy("key").agg(F.min("node").alias("lead"))
+    stars = members.join(lead, "key").filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    links = ws.save(verify(stars), "links")
+    groups = ws.save(connected_components(links, ws), "groups")
+    of = groups.select(F.col("node").alias("n"), "component")
+    grouped = members.join(of, F.col("node") == F.col("n"), "left").select("key", "node", "own", F.coalesce("component", "node").alias("component"))
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    left = ws.save(grouped.join(mixed, "key").join(texts, "node").select("key", "node", "own", "component", F.length("form").alias("n"), *_counts(F.col("form"))), "left")
+    if left.isEmpty():
+        return groups
+    i, p = left.filter("own").alias("i"), left.alias("p")
+    apart = sum((F.abs(F.col(f"i.c{k}") - F.col(f"p.c{k}")) for k in range(1, len(_CLASSES))), F.abs(F.col("i.c0") - F.col("p.c0")))
+    once = (F.col("i.n") < F.col("p.n")) | (F.col("i.n") == F.col("p.n")) & ((F.col("i.node") < F.col("p.node")) | ~F.col("p.own"))
+    near = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.component") != F.col("p.component")) & once & (apart <= 2 * tau))
+    pairs = near.select(F.least("i.node", "p.node").alias("a"), F.greatest("i.node", "p.node").alias("b")).distinct()
+    found = ws.save(verify(ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")), "links")
+    if found.isEmpty():
+        return groups
+    return ws.save(connected_components(links.unionAll(found), ws), "groups")
 
 
 def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS, least: int | None = None) -> DataFrame:
     """(doc_id, pos) of the lines that go: those with an earlier line in their group.
 
     Groups are lines reached from each other by steps of at most ``tau`` edits; earlier is by doc_id, then
-    by place in the text. A line's node is 64 bits of xxhash of its form. Lines from ``least`` characters
-    up (``min_chars`` if not given) take part, those under ``min_chars`` with fewer edits.
+    by place in the text. Equal lines are grouped by their characters, not by a digest. Lines from ``least``
+    characters up (``min_chars`` if not given) take part, those under ``min_chars`` with fewer edits. An
+    input without lines gives an empty table.
     """
     least = min_chars if least is None else least
     if min_chars <= 2 * tau + 1:
         raise ValueError("lines must be longer than twice the threshold and one")
+    ws = ws.child("repeated")
     lines = _lines(docs, least)
-    places = ws.save(lines.select("node", "doc_id", "pos", line_keys(F.col("form"), tau, min_chars, least).alias("keys")), "places")
-    firsts = ws.save(places.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.min_by("pos", F.struct("doc_id", "pos")).alias("at")), "firsts")
-    members = ws.save(shared_buckets(places.select(F.explode("keys").alias("key"), "node"), ws).distinct(), "members", release=True)
-    wanted = members.select("node").distinct()
-    texts = ws.save(lines.select("node", "form").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("form").alias("form")), "texts", release=True)
-    a = texts.select(F.col("node").alias("a"), F.col("form").alias("fa"))
-    b = texts.select(F.col("node").alias("b"), F.col("form").alias("fb"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "a").join(b, "b").filter(linked(F.col("fa"), F.col("fb"), tau, min_chars, least)).select("a", "b")
-
-    groups = link(members, verify, ws)
-    grouped = firsts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = grouped.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("head"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    heads = ws.save(grouped.join(heads, "component").select("node", F.col("head.doc").alias("doc"), F.col("head.at").alias("at")), "heads")
-    return places.select("node", "doc_id", "pos").join(heads, "node").filter("doc_id > doc or (doc_id = doc and pos > at)").select("doc_id", "pos")
+    forms = lines.groupBy("h", "form").agg(F.count("*").alias("copies"))
+    forms = ws.save(forms.select(F.monotonically_increasing_id().alias("node"), "h", "form", "copies"), "forms", release=True)
+    groups = _groups(forms, ws, tau, min_chars, least)
+    ws.keep(forms, groups)
+    wanted = forms.join(groups.hint("merge"), "node", "left").filter("copies > 1 or component is not null").select("h", "form", F.coalesce("component", "node").alias("component"))
+    places = ws.save(lines.join(wanted.hint("merge"), ["h", "form"]).select("component", "doc_id", "pos"), "places", release=True)
+    ws.keep(places)
+    heads = places.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("head"))
+    heads = heads.select("component", F.col("head.doc_id").alias("doc"), F.col("head.pos").alias("at"))
+    return places.join(heads, "component").filter("doc_id > doc or (doc_id = doc and pos > at)").select("doc_id", "pos")
 
 
 def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int = MIN_CHARS, least: int | None = None) -> DataFrame:
@@ -157,14 +221,18 @@ def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int =
     them is one line. A row with a null doc_id stays whole and makes no other line go. All other columns
     stay, but input columns named n_lines and n_removed are replaced. An empty table gives an empty one.
     """
+    ws = ws.child("lines")
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
     gone = repeated_lines(docs, ws, tau, min_chars, least).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    gone = ws.save(gone, "gone", release=True).select(F.col("doc_id").alias("gone_id"), "gone")
-    out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id")
+    gone = ws.save(gone, "gone", release=True)
+    ws.keep(gone)
+    of, at = "of" + "_" * max(map(len, cols), default=0), "at" + "_" * max(map(len, cols), default=0)  # longer than any column of the input
+    out = docs.join(gone.select(F.col("doc_id").alias(of), F.col("gone").alias(at)), F.col("doc_id") == F.col(of), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    rest = _with({"lines": lines, "kept": kept}, lambda x, k: F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col(at).isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest)
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    removed = F.when(F.col(at).isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     return out.select(*(c if c != "text" else text.alias("text") for c in cols), count.alias("n_lines"), removed.alias("n_removed"))

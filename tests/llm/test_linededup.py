@@ -86,12 +86,8 @@ def test_no_python_in_the_plan(spark, docs, ws):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_crowded_buckets_go_through_pivots(spark, ws, monkeypatch):
+def test_crowded_keys(spark, ws):
     """Many unlinked lines that share a segment, with a linked one to every third."""
-    from lakeval.llm import links
-
-    monkeypatch.setattr(links, "SMALL", 3)
-    monkeypatch.setattr(links, "PIVOTS", 4)
     rng = random.Random(3)
     head = "".join(rng.choice("abcdef ") for _ in range(30))
     rows = []
@@ -136,3 +132,11 @@ def test_short_lines_go_too(spark, docs, ws):
     from lakeval.llm.queries import op10_line_dedup as q
 
     assert (q.TAU, q.MIN_CHARS, q.LEAST) == (2, 30, 1)
+
+
+def test_columns_that_clash(spark, ws):
+    """Input columns named like the operator's own; they stay."""
+    rows = [(1, "x" * 40, 5, "a", 1, 2), (2, "x" * 40 + "\ny", 6, "b", 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long, form string, node long, pos long")
+    got = linededup.dedup_lines(df, ws, 2, 30, 1).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_removed"], r["gone"], r["form"], r["node"], r["pos"]) for r in got] == [("x" * 40, 0, 5, "a", 1, 2), ("y", 1, 6, "b", 3, 4)]
