@@ -35,10 +35,10 @@ def _with(values: dict[str, Column], use) -> Column:
     return F.get(F.transform(held, lambda s: use(*(s[n] for n in values))), F.lit(0))
 
 
-def _segments(form: Column, tau: int) -> tuple[list[Column], list[Column]]:
-    """Keys of a line's own segments, and of the places where it may hold those of lines of its length or
-    up to ``tau`` less. The last segments take the characters that are over."""
-    own, probes, n = [], [], F.length(form)
+def _segments(form: Column, n: Column, tau: int) -> tuple[list[Column], list[Column]]:
+    """Keys of a line's own segments, and of the places where it may hold those of lines of its length ``n``
+    or up to ``tau`` less. The last segments take the characters that are over."""
+    own, probes = [], []
     for shorter in range(tau + 1):
         m = n - shorter
         base, extra = F.call_function("div", m, F.lit(tau + 1)).cast("int"), m % (tau + 1)
@@ -54,7 +54,7 @@ def _segments(form: Column, tau: int) -> tuple[list[Column], list[Column]]:
 def segment_keys(form: Column, tau: int) -> Column:
     """Array of all keys of a line; it needs more than ``2 * tau + 1`` characters, so that every probe lies
     within the line."""
-    own, probes = _segments(form, tau)
+    own, probes = _segments(form, F.length(form), tau)
     return F.array(*own, *probes)
 
 
@@ -95,18 +95,18 @@ def _spans(tau: int, min_chars: int) -> list[tuple[int, int, int]]:
     return [(e, low, high) for e, low, high in zip(range(1, tau + 1), least, [*least[1:], 1 << 30], strict=True)]
 
 
-def line_keys(form: Column, tau: int, min_chars: int, least: int) -> tuple[Column, Column]:
-    """Arrays of a line's own keys and of its other probes, under the edits allowed to it and to lines that
-    much shorter. No key is in both."""
-    n, none = F.length(form), F.array().cast("array<bigint>")
+def line_keys(form: Column, n: Column, tau: int, min_chars: int, least: int) -> tuple[Column, Column]:
+    """Arrays of the own keys of a line of length ``n`` and of its other probes, under the edits allowed to it
+    and to lines that much shorter."""
+    none = F.array().cast("array<bigint>")
     spans = [(tau, 2 * tau + 2, 1 << 30)] if least >= min_chars or not tau else _spans(tau, min_chars)
     own, probes = [], []
     for e, low, high in spans:
-        mine, other = _segments(form, e)
+        mine, other = _segments(form, n, e)
         taken = (n >= low) & (n < high + e)
         own.append(F.when(taken, F.array(*mine)).otherwise(none))
         probes.append(F.when(taken, F.array(*other)).otherwise(none) if other else none)
-    return F.concat(*own), F.array_except(F.concat(*probes), F.concat(*own))
+    return F.concat(*own), F.concat(*probes)
 
 
 def linked(a: Column, b: Column, tau: int, min_chars: int, least: int) -> Column:
@@ -132,18 +132,17 @@ def _counts(form: Column) -> list[Column]:
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     form = line_form(F.col("line"))
-    return rows.select("doc_id", "pos", form.alias("form")).filter(F.length("form") >= least).withColumn("h", F.xxhash64("form"))
+    return rows.select("doc_id", "pos", form.alias("form")).filter(F.length("form") >= least).withColumns({"h": F.xxhash64("form"), "g": F.xxhash64("form", F.lit(1))})
 
 
 def _members(forms: DataFrame, ws: Workspace, tau: int, min_chars: int, least: int) -> DataFrame:
     """(key, node, own) of the keys under which a line's own segment meets another line.
 
     An own key is tagged by the line's node, a probe by ``-node - 1``, so the least and the greatest tag of
-    a key, summed up before the shuffle, tell whether it has a segment and two lines."""
-    own, probes = line_keys(F.col("form"), tau, min_chars, least)
+    a key, summed up before the shuffle, tell whether it is a segment and whether it has two tags."""
+    own, probes = line_keys(F.col("form"), F.col("n"), tau, min_chars, least)
     keyed = ws.save(forms.select("node", own.alias("own"), probes.alias("probes")).filter("size(own) > 0"), "keyed")
-    node = F.col("node")
-    tags = keyed.select(F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), node.alias("tag"))), F.transform("probes", lambda k: F.struct(k.alias("key"), (-node - 1).alias("tag"))))).alias("t")).select("t.key", "t.tag")
+    tags = keyed.select(F.explode("own").alias("key"), F.col("node").alias("tag")).unionAll(keyed.select(F.explode("probes").alias("key"), (-F.col("node") - 1).alias("tag")))
     shared = ws.save(tags.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("high >= 0 and low != high").select("key"), "shared")
     # merged at every size: a broadcast would only ever do for small tables
     out = tags.join(shared.hint("merge"), "key").select("key", F.when(F.col("tag") < 0, -F.col("tag") - 1).otherwise(F.col("tag")).alias("node"), (F.col("tag") >= 0).alias("own"))
@@ -201,12 +200,14 @@ def repeated_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: in
         raise ValueError("lines must be longer than twice the threshold and one")
     ws = ws.child("repeated")
     lines = _lines(docs, least)
-    forms = lines.groupBy("h", "form").agg(F.count("*").alias("copies"))
-    forms = ws.save(forms.select(F.monotonically_increasing_id().alias("node"), "h", "form", "copies"), "forms", release=True)
+    forms = lines.groupBy("h", "g", "form").agg(F.count("*").alias("copies"))
+    forms = ws.save(forms.select(F.monotonically_increasing_id().alias("node"), "h", "g", "form", F.length("form").alias("n"), "copies"), "forms", release=True)
     groups = _groups(forms, ws, tau, min_chars, least)
     ws.keep(forms, groups)
-    wanted = forms.join(groups.hint("merge"), "node", "left").filter("copies > 1 or component is not null").select("h", "form", F.coalesce("component", "node").alias("component"))
-    places = ws.save(lines.join(wanted.hint("merge"), ["h", "form"]).select("component", "doc_id", "pos"), "places", release=True)
+    alike = forms.groupBy("h", "g").agg(F.count("*").alias("k")).filter("k > 1")
+    by = ["h", "g"] if alike.isEmpty() else ["h", "g", "form"]  # 128 bits stand for a line unless two lines share them
+    wanted = forms.select("node", "copies", *by).join(groups.hint("merge"), "node", "left").filter("copies > 1 or component is not null").select(*by, F.coalesce("component", "node").alias("component"))
+    places = ws.save(lines.select("doc_id", "pos", *by).join(wanted.hint("merge"), by).select("component", "doc_id", "pos"), "places", release=True)
     ws.keep(places)
     heads = places.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("head"))
     heads = heads.select("component", F.col("head.doc_id").alias("doc"), F.col("head.pos").alias("at"))
