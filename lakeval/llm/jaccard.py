@@ -1,15 +1,23 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word shingles as 64-bit hashes. Documents are banded by set size. In a band,
-sets that may be linked differ in at most ``d`` shingles, so the sketch has more than ``d`` segments:
-each shingle falls in one segment and is XOR-ed into it, twice the same cancels, and every segment that
-differs between two sketches stands for a shingle that only one set has. The number of differing segments
-is thus a lower bound of the symmetric difference, and two linked sets agree in at least one segment
-(pigeonhole). Segments are joined within the band, and what meets is verified on the real texts.
-
-Segments that no shingle fell in say nothing and would join unlike sets. Each sketch has ``spare`` more
-segments than the pigeonhole needs; a set with at most so many empty ones surely agrees with a linked set
-in one that isn't empty, and only the rare sets with more of them also offer their empty segments.
+sets that may be linked differ in at most ``d`` shingles. Shingles are XOR-ed into a sketch: twice the same
+cancels, so what differs between two sketches stands for shingles that only one set has. It is made in two
+widths:
+
+* for the join, more than ``d`` segments of 64 bits. The number of segments that differ is a lower bound of
+  the symmetric difference, so two linked sets agree in at least one segment (pigeonhole). Segments are
+  joined within the band.
+* for what meets, one bit a shingle in a sketch of some four times ``d`` bits. Its Hamming distance is a
+  lower bound as well, and a pair beyond its own bound is dropped before any text moves.
+
+What is left is verified on the real words. Segments that no shingle fell in say nothing and would join
+unlike sets. Each sketch has ``spare`` more segments than the pigeonhole needs; a set with at most so many
+empty ones surely agrees with a linked set in one that isn't empty, and only the rare sets with more of them
+also offer their empty segments.
+
+Keys are made once, in the pass that describes the sets, and sent packed, eight bytes each, to the part that
+looks for keys of two documents. A key that is common within a task is settled there and sent on once.
 """
 
 from __future__ import annotations
@@ -19,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..workspace import Workspace, bound_batches
-from .links import link, shared_buckets
 
 BAND = 1.5
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -111,52 +119,164 @@ class Sketches:
         return np.unique(np.concatenate(out))
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest): the digest is 128 bits of the whole set, null for an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column("text")]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, digest], names=["doc_id", "n_shingles", "digest"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+def exactly_linked(ta: str | None, tb: str | None, words: int, p: int, q: int) -> bool:
+    """Whether two texts are linked, by their words and not by hashes: words, then runs of them, are numbered
+    within the pair."""
+    number: dict[bytes, int] = {}
+    found = [np.array([number.setdefault(w, len(number)) for w in (t or "").encode("utf-8", "surrogatepass").lower().split()], np.int64) for t in (ta, tb)]
+    if not all(map(len, found)):
+        return False
+    short = [len(f) < words for f in found]
+    if any(short):
+        return all(short) and np.array_equal(*found)
+    code = found
+    for k in range(1, words):
+        both = np.concatenate([c[: len(f) - k] * len(number) + f[k:] for c, f in zip(code, found, strict=True)])
+        rank = np.unique(both, return_inverse=True)[1]
+        code = [rank[: len(found[0]) - k], rank[len(found[0]) - k :]]
+    a, b = (np.unique(c) for c in code)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return q * both >= p * (len(a) + len(b) - both)
+
+
+def parity_bits(found: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The bit sketch of a set as 64-bit words: a power of two, 256 bits at least, four times the shingles
+    that it may differ in."""
+    bits = 256
+    while bits < 4 * (len(found) * (q - p) // p):
+        bits *= 2
+    on = np.bincount((_mixed(found) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+#: Keys that a task holds before it sends them, key bytes that one part gets, and how often a key stands in
+#: what a task holds for it to be settled there. None of them changes a result.
+FLUSH_KEYS = 1 << 21
+PART_BYTES = 8 << 20
+COMMON = 64
+
+_MADE = "doc_id long, n_shingles long, digest binary, sketch array<long>, part long, data binary"
+_PAIR = np.dtype([("key", "<i8"), ("node", "<i8")])
+
+
+def _sent(keys: np.ndarray, nodes: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(part, packed keys) of a task's keys; part -1 has the rows of common keys as (key, node)."""
+    part = (keys >> np.uint64(44)) % np.uint64(parts)
+    name = part << np.uint64(40) | keys & np.uint64((1 << 40) - 1)
+    order = np.lexsort((nodes, name))
+    name, nodes = name[order], nodes[order]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (nodes[1:] != nodes[:-1])
+    name, nodes = name[new], nodes[new]
+    start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.empty(0, np.int64)
+    count = np.diff(np.r_[start, len(name)])
+    common = np.repeat(count >= COMMON, count)
+    out = []
+    if common.any():
+        rows = np.empty(int(common.sum()), _PAIR)
+        rows["key"], rows["node"] = name[common].view(np.int64), nodes[common]
+        out.append((-1, rows.tobytes()))
+    first = np.zeros(len(name), bool)
+    first[start] = True
+    keep = ~common | first
+    name, nodes = name[keep], nodes[keep]
+    part = (name >> np.uint64(40)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for low, high in zip(cuts, np.r_[cuts[1:], len(part)] if len(part) else [], strict=True):
+        known, at = np.unique(nodes[low:high], return_inverse=True)
+        entries = (name[low:high] & np.uint64((1 << 40) - 1)) << np.uint64(24) | at.astype(np.uint64)
+        out.append((int(part[low]), np.int64(len(known)).tobytes() + known.tobytes() + entries.tobytes()))
+    return out
 
 
-def sketch_keys(docs: DataFrame, words: int, p: int, q: int, seed: int = 0) -> DataFrame:
-    """(key, node) of the documents; of equal sets that a task meets, only the first."""
+def describe(docs: DataFrame, words: int, p: int, q: int, parts: int, seed: int = 0) -> DataFrame:
+    """Two kinds of rows from one pass over the texts: sets (doc_id, n_shingles, digest, sketch; the digest is
+    128 bits of the whole set, null for an empty one), and packed keys (part, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, met = Sketches(p, q), set()
-        for b in batches:
-            keys, nodes = [], []
+        made = Sketches(p, q)
+        keys, nodes, met, held = [], [], set(), 0
+        names = ["doc_id", "n_shingles", "digest", "sketch", "part", "data"]
 
-            def packed():
-                k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-                n = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
-                keys.clear()
-                nodes.clear()
-                return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "node"])
+        def packed() -> pa.RecordBatch:
+            rows = _sent(np.concatenate(keys), np.concatenate(nodes), parts) if keys else []
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
-            held = 0
+        for b in batches:
+            sizes, digests, sketches = [], [], []
             for t, node in zip(b.column("text"), b.column("doc_id").to_pylist(), strict=True):
                 s = shingles(t.as_py(), words)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                if not len(s) or node is None or digest in met:
+                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                sizes.append(len(s))
+                digests.append(digest)
+                sketches.append(parity_bits(s, p, q) if len(s) else None)
+                if digest is None or node is None or digest in met:
                     continue
-                if len(met) < 2_000_000:
-                    met.add(digest)
+                met.add(digest)
                 k = made.keys(s, seed)
                 keys.append(k)
                 nodes.append(np.full(len(k), node, np.int64))
                 held += len(k)
-                if held > 1 << 18:
+                if held >= FLUSH_KEYS:
                     yield packed()
+                    keys.clear()
+                    nodes.clear()
+                    met.clear()
                     held = 0
-            yield packed()
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), none, pa.nulls(len(sizes), pa.binary())], names=names)
+        yield packed()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _MADE)
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """(key, node) of the keys of one part that two nodes have."""
+    keys, nodes = [], []
+    part = t.column("part")[0].as_py() if t.num_rows else 0
+    for d in t.column("data"):
+        raw = d.as_py()
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        known, entries = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint64, -1, 8 + 8 * n)
+        keys.append(entries >> np.uint64(24))
+        nodes.append(known[(entries & np.uint64((1 << 24) - 1)).astype(np.int64)])
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    same = key[1:] == key[:-1]
+    several = np.r_[False, same] | np.r_[same, False]
+    return pa.table({"key": pa.array((np.uint64(part) << np.uint64(40) | key[several]).view(np.int64)), "node": pa.array(node[several])})
+
+
+def _common(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d in b.column("data"):
+                r = np.frombuffer(d.as_py(), _PAIR)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["key"])), pa.array(np.ascontiguousarray(r["node"]))], names=["key", "node"])
+
+    return rows.select("data").mapInArrow(run, "key long, node long")
+
+
+def _near(a: str, b: str, p: int, q: int) -> Column:
+    """Whether two sets (columns n_shingles, sketch of the aliases) may be linked by their sizes and by the
+    Hamming distance of their sketches. A sketch twice as wide is folded to the other's width."""
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    s, t = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long")
+    def folded(c: Column) -> Column:
+        half = (F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    s2 = F.when(F.size(s) > F.size(t), folded(s)).otherwise(s)
+    t2 = F.when(F.size(t) > F.size(s), folded(t)).otherwise(t)
+    distance = F.aggregate(F.zip_with(s2, t2, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, v: n + v)
+    most = F.call_function("div", (x + y) * (q - p), F.lit(q + p))
+    return (F.least(x, y) * q >= F.greatest(x, y) * p) & (distance <= most)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
@@ -164,85 +284,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) ->
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, np.ndarray] = {}
-
-        def of(text: str) -> np.ndarray:
-            s = last.get(text)
-            if s is None:
-                if len(last) > 64:
-                    last.clear()
-                s = last[text] = shingles(text, words)
-            return s
-
         for batch in batches:
-            ok = pa.array([linked(of(x.as_py()), of(y.as_py()), p, q) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)], pa.bool_())
+            ok = pa.array([exactly_linked(x.as_py(), y.as_py(), words, p, q) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-BLOCK_ROWS = 512
-
-
-def _linked_in_block(ids: list[int], groups: list[int], texts: list[str], words: int, p: int, q: int) -> list[tuple[int, int]]:
-    """Links that connect all linked documents of a block that aren't of one group already.
-
-    Sizes of all intersections come from one product of the matrix of documents by shingles that two or
-    more of them have; it is made in slices of shingles."""
-    sets = [shingles(t, words) for t in texts]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
-    place = np.full(len(count), -1, np.int64)
-    place[shared] = np.arange(len(shared))
-    keep = place[column] >= 0
-    rows, column = rows[keep], place[column][keep]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    for low in range(0, len(shared), 8192):
-        here = (column >= low) & (column < low + 8192)
-        m = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
-        m[rows[here], column[here] - low] = 1
-        both += m @ m.T
-    near = q * both >= p * (sizes[:, None] + sizes[None, :] - both)
-    up = {g: g for g in groups}
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        a, b = root(groups[x]), root(groups[y])
-        if a != b:
-            up[a] = b
-            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    return out
-
-
-def _block_links(crowd: DataFrame, texts: DataFrame, sizes: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """Links within crowds, from blocks of documents of like size against each other.
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
-    Size classes are a factor of the square root of the threshold apart, so linked documents are at most
-    three classes apart; a class is cut into blocks of about BLOCK_ROWS / 2 by id."""
-    step = float(np.log(q / p) / 2) or 1.0
-    rows = crowd.join(sizes.withColumnRenamed("node", "z"), F.col("node") == F.col("z")).withColumn("class", F.floor(F.log("n_shingles") / step).cast("int"))
-    cut = rows.groupBy("crowd", "class").agg(F.ceil(F.count("*") / (BLOCK_ROWS / 2)).cast("int").alias("blocks"))
-    rows = rows.join(cut, ["crowd", "class"]).withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))"))
-    others = cut.select("crowd", F.col("class").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
-    pairs = rows.join(others, "crowd").filter("abs(class - c2) <= 3")
-    mine, other = F.struct("class", "block"), F.struct(F.col("c2").alias("class"), F.col("b2").alias("block"))
-    pairs = pairs.select("crowd", F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), "node", "component")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("t"), "text"), F.col("node") == F.col("t")).select("crowd", "x", "y", "node", "component", "text")
 
-    def run(t: pa.Table) -> pa.Table:
-        found = _linked_in_block(t.column("node").to_pylist(), t.column("component").to_pylist(), t.column("text").to_pylist(), words, p, q)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+def _groups(members: DataFrame, sets: DataFrame, docs: DataFrame, ws: Workspace, words: int, p: int, q: int) -> DataFrame:
+    """(node, component) of the nodes that are linked to another, from distinct (key, node) of shared keys.
 
-    return pairs.groupBy("crowd", "x", "y").applyInArrow(run, "a long, b long")
+    Each node is first verified against the least node of the key fellows that it meets most often. Keys
+    whose nodes are all of one group by then are settled. Under the others nodes are joined across groups,
+    and the join lets through only pairs whose sizes and sketches allow a link."""
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = ws.save(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts", release=True)
+    known = ws.save(sets.join(wanted.withColumnRenamed("doc_id", "node").hint("merge"), "node", "left_semi"), "known", release=True)
+    lead = members.groupBy("key").agg(F.min("node").alias("lead"))
+    leads = members.join(lead, "key").filter("node != lead").groupBy("lead", "node").agg(F.count("*").alias("n"))
+    best = leads.groupBy("node").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    stars = ws.save(best.select(F.col("lead").alias("a"), F.col("node").alias("b")), "stars", release=True)
+    x, y = known.alias("x"), known.alias("y")
+    near = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_near("x", "y", p, q)).select("a", "b").distinct()
+    links = ws.save(_verified(near, texts, words, p, q), "links")
+    groups = ws.save(connected_components(links, ws), "groups")
+    grouped = members.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    left = ws.save(grouped.join(mixed, "key").join(known, "node"), "left", release=True)
+    if left.isEmpty():
+        return groups
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", p, q))
+    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs", release=True)
+    found = ws.save(_verified(pairs, texts, words, p, q), "links")
+    if found.isEmpty():
+        return groups
+    return ws.save(connected_components(links.unionAll(found), ws), "groups")
 
 
 def join(docs: DataFrame, ws: Workspace, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -255,28 +333,24 @@ def join(docs: DataFrame, ws: Workspace, words: int = 5, p: int = 80, q: int = 1
     its component is null. An empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
+    ws = ws.child("jaccard")
     docs = docs.select("doc_id", "text")
-    known = ws.save(describe(docs, words), "sets")
-    classes = known.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = ws.save(classes, "classes")
-    nodes = known.filter("doc_id is not null").join(classes, "digest").select("doc_id", "node").distinct()
-    met = ws.save(shared_buckets(sketch_keys(docs, words, p, q)), "met", release=True)
-    members = met.join(nodes, met["node"] == nodes["doc_id"]).select("key", nodes["node"].alias("node")).distinct()
-    members = ws.save(members.repartition("key"), "members")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
+    made = ws.save(describe(docs, words, p, q, max(1, -(-total // PART_BYTES))), "made", release=True)
+    sets = ws.save(made.filter("part is null").select("doc_id", "n_shingles", "digest", "sketch"), "sets", release=True)
+    met = made.filter("part >= 0").select("part", "data").groupBy("part").applyInArrow(_met, "key long, node long")
+    met = ws.save(met.unionAll(_common(made.filter("part = -1"))), "met", release=True)
+    ws.drop(made)
+    named = sets.filter("digest is not null and doc_id is not null")
+    classes = ws.save(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    nodes = named.join(classes, "digest").select("doc_id", "node", "n_shingles", "sketch")
+    members = ws.save(met.join(nodes.select("doc_id", F.col("node").alias("of")).distinct(), met["node"] == nodes["doc_id"]).select("key", F.col("of").alias("node")).distinct(), "members", release=True)
     ws.drop(met)
     mixed = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
-    members = ws.save(members.join(mixed, "key").select("key", "node"), "members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = ws.save(docs.join(wanted, "doc_id", "left_semi"), "texts", release=True)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, texts, words, p, q)
-
-    of_size = known.join(classes, "digest").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-
-    def blocks(crowd: DataFrame) -> DataFrame:
-        return _block_links(crowd, texts, of_size, words, p, q)
-
-    groups = link(members, verify, ws, blocks)
+    members = ws.save(members.join(mixed, "key").select("key", "node"), "members", release=True)
+    groups = _groups(members, nodes.filter("doc_id = node").select("node", "n_shingles", "sketch"), docs, ws, words, p, q)
     labels = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return known.join(labels, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = sets.join(labels, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = ws.save(out, "out", release=True)
+    ws.keep(out)
+    return out

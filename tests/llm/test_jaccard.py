@@ -48,11 +48,10 @@ def test_components_equal_brute_force(spark, docs, corpus, words, p):
 
 
 def test_large_buckets_of_unlinked_documents(spark, docs, monkeypatch):
-    """Many documents that share most of their text but aren't linked are compared in blocks."""
-    from lakeval.llm import links
-
-    monkeypatch.setattr(links, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 6)
+    """Many documents that share most of their text but aren't linked; common keys are settled in the task."""
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    monkeypatch.setattr(jaccard, "FLUSH_KEYS", 100)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 500)
     rng = random.Random(9)
     shared = prose(rng, 60, 5000)
     rows = []
@@ -83,3 +82,28 @@ def test_linked_sets_share_a_key():
             x, y = (np.sort(np.array(sorted(s), np.uint64)) for s in (a, b))
             if jaccard.linked(x, y, 80, 100):
                 assert set(made.keys(x)) & set(made.keys(y))
+
+
+def test_sketches_bound_the_difference():
+    """The Hamming distance of bit sketches, folded to one width, never exceeds the symmetric difference."""
+    import numpy as np
+
+    rng = random.Random(6)
+    for n in (1, 10, 300, 3000, 12000):
+        a = set(rng.sample(range(10**9), n))
+        b = {x for x in a if rng.random() < 0.9} | {rng.randrange(10**9) for _ in range(n // 12)}
+        x, y = (jaccard.parity_bits(np.array(sorted(s), np.uint64), 80, 100) for s in (a, b))
+        while len(x) != len(y):
+            x, y = (z[: len(z) // 2] ^ z[len(z) // 2 :] if len(z) > min(len(x), len(y)) else z for z in (x, y))
+        assert sum(int(w).bit_count() for w in (x ^ y).view(np.uint64)) <= len(a ^ b)
+
+
+def test_exact_links():
+    assert jaccard.exactly_linked("a b c d", "A  b\nc d", 3, 100, 100) and jaccard.exactly_linked("a b", "A b", 3, 90, 100)
+    assert not jaccard.exactly_linked("a b", "a b c", 3, 50, 100) and not jaccard.exactly_linked("", "", 3, 90, 100) and not jaccard.exactly_linked(None, "a", 3, 90, 100)
+    rng = random.Random(3)
+    for _ in range(200):
+        x, y = (" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        w = rng.randrange(1, 4)
+        sets = [{tuple(t.split()[i : i + w]) for i in range(len(t.split()) - w + 1)} or {tuple(t.split())} for t in (x, y)]
+        assert jaccard.exactly_linked(x, y, w, 60, 100) == (100 * len(sets[0] & sets[1]) >= 60 * len(sets[0] | sets[1])), (x, y, w)
