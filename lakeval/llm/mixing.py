@@ -1,11 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source should be taken ``target / source size`` times. The whole part is certain; the
-fractional part is rounded by pivoting: two fractional documents exchange words, in the direction drawn,
-until one of them is wholly in or out, so the words taken stay what they were and each document keeps its
-probability. Blocks of a few thousand documents of one source pivot by themselves and leave at most one
-fractional document; those are pivoted again, 64 blocks at a time, up a reduction tree, and the last one
-of a source is rounded by a draw. A source's words thus miss its target by less than one document.
+fractional part is rounded by pivoting: a fractional document exchanges words with smaller ones, in the
+direction drawn, until it is wholly in or out, so the words taken stay what they were and each document
+keeps its probability. Blocks of a few thousand documents of one source pivot by themselves, the largest
+first, and leave their smallest fractional ones; those are pivoted again, 64 blocks at a time, up a
+reduction tree, and the last one of a source is rounded by a draw. A source's words thus miss its target by
+a few words of its smallest documents, unless one document outweighs all smaller ones of its block together.
 """
 
 from __future__ import annotations
@@ -22,18 +23,14 @@ from ..workspace import Workspace
 
 BLOCK_ROWS = 4096
 FAN_IN = 64
+#: Documents, its smallest, that a block leaves to the next level.
+LEFT_OPEN = 16
 
 
 def count_words(df: DataFrame, text: str = "text", out: str = "size") -> DataFrame:
-    """Add the number of runs of characters other than ASCII white space; a null text has none."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.LongType())])
-
-    def run(batches):
-        for b in batches:
-            n = pa.array([len(t.as_py().encode().split()) if t.is_valid else 0 for t in b.column(text)], pa.int64())
-            yield pa.RecordBatch.from_arrays([n if c == out else b.column(c) for c in schema.names], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+    """Add the number of runs of characters other than ASCII white space; a null text has none, and an
+    input column of the name is replaced."""
+    return df.withColumn(out, F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def targets(sizes: list[float], weights: list[float], cap: float) -> list[float]:
@@ -55,7 +52,8 @@ def targets(sizes: list[float], weights: list[float], cap: float) -> list[float]
         for i in over:
             got[i] = limit[i]
         left = max(0.0, left - sum(limit[i] for i in over))
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return got
 
 
@@ -69,33 +67,63 @@ def _uniforms(ids: np.ndarray, salt: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def pivot(size: np.ndarray, share: np.ndarray, draw: np.ndarray, last: bool) -> tuple[np.ndarray, int]:
-    """Round ``share`` (in [0, 1]) keeping ``sum(size * share)``; also the place of the one left fractional.
-
-    With ``last`` that one is drawn too and the place is -1."""
-    x = share.astype(np.float64).tolist()
-    s, u = size.tolist(), draw.tolist()
-    at = -1
-    for j, b in enumerate(x):
-        if b < 1e-9 or b > 1 - 1e-9:
-            x[j] = float(round(b))
+def settle(size: np.ndarray, share: np.ndarray, draw: np.ndarray, keep: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Round ``share`` (in [0, 1]) keeping ``sum(size * share)``; also a mask of those left fractional, and
+    the draws with what each used of its own taken out, so that they can be used again.
+
+    From the largest down, each document is paired with all smaller ones together: they give it words, or
+    take some, in proportion to what each has to give or to take, in the direction drawn, until it is in or
+    out. As a draw is fair, every document keeps its probability. What is left are the ``keep`` smallest, or
+    one that all smaller ones together could not settle. The shares of those to come are an affine function
+    of what they were, so a pass over the documents is enough."""
+    x, fresh = share.astype(np.float64), draw.astype(np.float64)
+    odd = (x > 1e-9) & (x < 1 - 1e-9)
+    x[~odd] = np.round(x[~odd])
+    rest = np.zeros(len(x), bool)
+    items = np.flatnonzero(odd)
+    items = items[np.argsort(-size[items], kind="stable")]
+    s, b, u = size[items].astype(np.float64), x[items], draw[items]
+    after_s = np.concatenate([np.cumsum(s[::-1])[::-1][1:], [0.0]]) if len(s) else s
+    after_b = np.concatenate([np.cumsum((s * b)[::-1])[::-1][1:], [0.0]]) if len(s) else s
+    scale, shift = 1.0, 0.0
+    for k, i in enumerate(items.tolist()):
+        a = min(1.0, max(0.0, scale * b[k] + shift))
+        if len(items) - k <= keep and 1e-9 < a < 1 - 1e-9:
+            x[i], rest[i] = a, True
             continue
-        if at < 0:
-            at = j
+        if not 1e-9 < a < 1 - 1e-9:
+            x[i] = round(a)
             continue
-        a = x[at]
-        up = min(s[at] * (1 - a), s[j] * b)  # words that may move to the earlier one
-        down = min(s[at] * a, s[j] * (1 - b))
-        move = up if u[j] * (up + down) < down else -down
-        a, b = a + move / s[at], b - move / s[j]
-        a, b = (float(round(v)) if v < 1e-9 or v > 1 - 1e-9 else v for v in (a, b))
-        x[at], x[j] = a, b
-        if a in (0.0, 1.0):
-            at = -1 if b in (0.0, 1.0) else j
-    if last and at >= 0:
-        x[at] = 1.0 if u[at] < x[at] else 0.0
-        at = -1
-    return np.array(x), at
+        have = min(after_s[k], max(0.0, scale * after_b[k] + shift * after_s[k]))
+        lack = after_s[k] - have
+        up, down = min(s[k] * (1 - a), have), min(s[k] * a, lack)
+        part = down / (up + down) if up + down > 0 else 1.0
+        if u[k] < part:  # the smaller ones give it words
+            fresh[i] = u[k] / part
+            a += up / s[k]
+            f = 1 - up / have if have > 0 else 1.0
+            scale, shift = scale * f, shift * f
+        else:
+            fresh[i] = (u[k] - part) / (1 - part)
+            a -= down / s[k]
+            f = 1 - down / lack if lack > 0 else 1.0
+            scale, shift = scale * f, 1 - f + shift * f
+        if 1e-9 < a < 1 - 1e-9:
+            x[i], rest[i] = a, True
+        else:
+            x[i] = round(a)
+    return x, rest, fresh
+
+
+def pivot(size: np.ndarray, share: np.ndarray, draw: np.ndarray, last: bool) -> tuple[np.ndarray, int]:
+    """``settle`` down to one document and the place of that one; with ``last`` it is drawn too and the place
+    is -1."""
+    x, rest, fresh = settle(size, share, draw)
+    left = np.flatnonzero(rest)
+    if last:
+        x[left] = fresh[left] < x[left]
+        return x, -1
+    return x, int(left[0]) if len(left) else -1
 
 
 def mix(rows: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -106,7 +134,8 @@ def mix(rows: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, seed: int =
     is held by the driver, as any mixing plan is; documents never are. Returns doc_id, source, size,
     source_size, target, copies. Rows without words get 0 copies. Equal rows may get different copies;
     which of them does makes no difference. The draws depend on doc_id and ``seed`` alone, so reruns agree
-    whatever the partitions. An empty table gives an empty table.
+    whatever the partitions. A null doc_id is drawn as one id. An empty table gives an empty table. Other
+    columns are ignored.
     """
     spark = rows.sparkSession
     rows = ws.save(rows.select("doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
@@ -130,11 +159,12 @@ def mix(rows: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, seed: int =
             order = np.argsort(_uniforms(ids, seed), kind="stable")
             x = np.empty(len(ids))
             draws = _uniforms(ids, seed + 1 + depth)
-            got, at = pivot(t.column("size").to_numpy()[order], t.column("share").to_numpy()[order], draws[order], last)
-            x[order] = got
+            size, share = t.column("size").to_numpy()[order], t.column("share").to_numpy()[order]
             rest = np.zeros(len(ids), bool)
-            if at >= 0:
-                rest[order[at]] = True
+            if last:
+                x[order] = pivot(size, share, draws[order], True)[0]
+            else:
+                x[order], rest[order], _ = settle(size, share, draws[order], LEFT_OPEN)
             keep = t.select(["doc_id", "source", "size", "no", "source_size", "target", "whole"])
             return keep.append_column("share", pa.array(x)).append_column("block", t.column("block")).append_column("open", pa.array(rest))
 
@@ -156,9 +186,10 @@ def mix(rows: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, seed: int =
 
 
 def mixed_rows(docs: DataFrame, ws: Workspace, weight_of, cap: float = 3.0, text: str = "text") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; its columns are those of ``docs``.
+    """``docs`` with each row as often as the mix takes it; its columns are those of ``docs``, whatever their
+    names.
 
-    Rows that share doc_id, source and size are dealt their copies in the order of their texts."""
+    A null text has no words and is never taken. Rows that share doc_id, source and size are dealt their copies in the order of their texts."""
     cols = docs.columns
     sized = count_words(docs, text, "size_")
     sizes = sized.select("doc_id", "source", F.col("size_").alias("size"))
