@@ -6,6 +6,9 @@ distance to it; by the triangle inequality a query at distance ``d`` from the po
 half that is nearer than ``max(least - d, d - largest)``. A half is left out when ``factor`` times that
 bound exceeds the distance of the k-th best so far. Factor one leaves out nothing that counts, so search
 is exact; a larger factor leaves out more and may miss neighbours.
+
+The top of the tree deals rows to cells, so that by the same bound a query goes only to the cells that it
+reaches; below, each shard of a cell has a tree of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+
 SHARD_ROWS = 25_000
 LEAF_ROWS = 192
 #: Scores this close are compared again by one fixed order of additions.
@@ -139,23 +144,194 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
                 yield (int(dim[lo]), int(shard[lo])), int(kind[lo]), ids[lo:hi], flat.reshape(hi - lo, -1).astype(np.float64)
 
 
+class Cells:
+    """The top of the tree, over a sample of the rows of one dimension: each leaf is a cell of the space.
+
+    A cell knows the vantage points above it. With the least and greatest distance of its rows to each of
+    them, the triangle inequality bounds how near anything in the cell can be to a query."""
+
+    def __init__(self, vectors: np.ndarray, wanted: int):
+        units = vectors / _norms(vectors)[:, None]
+        rng = np.random.default_rng(len(vectors))
+        self.points: list[np.ndarray] = []
+        self.radius: list[float] = []
+        self.paths: list[list[tuple[int, bool]]] = []
+        todo = [(np.arange(len(units)), wanted, [])]
+        while todo:
+            rows, n, path = todo.pop()
+            if n <= 1 or len(rows) < 16:
+                self.paths.append(path)
+                continue
+            tried = rng.choice(rows, 8, replace=False)
+            spread = _chord(units[tried] @ units[rows[:512]].T).var(axis=1)
+            d = _chord(units[rows] @ units[tried[int(spread.argmax())]])
+            radius, at = float(np.quantile(d, (n // 2) / n)), len(self.points)
+            self.points.append(units[tried[int(spread.argmax())]])
+            self.radius.append(radius)
+            todo.append((rows[d > radius], n - n // 2, [*path, (at, False)]))
+            todo.append((rows[d <= radius], n // 2, [*path, (at, True)]))
+        self.depth = max(map(len, self.paths))
+        self.above = np.full((len(self.paths), max(1, self.depth)), -1)
+        for cell, path in enumerate(self.paths):
+            self.above[cell, : len(path)] = [at for at, _ in path]
+
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
+        units = vectors / _norms(vectors)[:, None]
+        return _chord(units @ np.array(self.points).T) if self.points else np.empty((len(vectors), 0))
+
+    def place(self, d: np.ndarray) -> np.ndarray:
+        """The cell of each row, from its distances to all vantage points."""
+        out = np.zeros(len(d), np.int64)
+        left = np.ones(len(d), bool)
+        for cell, path in enumerate(self.paths):
+            inside = left.copy()
+            for at, near in path:
+                inside &= (d[:, at] <= self.radius[at]) == near
+            out[inside] = cell
+            left &= ~inside
+        return out
+
+    def spans(self, d: np.ndarray, cell: np.ndarray) -> dict[int, np.ndarray]:
+        """By cell, (least, greatest) distance of its rows to each vantage point above it."""
+        out = {}
+        for c in np.unique(cell):
+            above = self.above[c][self.above[c] >= 0]
+            own = d[cell == c][:, above]
+            out[int(c)] = np.stack([own.min(axis=0), own.max(axis=0)]) if len(above) else np.zeros((2, 0))
+        return out
+
+    def reached(self, d: np.ndarray, reach: np.ndarray, spans: dict[int, np.ndarray], factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that may hold something within ``reach`` of a row."""
+        rows, cells = [], []
+        for c, (low, high) in spans.items():
+            above = self.above[c][self.above[c] >= 0]
+            own = d[:, above]
+            bound = np.maximum(low - own, own - high).max(axis=1, initial=0.0)
+            hit = np.flatnonzero(bound * factor <= reach + 1e-7)
+            rows.append(hit)
+            cells.append(np.full(len(hit), c))
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+#: Rows that the top of the tree is made from, and cells that it has at most; beyond that a cell is dealt to
+#: several shards. What the driver and each task hold of it is bounded by these two.
+SAMPLE_ROWS = 8192
+MOST_CELLS = 4096
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _tops(rows: DataFrame, wanted: int) -> dict[int, Cells]:
+    """The top of a tree for each dimension that the sample holds."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("dim", "vector").collect()
+    by: dict[int, list] = {}
+    for r in sample:
+        by.setdefault(r["dim"], []).append(r["vector"])
+    return {dim: Cells(np.array(v, np.float64), wanted) for dim, v in by.items()}
+
+
+def _by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for b in batches:
+        dim = b.column("dim").to_numpy()
+        for one in np.unique(dim):
+            yield int(one), b.filter(pa.array(dim == one))
+
+
+def _placed(rows: DataFrame, tops: dict[int, Cells]) -> DataFrame:
+    """Add ``cell``; rows of a dimension that the sample lacks are in cell 0."""
+
+    def run(batches):
+        for dim, b in _by_dim(batches):
+            top = tops.get(dim)
+            cell = top.place(top.distances(_flat(b.column("vector")))) if top else np.zeros(b.num_rows, np.int64)
+            yield b.append_column("cell", pa.array(cell))
+
+    return rows.mapInArrow(run, "vec_id long, vector array<double>, dim int, cell long")
+
+
+def _spans(placed: DataFrame, tops: dict[int, Cells]) -> dict[int, dict[int, np.ndarray]]:
+    """(least, greatest) distances by dimension and cell. Tasks and then Spark sum them up first; the driver
+    gets one row a cell and vantage point above it."""
+
+    def run(batches):
+        for dim, b in _by_dim(batches):
+            top = tops.get(dim)
+            if not top:
+                continue
+            found = top.spans(top.distances(_flat(b.column("vector"))), b.column("cell").to_numpy())
+            rows = [(dim, c, k, low, high) for c, s in found.items() for k, (low, high) in enumerate(s.T.tolist() or [(0.0, 0.0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["dim", "cell", "k", "low", "high"])
+
+    least = placed.mapInArrow(run, "dim int, cell long, k int, low double, high double").groupBy("dim", "cell", "k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[int, dict[int, list]] = {}
+    for r in least.orderBy("dim", "cell", "k").collect():
+        out.setdefault(r["dim"], {}).setdefault(r["cell"], []).append((r["low"], r["high"]))
+    return {dim: {c: np.array(v).T if len(tops[dim].points) else np.zeros((2, 0)) for c, v in cells.items()} for dim, cells in out.items()}
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block: int = 2048) -> DataFrame:
     """The ``k`` nearest ids of each query id: query_id, rank, vec_id, score.
 
-    ``rows`` and ``queries`` have vec_id and vector (array of numbers). Rows with a null id or vector, a
-    zero vector, an empty one, or null, NaN or infinite components take no part. Only vectors of one
-    length are compared. Rows that repeat an id count once, at their largest cosine; a query's own id is
-    no candidate. Ties go to the smaller id. Every shard sees every query, in blocks of ``block``; a task
-    holds one shard at a time. No rows or no queries give no result.
+    ``rows`` and ``queries`` have vec_id and vector (array of numbers); other columns are ignored. Rows with
+    a null id or vector, a zero vector, an empty one, or null, NaN or infinite components take no part. Only
+    vectors of one length are compared. Rows that repeat an id count once, at their largest cosine; a
+    query's own id is no candidate. Ties go to the smaller id. No rows or no queries give no result.
+
+    Rows are dealt to the cells of a tree's top. A query is first searched in its own cell; how near its k-th
+    best is there decides which other cells it is sent to. A shard has a tree of its own, and a task holds
+    one shard and ``block`` queries at a time.
     """
     clean = "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x != 0)"
     typed = [F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")]
     rows, queries = (d.select(*typed).filter(clean).withColumn("dim", F.size("vector")) for d in (rows, queries))
     shards = max(1, -(-rows.count() // shard_rows))
-    kept = rows.withColumn("shard", F.expr(f"int(pmod(xxhash64(vec_id), {shards}))")).withColumn("kind", F.lit(0))
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
+    if shards == 1:
+        at = F.lit(0).cast("long").alias("cell")
+        return _best(_scan(rows.select("*", at), queries.select("*", at), 1, 1, k, factor, block), k)
+    ws = Workspace(rows.sparkSession, "vptree")
+    cells = min(shards, MOST_CELLS)
+    parts = -(-shards // cells)
+    tops = _tops(rows, cells)
+    kept = ws.save(_placed(rows, tops), "rows")
+    asked = ws.save(_placed(queries, tops), "queries")
+    spans = _spans(kept, tops)
+    first = ws.save(_scan(kept, asked, cells, parts, k, factor, block), "first")
+    worst = _best(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("q_"), F.col("score").alias("worst"))
+
+    def route(batches):
+        for dim, b in _by_dim(batches):
+            top = tops.get(dim)
+            if not top:
+                continue
+            reach = _chord(np.nan_to_num(b.column("worst").to_numpy(zero_copy_only=False), nan=-np.inf, neginf=-np.inf))
+            at, cell = top.reached(top.distances(_flat(b.column("vector"))), reach, spans.get(dim, {}), factor)
+            other = b.column("cell").to_numpy()[at] != cell
+            at, cell = at[other], cell[other]
+            for low in range(0, len(at), 65_536):
+                some = b.take(pa.array(at[low : low + 65_536])).select(["vec_id", "vector", "dim"])
+                yield some.append_column("cell", pa.array(cell[low : low + 65_536]))
+
+    sent = asked.join(worst, F.col("vec_id") == F.col("q_"), "left").select("vec_id", "vector", "dim", "cell", "worst")
+    sent = sent.mapInArrow(route, "vec_id long, vector array<double>, dim int, cell long")
+    return _best(first.unionByName(_scan(kept, sent, cells, parts, k, factor, block)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the ``k`` best of each query; ties go to the smaller id."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
+    top = once.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
+    return top.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
+
+def _scan(rows: DataFrame, asked: DataFrame, cells: int, parts: int, k: int, factor: float, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of the ``k`` best of each query in each shard of the cell that it is sent to."""
+    kept = rows.withColumn("shard", F.col("cell") * parts + F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("kind", F.lit(0))
+    sent = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("shard", F.col("cell") * parts + F.col("part")).withColumn("kind", F.lit(1))
     cols = ["dim", "shard", "kind", "vec_id", "vector"]
-    both = kept.select(cols).unionByName(asked.select(cols)).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    both = kept.select(cols).unionByName(sent.select(cols)).repartition(cells * parts, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
 
     def run(batches):
         at, tree, held, pending = None, None, [], []
@@ -184,8 +360,4 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0,
         if tree and pending:
             yield answer(tree, pending)
 
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))
-    top = once.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
