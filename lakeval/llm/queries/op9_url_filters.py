@@ -35,8 +35,12 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict: one row for each row of pages."""
+    """page_id, host, path, rule, verdict: one row for each row of pages. The model learns from the labelled
+    table and from at most ``urlfilter.MOST_LABELLED`` of the urls that the rules judge, so that it
+    carries the rules' preferences over to the rest."""
     host, path = urlfilter.split_url(F.col("url"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host.alias("host"), path.alias("path"))
-    ruled = urlfilter.judge(urlfilter.apply_rules(pages, RULES), urlfilter.train(labelled_urls(spark)))
+    ruled = urlfilter.apply_rules(pages, RULES)
+    labelled = labelled_urls(spark).unionByName(urlfilter.ruled_sample(ruled))
+    ruled = urlfilter.judge(ruled, urlfilter.train(labelled))
     return ruled.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "model_verdict").alias("verdict"))

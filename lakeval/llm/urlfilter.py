@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 GRAMS = (3, 4)
-#: The labelled table that the model learns from may have so many rows; it is a table of examples, not
-#: the corpus.
+#: So many rows that rules judge may become examples of the model.
 MOST_LABELLED = 20_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
-    """Host (A-Z lower-cased) and path of a url; both empty for a null or where there is no ``://``."""
+    """Host (A-Z lower-cased) and path of a url; both empty for a null or where there is no ``://``. Urls of any
+    length are taken whole."""
     rest = F.regexp_replace(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), r"(?s)[?#].*$", "")
     has = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,7 +34,8 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 
 def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Add ``rule`` and ``rule_verdict`` of the longest rule that fits ``host`` and ``path``; else nulls.
+    """Add ``rule`` and ``rule_verdict`` of the longest rule that fits ``host`` and ``path``; else nulls. Input
+    columns of these two names are replaced, all others stay; a null host or path fits no rule.
 
     A rule fits its host and all subdomains where the path starts with the rule's. The rule list is a
     parameter of the call, so its fits are written out as conditions, longest rule first."""
@@ -55,22 +56,31 @@ def _grams(host: Column, path: Column) -> Column:
     return F.concat(*out)
 
 
+def ruled_sample(ruled: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """(host, path, label) of at most ``most`` rows that a rule judges, the first by hash of host and path:
+    examples for a model of what the rules say nothing of. The bound is this parameter's."""
+    rows = ruled.filter("rule_verdict is not null").select("host", "path", (F.col("rule_verdict") == "block").cast("int").alias("label")).distinct()
+    return rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most)
+
+
 def train(labelled: DataFrame, buckets: int = BUCKETS, reg: float = 1e-3) -> PipelineModel | str:
-    """Model from rows (host, path, label 1 for block and 0 for allow).
+    """Model from rows (host, path, label 1 for block and 0 for allow); other columns are ignored.
 
     Nulls in any of the three teach nothing. With labels of one kind only the model is that verdict, and
     without any label it is ``allow``."""
     rows = labelled.filter("host is not null and path is not null and label is not null").select(_grams(F.col("host"), F.col("path")).alias("grams"), F.col("label").cast("double").alias("label"))
-    kinds = sorted(r["label"] for r in rows.select("label").distinct().collect())
-    if len(kinds) < 2:
-        return "block" if kinds == [1.0] else "allow"
+    kinds = rows.agg(F.min("label").alias("low"), F.max("label").alias("high")).head()
+    if kinds["low"] == kinds["high"]:
+        return "block" if kinds["low"] == 1.0 else "allow"
     stages = [HashingTF(numFeatures=buckets, inputCol="grams", outputCol="features", binary=True), LogisticRegression(regParam=reg, maxIter=60, featuresCol="features", labelCol="label")]
     return Pipeline(stages=stages).fit(rows)
 
 
 def judge(pages: DataFrame, model: PipelineModel | str) -> DataFrame:
-    """Add ``model_verdict`` by host and path."""
+    """Add ``model_verdict`` by ``host`` and ``path``, nulls as empty text. All other columns stay, whatever
+    their names; one of this name is replaced. An empty table gives an empty one."""
     if isinstance(model, str):
         return pages.withColumn("model_verdict", F.lit(model))
-    scored = model.transform(pages.withColumn("grams", _grams(F.col("host"), F.col("path"))))
-    return scored.withColumn("model_verdict", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).drop("grams", "features", "rawPrediction", "probability", "prediction")
+    none = F.lit("")
+    held = pages.drop("model_verdict").select(F.struct("*").alias("row_"), _grams(F.coalesce("host", none), F.coalesce("path", none)).alias("grams"))
+    return model.transform(held).select("row_.*", F.when(F.col("prediction") > 0.5, "block").otherwise("allow").alias("model_verdict"))

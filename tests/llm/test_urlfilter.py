@@ -62,3 +62,25 @@ def test_labels_of_one_kind_or_none(spark):
     one = spark.createDataFrame([("a", "/", 1), (None, "/", 0)], "host string, path string, label int")
     assert urlfilter.train(one) == "block" and urlfilter.train(one.limit(0)) == "allow"
     assert urlfilter.judge(one, "block").filter("model_verdict = 'block'").count() == 2
+
+
+def test_columns_that_clash(spark):
+    """Columns named like the model's own, and nulls, stay as they are."""
+    rows = [("a.net", "/x", 1, "g", 2.0), (None, None, 2, "h", 3.0)]
+    df = spark.createDataFrame(rows, "host string, path string, features int, grams string, prediction double")
+    got = urlfilter.judge(urlfilter.apply_rules(df, RULES), urlfilter.train(op9_url_filters.labelled_urls(spark))).orderBy("features").collect()
+    assert [(r["features"], r["grams"], r["prediction"], r["host"]) for r in got] == [(1, "g", 2.0, "a.net"), (2, "h", 3.0, None)]
+    assert all(r["model_verdict"] in ("block", "allow") for r in got) and urlfilter.judge(df.limit(0), "block").count() == 0
+
+
+def test_the_model_agrees_with_rules_that_it_has_not_seen(spark):
+    """Held out by host and path, ruled urls get the rules' verdict from the model alone."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = urlfilter.split_url(F.col("url"))
+    ruled = urlfilter.apply_rules(pages.select(host.alias("host"), path.alias("path")), RULES).withColumn("k", F.pmod(F.xxhash64("host", "path"), F.lit(4)))
+    model = urlfilter.train(urlfilter.ruled_sample(ruled.filter("k <> 0"), 500))
+    scored = urlfilter.judge(ruled.filter("k = 0 and rule is not null"), model)
+    right = scored.agg(F.avg((F.col("model_verdict") == F.col("rule_verdict")).cast("int"))).head()[0]
+    assert right > 0.9
