@@ -22,7 +22,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,12 +173,41 @@ LONGER = 4
 _SYLLABLES = {
     "LATIN": ("b br c d dr f fl g gr h j k kl l m n p pr r s st t tr v w z".split(), "a e i o u ei au ie".split(), {"f": ["a", "ia", "elle", "ine"], "m": ["o", "en", "ric", "us"], "n": ["er", "man", "ley", "sen"]}),
     "CYRILLIC": ("б в г д ж з к л м н п р с т ф х".split(), "а е и о у".split(), {"f": ["а", "ия"], "m": ["ей", "ир", "ан"], "n": ["енко", "ук", "ич"]}),
-    "GREEK": ("β γ δ ζ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο".split(), {"f": ["α", "η"], "m": ["ος", "ης"], "n": ["άκης", "ίδης"]}),
+    "GREEK": ("β γ δ ζ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο".split(), {"f": ["α", "η"], "m": ["ος", "ης"], "n": ["ακης", "ιδης"]}),
 }
 
 
+#: Endings of surnames that differ by gender, as (a man's, a woman's); Greek without accents.
+_PAIRED = {
+    "CYRILLIC": [("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ын", "ына"), ("ский", "ская"), ("цкий", "цкая")],
+    "GREEK": [("ος", "ου"), ("ης", "η"), ("ας", "α")],
+}
+
+
+def _script(name: str) -> str:
+    return unicodedata.name(name[0], "LATIN").split()[0]
+
+
+def _bare(name: str) -> str:
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", name) if c != "\u0301")) if _script(name) == "GREEK" else name
+
+
+def surname_form(name: str) -> str:
+    """The form that a family's members share: a man's, Greek ones without accents."""
+    script, bare = _script(name), _bare(name)
+    for his, hers in _PAIRED.get(script, ()):
+        if bare.endswith(hers) and len(bare) > len(hers) + 2 and not (script == "GREEK" and bare.endswith(his)):
+            return bare[: -len(hers)] + his
+    return bare
+
+
+def _ending(name: str) -> str:
+    """The paired ending of a surname in a man's form; empty if it has none."""
+    return next((his for his, _ in _PAIRED.get(_script(name), ()) if name.endswith(his) and len(name) > len(his) + 2), "")
+
+
 def _name(k: _Key, name: str, kind: str, gender: str, attempt: int) -> str:
-    script = unicodedata.name(name[0], "LATIN").split()[0]
+    script = _script(name)
     onset, vowel, endings = _SYLLABLES.get(script, _SYLLABLES["LATIN"])
     n = k.number(kind, gender, name.casefold(), attempt)
     out = ""
@@ -191,7 +220,8 @@ def _name(k: _Key, name: str, kind: str, gender: str, attempt: int) -> str:
     if n < 1 << 32:
         n = k.number(kind, gender, name.casefold(), attempt, len(out))
     n, a = divmod(n, len(onset))
-    out += onset[a] + endings[gender if kind == "given" else "n"][n % len(endings[gender if kind == "given" else "n"])]
+    own = endings[gender if kind == "given" else "n"]
+    out += onset[a] + (kind == "surname" and _ending(name) or own[n % len(own)])
     parts = [out[:1].upper() + out[1:]]
     if "-" in name:
         first, _, second = name.partition("-")
@@ -249,6 +279,16 @@ def _cased(shape: str, text: str) -> str:
     return "".join(t.upper() if s.isupper() else t for s, t in zip(shape, text, strict=True))
 
 
+#: Calling codes of one and of two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
+def calling_code(digits: str) -> str:
+    """The country's part of an international number."""
+    return digits[:1] if digits.startswith(ONE_DIGIT) else digits[:2] if digits.startswith(TWO_DIGITS) else digits[:3]
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of what is to be replaced, in order and disjoint."""
     if not text or not _HINT.search(text):
@@ -271,9 +311,9 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif m["ssn"]:
             out.append((*m.span(), "ssn", m["ssn"]))
         elif m["phone"]:
-            country = re.match(r"\+\d{1,3}(?=[ .\-(])", m["phone"])
-            code = country[0] if country else "+" if m["phone"][0] == "+" else ""
-            out.append((*m.span(), "phone", code + "/" + re.sub(r"\D", "", m["phone"][len(code) :])))
+            digits = re.sub(r"\D", "", m["phone"])
+            code = calling_code(digits) if m["phone"][0] == "+" else ""
+            out.append((*m.span(), "phone", ("+" + code if code else "") + "/" + digits[len(code) :]))
         elif m["titled"]:
             start, parts = m.start("who"), m["who"].split(" ")
             gender = TITLES[m["title"]]
@@ -281,16 +321,18 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                 own = _GENDER.get(parts[0].casefold(), gender)
                 out.append((start, start + len(parts[0]), "given", own + "/" + parts[0]))
                 start += len(parts[0]) + 1
-            out.append((start, m.end("who"), "surname", "n/" + parts[-1]))
+            out.append((start, m.end("who"), "surname", "n/" + surname_form(parts[-1])))
         elif kind:
             out.append((*m.span("given"), "given", _GENDER[m["given"].casefold()] + "/" + m["given"]))
-            out.append((*m.span("surname"), "surname", "n/" + m["surname"]))
+            out.append((*m.span("surname"), "surname", "n/" + surname_form(m["surname"])))
     return out + _later_mentions(text, out)
 
 
 def _later_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Other mentions of names that the text has in full somewhere."""
-    known = {form.partition("/")[2]: (kind, form) for _, _, kind, form in found if kind in ("given", "surname")}
+    known = {text[a:b]: (kind, form) for a, b, kind, form in found if kind in ("given", "surname")}
+    for kind, form in list(known.values()):
+        known.setdefault(form.partition("/")[2], (kind, form))
     if not known:
         return []
     taken = sorted(x[:2] for x in found)
@@ -313,24 +355,31 @@ def written(kind: str, shape: str, value: str) -> str:
         return _cased(shape, value)
     if kind == "phone":
         code, _, rest = value.rpartition("/")
-        return code + _refit(shape[len(code) :], rest)
+        return _refit(shape, code.removeprefix("+") + rest)
     if kind in ("card", "iban"):
         return _refit(shape, value)
     if kind in ("given", "surname"):
-        return value.partition("/")[2]
+        name = value.partition("/")[2]
+        bare = _bare(shape)
+        his = _ending(name)
+        if kind == "surname" and his and surname_form(shape) != bare:  # a woman's form of it
+            name = name[: -len(his)] + dict(_PAIRED[_script(name)])[his]
+        return name
     return value
 
 
 def _entities(docs: DataFrame, key: str) -> DataFrame:
+    """(h, kind, form, made) of each text; ``h`` stands for the text."""
+
     def run(batches):
         k = _Key(key)
         for b in batches:
-            rows = [(d, kind, form) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for kind, form in sorted({x[2:] for x in mentions(t.as_py())})]
+            rows = [(h, kind, form) for h, t in zip(b.column("h").to_pylist(), b.column("text"), strict=True) for kind, form in sorted({x[2:] for x in mentions(t.as_py())})]
             made = [surrogate(k, kind, form, 0) for _, kind, form in rows]
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array(made, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kind", "form", "made"])
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "kind", "form", "made"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, kind string, form string, made string")
+    return docs.select("h", "text").mapInArrow(run, "h long, kind string, form string, made string")
 
 
 def _redrawn(rows: DataFrame, key: str) -> DataFrame:
@@ -343,21 +392,32 @@ def _redrawn(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("kind", "form", "made", "attempt").mapInArrow(run, "kind string, form string, made string, attempt int")
 
 
+def _low(c: str) -> Column:
+    """What a form or surrogate is compared by: without case, and names without the mark of their gender, as
+    they are written."""
+    named = F.col("kind").isin("given", "surname")
+    return F.lower(F.when(named, F.substring_index(c, "/", -1)).otherwise(F.col(c)))
+
+
 def resolve(seen: DataFrame, key: str, ws: Workspace, rounds: int = 50) -> DataFrame:
     """(kind, form, made, attempt) of the distinct entities, no two of a kind with one surrogate and none
     with a surrogate that is an original. Of those that clash the least form stays.
 
-    Rounds go on until none clashes. Names get longer, so they end; patterns of digits and letters end
-    unless the corpus fills one whole, when ``rounds`` rounds in a row bring no fewer clashes."""
+    Rounds go on until none clashes. Names get longer, so they end. Patterns of digits and letters end
+    unless the corpus fills one whole, so that ``rounds`` rounds in a row bring no fewer clashes: then every
+    entity of the kind goes back to its first surrogate, which no other has, though one may be an original."""
     table = ws.save(seen.select("kind", "form", "made").distinct().withColumn("attempt", F.lit(0)), "entities")
-    kinds = [F.col("kind"), F.lower("made").alias("low")]
-    originals = table.select("kind", F.lower("form").alias("low")).distinct()
-    fewest, stalled = None, 0
-    while stalled < rounds:
+    originals = table.select("kind", _low("form").alias("low")).distinct()
+    first = table
+    fewest, stalled, full = None, 0, []
+    while True:
+        kinds = [F.col("kind"), _low("made").alias("low")]
         shared = table.groupBy(*kinds).agg(F.count("*").alias("n"), F.min("form").alias("least")).filter("n > 1").drop("n")
         taken = table.select(*kinds).distinct().join(originals, ["kind", "low"], "left_semi").withColumn("least", F.lit(None).cast("string"))
         clash = shared.unionByName(taken)
-        marked = table.withColumn("low", F.lower("made")).join(clash, ["kind", "low"], "left_semi")
+        if full:
+            clash, taken = (d.filter(~F.col("kind").isin(*full)) for d in (clash, taken))
+        marked = table.withColumn("low", _low("made")).join(clash, ["kind", "low"], "left_semi")
         again = marked.join(shared.withColumnRenamed("least", "stays"), ["kind", "low"], "left").join(taken.select("kind", "low", F.lit(True).alias("real")), ["kind", "low"], "left")
         again = ws.save(again.filter("real or form != stays").select("kind", "form", "made", (F.col("attempt") + 1).alias("attempt")), "again")
         left = again.count()
@@ -365,32 +425,38 @@ def resolve(seen: DataFrame, key: str, ws: Workspace, rounds: int = 50) -> DataF
             return table
         stalled = 0 if fewest is None or left < fewest else stalled + 1
         fewest = left if fewest is None else min(fewest, left)
+        if stalled >= rounds:
+            spent = [r["kind"] for r in again.select("kind").distinct().collect() if r["kind"] not in ("given", "surname")]
+            if spent:
+                full += spent
+                table = ws.save(table.filter(~F.col("kind").isin(*spent)).unionByName(first.filter(F.col("kind").isin(*spent))), "entities")
+                fewest, stalled = None, 0
+                continue
         kept = table.join(again.select("kind", "form"), ["kind", "form"], "left_anti")
         table = ws.save(kept.unionByName(_redrawn(again, key)), "entities")
-    raise RuntimeError(f"surrogates still clash, and no fewer after {rounds} more rounds")
 
 
 def replace(docs: DataFrame, ws: Workspace, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
     """``docs`` with every mention of personal data replaced, and the number of mentions.
 
     Nulls and texts without personal data stay as they are. Equal texts, in repeated rows or documents,
-    get equal replacements; doc_id only carries those surrogates that had to move, and rows without one
-    are treated as all others. Other columns stay; an input column named like the count is replaced; an
-    empty table gives an empty one. The corpus's entities stay distributed throughout.
+    get equal replacements. Surrogates that had to move are found by a hash of the text; no id is read. Other
+    columns stay, whatever their names; an input column named like the count is replaced; an empty table
+    gives an empty one. The corpus's entities stay distributed throughout.
     """
     bound_batches(docs.sparkSession)
-    seen = ws.save(_entities(docs.select("doc_id", F.col(text).alias("text")), key), "seen", release=True)
+    seen = ws.save(_entities(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")), key), "seen", release=True)
     table = resolve(seen, key, ws)
     moved = table.filter("attempt > 0").select("kind", "form", "attempt")
-    of_doc = seen.join(moved, ["kind", "form"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("moved"))
-    of_doc = ws.save(of_doc.select(F.col("doc_id").alias("moved_id"), "moved"), "moved", release=True)
+    of_text = seen.join(moved, ["kind", "form"]).groupBy("h").agg(F.collect_set(F.struct("kind", "form", "attempt")).alias("moved"))
     docs = docs.drop(count)
     names = docs.columns
-    kind = "array<struct<kind:string,form:string,attempt:int>>"
-    if of_doc.isEmpty():
-        joined = docs.withColumn("moved_", F.lit(None).cast(kind))
+    of, moved_ = ("of" + "_" * (max(map(len, [*names, count])) + 1), "moved" + "_" * (max(map(len, [*names, count])) + 1))
+    of_text = ws.save(of_text.select(F.col("h").alias(of), F.col("moved").alias(moved_)), "moved", release=True)
+    if of_text.isEmpty():
+        joined = docs.withColumn(moved_, F.lit(None).cast("array<struct<kind:string,form:string,attempt:int>>"))
     else:
-        joined = docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col("moved_id")), "left").withColumnRenamed("moved", "moved_").drop("moved_id")
+        joined = docs.join(of_text, F.xxhash64(text) == F.col(of), "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
 
     def run(batches):
@@ -398,7 +464,7 @@ def replace(docs: DataFrame, ws: Workspace, key: str, text: str = "text", count:
         kept: dict[tuple[str, str, int], str] = {}
         for b in batches:
             texts, counts = [], []
-            for t, moved in zip(b.column(text), b.column("moved_"), strict=True):
+            for t, moved in zip(b.column(text), b.column(moved_), strict=True):
                 whole = t.as_py()
                 found = sorted(mentions(whole))
                 attempts = {(m["kind"], m["form"]): m["attempt"] for m in moved.as_py() or ()} if found else {}
@@ -417,4 +483,4 @@ def replace(docs: DataFrame, ws: Workspace, key: str, text: str = "text", count:
             made = {text: pa.array(texts, pa.string()), count: pa.array(counts, pa.int64())}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in schema.names], names=schema.names)
 
-    return joined.select(*names, "moved_").mapInArrow(run, schema)
+    return joined.select(*names, moved_).mapInArrow(run, schema)

@@ -107,3 +107,71 @@ def test_names_get_longer_until_none_clashes(spark):
     seen = spark.createDataFrame(rows, "doc_id long, kind string, form string, made string")
     out = s.resolve(seen, KEY, Workspace(spark, "t"), rounds=2).collect()
     assert len(out) == 4000 and len({r["made"] for r in out}) == 4000 and max(r["attempt"] for r in out) > 2
+
+
+def test_one_number_has_one_surrogate_and_keeps_its_country():
+    k = s._Key(KEY)
+    seen = set()
+    for text in ("+4930 1234567", "+49 30 1234567", "+49 (30) 123-4567", "+49-30-1234567"):
+        ((a, b, kind, form),) = s.mentions(text)
+        out = s.written(kind, text, s.surrogate(k, kind, form, 0))
+        assert (kind, form) == ("phone", "+49/301234567") and out.startswith("+49") and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
+        seen.add(re.sub(r"\D", "", out))
+    assert len(seen) == 1
+    assert [s.calling_code(x) for x in ("15551112222", "74951234567", "351211234567", "4930", "85212345678")] == ["1", "7", "351", "49", "852"]
+
+
+def test_a_familys_forms_stay_one_family():
+    k = s._Key(KEY)
+    for text, names, ending in [("Иван Петров и Анна Петрова", ("Петров", "Петрова"), ("ов", "ова")), ("Господин Достоевский, Госпожа Достоевская", ("Достоевский", "Достоевская"), ("ский", "ская")), ("Νίκος Παπαδόπουλος, Μαρία Παπαδοπούλου", ("Παπαδόπουλος", "Παπαδοπούλου"), ("ος", "ου"))]:
+        out = {text[a:b]: s.written(kind, text[a:b], s.surrogate(k, kind, form, 0)) for a, b, kind, form in s.mentions(text)}
+        his, hers = out[names[0]], out[names[1]]
+        assert his.endswith(ending[0]) and hers.endswith(ending[1]) and his[: -len(ending[0])] == hers[: -len(ending[1])] and his != names[0]
+    assert s.surname_form("Schmidt") == "Schmidt" and s.surname_form("Ова") == "Ова"
+
+
+def test_the_whole_replacement_against_brute_force(spark):
+    """Every entity of a corpus is replaced by one surrogate of its own, which is no original, and all else
+    stays; texts differ from what plain substitution makes of them in nothing."""
+    import random
+
+    rng = random.Random(4)
+    people = [f"{g} {n}" for g in ("Anna", "John", "Иван", "Мария") for n in ("Schmidt", "Miller", "Петров", "Garcia")]
+    makers = [lambda: rng.choice(people), lambda: f"u{rng.randrange(40)}@mail{rng.randrange(3)}.example.com", lambda: f"+49 30 {rng.randrange(10**6, 10**6 + 30)}", lambda: f"10.0.0.{rng.randrange(50)}", lambda: f"078-05-{rng.randrange(1100, 1130)}"]
+    rows = []
+    for i in range(120):
+        rows.append((i if i % 9 else None, " / ".join(rng.choice(["then", "so", "and later"]) + " " + rng.choice(makers)() for _ in range(rng.randrange(5))), i, "x"))
+    planted = s.surrogate(s._Key(KEY), "ssn", "078-05-1100", 0)  # an original that is another's first surrogate
+    rows += rows[:5] + [(None, None, 1, "x"), (7, "", 1, "x"), (None, f"078-05-1100 and {planted}", 500, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, moved_id long, n_replaced string")
+    got = sorted(((r["moved_id"], r["text"], r["n_replaced"]) for r in s.replace(df, Workspace(spark, "t"), KEY).collect()), key=str)
+    entities = sorted({x[2:] for _, t, *_ in rows for x in s.mentions(t)})
+    k, attempt = s._Key(KEY), dict.fromkeys(entities, 0)
+    low = lambda kind, v: (kind, (v.rpartition("/")[2] if kind in ("given", "surname") else v).lower())
+    originals = {low(*e) for e in entities}
+    while True:
+        made = {e: low(e[0], s.surrogate(k, *e, attempt[e])) for e in entities}
+        owners = {}
+        for e in entities:
+            owners.setdefault(made[e], e)
+        again = [e for e in entities if made[e] in originals or owners[made[e]] != e]
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    assert any(attempt.values()) and len(set(made.values())) == len(entities)
+    want = []
+    for _, t, n, _ in rows:
+        out, at, count = "", 0, 0
+        for a, b, kind, form in sorted(s.mentions(t)):
+            out, at, count = out + t[at:a] + s.written(kind, t[a:b], s.surrogate(k, kind, form, attempt[kind, form])), b, count + 1
+        want.append((n, None if t is None else out + t[at:], count))
+    assert got == sorted(want, key=str)
+
+
+def test_a_pattern_that_is_full(spark):
+    """All values of a pattern are taken: surrogates stay distinct, though they are originals too."""
+    k = s._Key(KEY)
+    seen = spark.createDataFrame([("secret", f, s.surrogate(k, "secret", f, 0)) for f in "0123456789"], "kind string, form string, made string")
+    out = s.resolve(seen, KEY, Workspace(spark, "t"), rounds=1).collect()
+    assert len({r["made"] for r in out}) == 10
