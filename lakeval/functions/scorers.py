@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .jsontools import json_field
 from .text import normalized, strip, words
 
 
@@ -30,12 +33,20 @@ def regex_found(text: Column, pattern: Column) -> Column:
     return F.when(text.isNotNull(), _unit(F.regexp(text, F.concat(F.lit("(?s)"), pattern))))
 
 
+#: How numbers, scores and picks are written in a judge's reply.
+UNIT_NUMBER = r"(?<![\d.])(1(?:\.0+)?|0(?:\.\d+)?|\.\d+)(?![\d.])"
+SCORE = r"(?i)score\s*[:=\-]?\s*\**\s*([1-5])(?!\d)"
+PICK = r"(?i)better\s*[:=\-]?\s*\**\s*(?:answer\s*)?(a|b|tie)\b"
+RATIONALE = r"(?is)rationale\s*[:=\-]?\s*(.*?)(?:\n\s*(?:score|better)\b|$)"
+RATIONALE_CHARS = 600
+
+
 def parse_json_loose(text: Column) -> Column:
     """VARIANT of a fenced block, the whole text, or the first braced or bracketed span; null if none."""
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fence = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)```", 1)
     span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     listed = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    tried = [F.try_parse_json(F.when(x != "", x)) for x in (fence, text, span, listed)]
+    tried = [F.try_parse_json(F.when(strip(x) != "", strip(x))) for x in (fence, text, span, listed)]
     return F.coalesce(*tried)
 
 
@@ -45,32 +56,87 @@ def parse_json_strict(text: Column) -> Column:
     return F.try_parse_json(F.when(bare != "", bare))
 
 
-def json_field(text: Column, path: str, wanted: Column) -> Column:
-    """The value at a dotted path equals the wanted text; anything missing scores 0."""
-    at = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
-    got = F.try_variant_get(parse_json_loose(text), at, "string")
-    return F.when(text.isNotNull(), F.coalesce(_unit(got == wanted), F.lit(0.0)))
-
-
 def unit_score(reply: Column) -> Column:
     """The first number from 0 to 1 of a reply, not part of a longer number; null if none."""
-    found = F.regexp_extract(reply, r"(?<![\d.])(0(?:\.\d+)?|1(?:\.0+)?)(?![\d]|\.\d)", 1)
+    found = F.regexp_extract(reply, UNIT_NUMBER, 1)
     return F.when(found != "", found.cast("double"))
 
 
+def rationale(reply: Column) -> Column:
+    """What a reply gives as its reason, else all of it, without white space at the ends, up to 600
+    characters; empty for no reply."""
+    named = F.when(F.regexp(reply, F.lit(r"(?i)rationale")), F.regexp_extract(reply, RATIONALE, 1)).otherwise(reply)
+    return F.coalesce(F.left(strip(named), F.lit(RATIONALE_CHARS)), F.lit(""))
+
+
 def pointwise_score(reply: Column) -> Column:
-    """The last ``Score: n`` with n from 1 to 5; null if none."""
-    found = F.regexp_extract_all(reply, F.lit(r"(?i)score:\s*([1-5])(?!\d|\.\d)"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).cast("int")
+    """The last score from 1 to 5 that a reply names; null if none."""
+    return F.try_element_at(F.regexp_extract_all(reply, F.lit(SCORE), F.lit(1)), F.lit(-1)).cast("int")
 
 
 def pairwise_pick(reply: Column) -> Column:
-    """The last ``Better: A``, ``B`` or ``tie``; null if none."""
-    found = F.regexp_extract_all(reply, F.lit(r"(?i)better:\s*(A|B|tie)\b"), F.lit(1))
-    pick = F.try_element_at(found, F.lit(-1))
+    """The last pick of A, B or tie that a reply names; null if none."""
+    pick = F.try_element_at(F.regexp_extract_all(reply, F.lit(PICK), F.lit(1)), F.lit(-1))
     return F.when(F.lower(pick) == "tie", "tie").otherwise(F.upper(pick))
 
 
+def judge_messages(rubric: Column, prompt: Column, expected: Column, response: Column) -> Column:
+    """The two messages that ask a judge for a number from 0 to 1. ``prompt`` is an array of (role,
+    content); the template is a fixed value."""
+    asked = F.array_join(F.transform(prompt, lambda m: F.concat(F.lit("["), m["role"], F.lit("] "), m["content"])), "\n")
+    user = F.format_string("%s\n\nPROMPT:\n%s\n\nEXPECTED:\n%s\n\nRESPONSE:\n%s\n\nScore (0 to 1):", rubric, asked, expected, F.coalesce(response, F.lit("")))
+    system = F.lit("You are a strict grader. Reply with one number between 0 and 1 and nothing else.")
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", system), message("user", user))
+
+
+def script_metric(path: str):
+    """UDF of a user's file that defines ``score(row) -> float | None``: held to 0..1, null where the row
+    has no text. It takes (custom_id, text, expected); the file is read once on the driver and sent along."""
+    from pathlib import Path
+
+    code = Path(path).read_text(encoding="utf-8")
+
+    @pandas_udf(T.DoubleType())
+    def score(custom_id: pd.Series, text: pd.Series, expected: pd.Series) -> pd.Series:
+        names: dict = {"__name__": "metric"}
+        exec(compile(code, path, "exec"), names)  # noqa: S102  the user's own file
+        if not callable(names.get("score")):
+            raise ValueError(f"{path} must define score(row)")
+
+        def one(i, t, e):
+            if t is None:
+                return None
+            v = names["score"]({"custom_id": i, "text": t, "expected": e})
+            return None if v is None else max(0.0, min(1.0, float(v)))
+
+        return pd.Series([one(*row) for row in zip(custom_id, text, expected, strict=True)], dtype="float64")
+
+    return score
+
+
+def project_script(path: str):
+    """UDF of a project's file that defines ``score({id, input, gold, text, pred}) -> float``: not held to
+    any range; an exception stops the job and names the row."""
+    from pathlib import Path
+
+    code = Path(path).read_text(encoding="utf-8")
+
+    @pandas_udf(T.DoubleType())
+    def score(id: pd.Series, input: pd.Series, gold: pd.Series, text: pd.Series, pred: pd.Series) -> pd.Series:
+        names: dict = {"__name__": "scoring"}
+        exec(compile(code, path, "exec"), names)  # noqa: S102  the user's own file
+        out = []
+        for row in zip(id, input, gold, text, pred, strict=True):
+            try:
+                out.append(float(names["score"](dict(zip(("id", "input", "gold", "text", "pred"), row, strict=True)))))
+            except Exception as e:
+                raise ValueError(f"the scoring script failed on row {row[0]}: {e}") from e
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
 def to_model(pick: Column, first: Column, second: Column) -> Column:
     """The model behind a pick by position."""
     return F.when(pick == "A", first).when(pick == "B", second).when(pick == "tie", F.lit("tie"))
@@ -83,12 +149,18 @@ def combined_orders(one: Column, other: Column) -> tuple[Column, Column]:
     return F.when(both, F.when(one == other, one).otherwise(F.lit("tie"))), F.when(both, one != other)
 
 
+@pandas_udf(T.IntegerType())
+def bag_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Elements that two arrays have in common as bags; 0 for a null array."""
+    one = lambda x, y: 0 if x is None or y is None else (Counter(x) & Counter(y)).total()
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def token_f1(text: Column, reference: Column) -> Column:
-    """2 * overlap / (words of both) on bags of words; 0 without any overlap."""
+    """2 * overlap / (words of both) on bags of words; 0 without any overlap or without a text."""
     a, b = words(text), words(reference)
-    overlap = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
-    total = F.size(a) + F.size(b)
-    return F.when(total > 0, 2.0 * overlap / total).otherwise(F.lit(0.0))
+    overlap = bag_overlap(a, b)
+    return F.when(overlap > 0, 2.0 * overlap / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
 
 
 @pandas_udf(T.IntegerType())
@@ -130,8 +202,8 @@ def checkable(reference: Column, most: int = 5) -> Column:
 
 
 def score_class(text: Column, gold: Column, labels: list[str]) -> tuple[Column, Column]:
-    """(predicted label or null, correct): an output is valid if it is a label in normal form."""
-    known = F.array(*map(F.lit, sorted(x.lower() for x in labels)))
+    """(predicted label in normal form or null, correct): an output is valid if it is a label in normal form."""
+    known = F.array(*(normalized(F.lit(x)) for x in sorted(labels)))
     pred = F.when(F.array_contains(known, normalized(text)), normalized(text))
     return pred, F.coalesce(pred == normalized(gold), F.lit(False))
 
@@ -141,4 +213,14 @@ def response_text(row: Column) -> Column:
     return F.when(row.getField("error").isNull(), row.getField("response").getField("body").getField("choices")[0].getField("message").getField("content"))
 
 
+#: Metrics by name, as columns of (text, expected).
 METRICS = {"exact_match": exact_match, "contains": contains_all, "regex": regex_found, "json_field": json_field, "token_f1": token_f1, "rouge_l": rouge_l}
+
+
+def metric(name: str):
+    """The metric of a name; ``script:path.py`` is a user's file."""
+    if name.startswith("script:"):
+        return script_metric(name.removeprefix("script:"))
+    if name not in METRICS:
+        raise ValueError(f"no metric {name!r}: {', '.join(sorted(METRICS))} or script:path.py")
+    return METRICS[name]

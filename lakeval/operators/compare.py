@@ -19,8 +19,9 @@ def structural_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def protocol_groups(runs: DataFrame, fields: list[str]) -> DataFrame:
-    """Runs with their protocol's digest; only runs of one digest are ever ranked together."""
-    return runs.withColumn("protocol", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields)), 256))
+    """Runs with their protocol's digest; only runs of one digest are ever ranked together. The digest is of
+    JSON with every field, so no two protocols share one by how their values are written, null included."""
+    return runs.withColumn("protocol", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
 
 
 def ranked_within(runs: DataFrame, group: str, score: str, run: str) -> DataFrame:
@@ -55,3 +56,15 @@ def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) ->
 def total_or_null(c: Column) -> Column:
     """The sum, null if any part is."""
     return F.when(F.count("*") == F.count(c), F.sum(c))
+
+
+def deadline_plan(combos: DataFrame, plan: str, combo: str, deadline: float) -> DataFrame:
+    """Combinations (student, teacher, judged, seconds) with whether they fit; recommended is, of those that
+    do, the one with the largest student, then teacher, then a judge, then the least time. Where none fits,
+    ``closest`` is the shortest. Without an estimate a combination neither fits nor is counted."""
+    fits = F.col("seconds") <= deadline
+    first = F.struct(F.col("student"), F.col("teacher"), F.col("judged"), -F.col("seconds"), -F.col(combo))
+    each = combos.withColumn("fits", fits)
+    best = each.groupBy(F.col(plan).alias("p_")).agg(F.max(F.when(F.col("fits"), F.struct(first.alias("o"), F.col(combo).alias("c")))).alias("best"), F.min(F.when(F.col("seconds").isNotNull(), F.struct("seconds", combo))).alias("near"))
+    both = each.join(best, F.col(plan) == F.col("p_"))
+    return both.select(plan, combo, "fits", F.coalesce(F.col("best.c") == F.col(combo), F.lit(False)).alias("recommended"), F.coalesce(F.col("best").isNull() & (F.col(f"near.{combo}") == F.col(combo)), F.lit(False)).alias("closest"))

@@ -97,3 +97,18 @@ def islands(rows: DataFrame, order: str, by: str, within: list[str]) -> DataFram
     change = F.coalesce((F.col(by) != F.lag(by).over(w)).cast("int"), F.lit(0))
     marked = rows.withColumn("c_", change).withColumn("i_", F.sum("c_").over(w))
     return marked.groupBy(*within, by, "i_").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("i_")
+
+
+def sequence_score(rows: DataFrame, by: str, lp: str) -> DataFrame:
+    """Sum, mean and perplexity of the log-probabilities of the tokens that stand there."""
+    out = rows.groupBy(by).agg(F.count("*").alias("n_target"), F.sum(lp).alias("t"))
+    mean = F.col("t") / F.col("n_target")
+    return out.select(by, "n_target", F.round("t", 6).alias("total"), F.round(mean, 6).alias("mean"), F.round(F.exp(-mean), 6).alias("perplexity"))
+
+
+def pairwise_rates(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """Shares of wins, ties and losses among scored rows; null where none is scored."""
+    n = F.count("verdict")
+    rate = lambda c: F.round(F.when(n > 0, F.count_if(c) / n), 9)
+    v = F.col("verdict")
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows"), n.alias("scored"), rate(v == x).alias("win_rate"), rate(~v.isin(x, y)).alias("tie_rate"), rate(v == y).alias("loss_rate"))

@@ -85,3 +85,8 @@ def outside_vocabulary(df: DataFrame, label: str, vocabulary: DataFrame) -> Data
     """Rows whose normalised label the vocabulary lacks."""
     known = vocabulary.select(normalized(F.col("label")).alias("norm_")).distinct()
     return df.withColumn("norm_", normalized(F.col(label))).join(known, "norm_", "left_anti").drop("norm_")
+
+
+def ranked_head(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key; tasks cut their own rows before they are gathered."""
+    return df.withColumn("r_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r_") <= n).drop("r_")

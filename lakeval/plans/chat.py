@@ -81,7 +81,7 @@ def last_result_wins(spark, t):
     return first_by(r, ["custom_id"], [F.desc("event_id")])
 
 
-@register("""WITH p AS (SELECT item_id, text AS prompt FROM benchmark), r AS (SELECT event_id, event_id % 60 AS item_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE props END AS answer FROM events WHERE event_id < 120)
+@register("""WITH m AS (SELECT max(item_id) + 1 AS items FROM benchmark), p AS (SELECT item_id, text AS prompt FROM benchmark), r AS (SELECT event_id, event_id % items AS item_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE props END AS answer FROM events, m)
 SELECT row_number() OVER (ORDER BY item_id, event_id) AS place, item_id, sha256(prompt) AS prompt, answer FROM p JOIN r USING (item_id) WHERE answer IS NOT NULL""")
 def distill_records(spark, t):
     """Answers without errors, joined to their prompts in input order; event ids go round all items.
@@ -98,7 +98,7 @@ def distill_records(spark, t):
     return joined.withColumn("own", own).join(base, "item_id").select((F.col("base") + F.col("own")).alias("place"), "item_id", "prompt", "answer")
 
 
-@register("""WITH v AS (SELECT item_id FROM benchmark WHERE item_id < 20), c(model) AS (VALUES ('base'), ('tuned'), ('teacher')), o(turn) AS (VALUES ('ab'), ('ba'))
+@register("""WITH v AS (SELECT item_id FROM benchmark), c(model) AS (VALUES ('base'), ('tuned'), ('teacher')), o(turn) AS (VALUES ('ab'), ('ba'))
 SELECT 'point' AS kind, model AS who, item_id, '-' AS turn, model || '/' || item_id AS id FROM v, c
 UNION ALL SELECT 'pair', a.model || ':' || b.model, item_id, turn, a.model || ':' || b.model || '/' || item_id || '/' || turn FROM v, c a, c b, o WHERE a.model < b.model""")
 def judge_requests(spark, t):
@@ -111,7 +111,7 @@ def judge_requests(spark, t):
     return one.unionByName(two)
 
 
-@register("""WITH s AS (SELECT conv_id, turn, regexp_replace(trim(left(text, 40)), '\\s+', ' ', 'g') AS seg FROM conversations), f AS (SELECT conv_id, string_agg(seg, ' ' ORDER BY turn) AS text FROM s GROUP BY conv_id)
+@register("""WITH s AS (SELECT conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') AS seg FROM conversations), f AS (SELECT conv_id, string_agg(seg, ' ' ORDER BY turn) AS text FROM s GROUP BY conv_id)
 SELECT min(conv_id) AS conv_id, sha256(lower(text)) AS digest FROM f GROUP BY lower(text)""")
 def flattened_segments(spark, t):
     """Segments put together as one text, texts that differ in case alone once."""

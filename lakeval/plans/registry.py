@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("examples", "scoring", "chat", "system")
+MODULES = ("examples", "scoring", "chat", "system", "intake", "reports", "planning")
 
 
 def register(sql: str | None = None):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scorers
+from ..functions import logits, scorers
 from ..operators import evaluate
 from .examples import norm
 from .registry import register
@@ -43,12 +43,14 @@ def regex_metric(spark, t):
     return t("documents").filter("text is not null").select("doc_id", scorers.regex_found(F.col("text"), pattern).alias("score"))
 
 
-@register("""WITH a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'It is ' || props || ' then' ELSE 'nothing' END AS text, props FROM events)
-SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0 WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = event_id % 100 THEN 1.0 ELSE 0.0 END AS score FROM a""")
+@register("""WITH a AS (SELECT event_id, event_id % 6 AS m, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN m = 3 THEN NULL WHEN m IN (4, 5) THEN 0.0 WHEN k = event_id % 100 THEN 1.0 ELSE 0.0 END AS score FROM a""")
 def json_field(spark, t):
-    """A field of loosely parsed JSON equals what is wanted."""
-    text = F.expr("case event_id % 4 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then 'It is ' || props || ' then' else 'nothing' end")
-    return t("events").select("event_id", scorers.json_field(text, "k", (F.col("event_id") % 100).cast("string")).alias("score"))
+    """Fields of loosely parsed JSON have the values wanted: 7.0 is 7, "7" is not, and all of them must be right."""
+    text = F.expr("case event_id % 6 when 0 then props when 1 then '```json' || chr(10) || replace(props, '}', '.0}') || chr(10) || '```' when 2 then 'It is ' || props || ' then' when 4 then 'nothing' when 5 then replace(replace(props, ': ', ': \"'), '}', '\"}') end")
+    wanted = (F.col("event_id") % 100).cast("string")
+    expected = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k="), wanted)).otherwise(F.concat(F.lit('{"k": '), wanted, F.lit("}")))
+    return t("events").select("event_id", scorers.json_field(text, expected).alias("score"))
 
 
 @register(f"""WITH {_ANSWERS}, p AS (SELECT id, gold, text IS NULL AS failed, CASE WHEN {norm('text')} IN ('view','signup','click','error','purchase') THEN {norm('text')} END AS pred FROM a),
@@ -124,15 +126,34 @@ def open_metrics(spark, t):
     return _turns(t).agg(F.count("*").alias("n"), F.sum(F.size(x)).alias("output_words"), F.sum(F.size(y)).alias("reference_words"), F.count_if(x == y).alias("exact"))
 
 
-@register("""WITH r AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'Rationale: good. Score: 5' WHEN 1 THEN 'Score: 2 at first. Score: 4' WHEN 2 THEN 'score: 3' WHEN 3 THEN 'no idea' WHEN 4 THEN NULL ELSE 'Score: 1' END AS reply FROM benchmark),
-s AS (SELECT item_id, CAST(CASE item_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 5 THEN 1 END AS INTEGER) AS score FROM r)
+_JUDGED = """r AS (SELECT item_id, CASE item_id % 8 WHEN 0 THEN 'Rationale: good.' || chr(10) || 'Score: ' || (item_id % 5 + 1) WHEN 1 THEN 'Score: 2 at first. score = ' || (item_id % 5 + 1) WHEN 2 THEN 'SCORE ' || (item_id % 5 + 1) WHEN 3 THEN 'no idea' WHEN 5 THEN 'Score: **' || (item_id % 5 + 1) || '** of 5' WHEN 6 THEN 'Score: 1' || (item_id % 5 + 1) WHEN 7 THEN 'score-' || (item_id % 9) END AS reply FROM benchmark)"""
+
+
+@register(f"""WITH {_JUDGED}, s AS (SELECT item_id, TRY_CAST(regexp_extract_all(lower(reply), 'score\\s*[:=-]?\\s*\\**\\s*([1-5])(?:\\D|$)', 1)[-1] AS INTEGER) AS score FROM r)
 SELECT item_id % 2 AS model, round(avg(score), 9) AS mean, count(*) FILTER (WHERE score IS NULL) AS unscored, count(*) FILTER (WHERE score = 1) AS s1, count(*) FILTER (WHERE score = 2) AS s2, count(*) FILTER (WHERE score = 3) AS s3, count(*) FILTER (WHERE score = 4) AS s4, count(*) FILTER (WHERE score = 5) AS s5 FROM s GROUP BY 1""")
 def pointwise(spark, t):
     """Judge scores from 1 to 5, the last one in a reply."""
-    reply = F.expr("case item_id % 6 when 0 then 'Rationale: good. Score: 5' when 1 then 'Score: 2 at first. Score: 4' when 2 then 'score: 3' when 3 then 'no idea' when 4 then null else 'Score: 1' end")
+    reply = F.expr("CASE" + _JUDGED.split("CASE", 1)[1].rsplit(" AS reply", 1)[0])
     return evaluate.pointwise_summary(t("benchmark").select((F.col("item_id") % 2).alias("model"), scorers.pointwise_score(reply).alias("score")), "model")
 
 
+@register(f"""WITH {_JUDGED} SELECT item_id, left(trim(CASE WHEN reply IS NULL THEN '' WHEN item_id % 8 = 0 THEN 'good.' ELSE reply END), 600) AS rationale FROM r""")
+def rationales(spark, t):
+    """The reason a judge gives, or the whole reply."""
+    reply = F.expr("CASE" + _JUDGED.split("CASE", 1)[1].rsplit(" AS reply", 1)[0])
+    return t("benchmark").select("item_id", scorers.rationale(reply).alias("rationale"))
+
+
+@register("""SELECT item_id, sha256('You are a strict grader. Reply with one number between 0 and 1 and nothing else.') AS system, sha256('Grade it.' || chr(10) || chr(10) || 'PROMPT:' || chr(10) || '[system] s' || chr(10) || '[user] ' || text || chr(10) || chr(10) || 'EXPECTED:' || chr(10) || item_id || chr(10) || chr(10) || 'RESPONSE:' || chr(10) || CASE WHEN item_id % 3 = 0 THEN '' ELSE 'r' || item_id END || chr(10) || chr(10) || 'Score (0 to 1):') AS user FROM benchmark""")
+def judge_prompts(spark, t):
+    """The messages that ask a judge for a number."""
+    b = t("benchmark")
+    prompt = F.array(F.struct(F.lit("system").alias("role"), F.lit("s").alias("content")), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    response = F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("r"), F.col("item_id").cast("string")))
+    m = scorers.judge_messages(F.lit("Grade it."), prompt, F.col("item_id").cast("string"), response)
+    return b.select("item_id", F.sha2(m[0]["content"], 256).alias("system"), F.sha2(m[1]["content"], 256).alias("user"))
+
+
 @register("""WITH p AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' END AS pick_1, CASE item_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' END AS pick_2 FROM benchmark),
 m AS (SELECT *, CASE pick_1 WHEN 'A' THEN 'new' WHEN 'B' THEN 'old' WHEN 'tie' THEN 'tie' END AS one, CASE pick_2 WHEN 'A' THEN 'old' WHEN 'B' THEN 'new' END AS two FROM p),
 v AS (SELECT *, CASE WHEN one IS NULL OR two IS NULL THEN NULL WHEN one = two THEN one ELSE 'tie' END AS verdict, one <> two AS disagreed FROM m)
@@ -140,8 +161,8 @@ SELECT 'new-old' AS pair, count(*) FILTER (WHERE verdict = 'new') AS wins, count
 round(count(*) FILTER (WHERE disagreed) / nullif(count(verdict), 0), 9) AS disagreement, round((count(*) FILTER (WHERE pick_1 = 'A') + count(*) FILTER (WHERE pick_2 = 'A')) / nullif(count(pick_1) + count(pick_2), 0), 9) AS first_pick_rate FROM v""")
 def pairwise(spark, t):
     """Verdicts of both presentation orders, and how often the first place wins."""
-    one = F.expr("case item_id % 4 when 0 then 'Better: B. No, better: A' when 1 then 'Better: B' when 2 then 'better: tie' else 'unsure' end")
-    two = F.expr("case item_id % 3 when 0 then 'Better: B' when 1 then 'Better: A' end")
+    one = F.expr("case item_id % 4 when 0 then 'Better: B. No, better: A' when 1 then 'Better = answer B' when 2 then 'better: **tie**' else 'unsure' end")
+    two = F.expr("case item_id % 3 when 0 then 'Better B' when 1 then 'better - ANSWER A' end")
     rows = t("benchmark").select(scorers.pairwise_pick(one).alias("pick_1"), scorers.pairwise_pick(two).alias("pick_2")).withColumns({"first": F.lit("new"), "second": F.lit("old"), "pair": F.lit("new-old")})
     verdict, disagreed = scorers.combined_orders(scorers.to_model(F.col("pick_1"), F.col("first"), F.col("second")), scorers.to_model(F.col("pick_2"), F.col("second"), F.col("first")))
     return evaluate.pairwise_summary(rows.withColumn("verdict", verdict).withColumn("disagreed", disagreed), "pair")
@@ -158,11 +179,14 @@ def calibration(spark, t):
     return evaluate.calibration(t("events").select(scorers.checkable(reference).alias("checkable"), scorers.reference_in_output(reference, output).alias("match"), score.alias("score")))
 
 
-@register("""SELECT item_id, CASE item_id % 5 WHEN 0 THEN 0.75 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN NULL ELSE 0.5 END AS score FROM benchmark""")
+_UNIT = """case item_id % 8 when 0 then 'I say 0.' || (10 + item_id % 90) || ' or 0.9' when 1 then '15 of 20: 1.0' when 2 then '0' when 3 then '27 and 3.5' when 4 then 'about 0.5.' when 5 then 'Score .' || (10 + item_id % 90) || ' ok' when 6 then '1.' else '.5' end"""
+
+
+@register(f"""WITH r AS (SELECT item_id, {_UNIT} AS reply FROM benchmark), w AS (SELECT item_id, unnest(string_split(reply, ' ')) AS w, generate_subscripts(string_split(reply, ' '), 1) AS place FROM r)
+SELECT r.item_id, CAST(arg_min(w, place) FILTER (WHERE regexp_full_match(w, '1(\\.0+)?|0(\\.\\d+)?|\\.\\d+')) AS DOUBLE) AS score FROM r JOIN w USING (item_id) GROUP BY r.item_id""")
 def judge_unit_score(spark, t):
     """The first number from 0 to 1 in a reply."""
-    reply = F.expr("case item_id % 5 when 0 then 'I say 0.75 or 0.9' when 1 then '15 of 20: 1.0' when 2 then '0' when 3 then '27 and 3.5' else 'about 0.5.' end")
-    return t("benchmark").select("item_id", scorers.unit_score(reply).alias("score"))
+    return t("benchmark").select("item_id", scorers.unit_score(F.expr(_UNIT)).alias("score"))
 
 
 _LOGITS = """x AS (SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS l, generate_subscripts(embedding, 1) - 1 AS tok FROM embeddings WHERE len(embedding) > 0),
@@ -172,20 +196,36 @@ z AS (SELECT vec_id, tok, l - (max(l) OVER w + ln(sum(exp(l - m)) OVER w)) AS lp
 @register(f"WITH {_LOGITS} SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(lp, 9) DESC, tok) AS rank, CAST(tok AS INTEGER) AS token, round(lp, 6) AS logprob FROM z QUALIFY rank <= 5")
 def topk_logprobs(spark, t):
     """The five likeliest tokens of each vector of logits."""
-    x = t("embeddings").filter("size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
-    top = F.array_max("l")
-    norm_ = top + F.log(F.aggregate("l", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("l"))))
-    lps = F.transform("l", lambda v, i: F.struct((-F.round(v - norm_, 9)).alias("s"), i.alias("token"), (v - norm_).alias("lp")))
-    best = F.slice(F.array_sort(lps), 1, 5)
-    rows = x.select("vec_id", F.posexplode(best).alias("r", "p"))
-    return rows.select("vec_id", (F.col("r") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.lp", 6).alias("logprob"))
+    best = logits.top_tokens(F.col("embedding").cast("array<double>"), 5)
+    rows = t("embeddings").select("vec_id", F.posexplode(best).alias("r", "p"))
+    return rows.select("vec_id", (F.col("r") + 1).alias("rank"), F.col("p.token").alias("token"), F.round("p.logprob", 6).alias("logprob"))
 
 
-@register(f"WITH {_LOGITS} SELECT vec_id, round(sum(lp), 6) AS total, round(avg(lp), 6) AS mean, round(exp(-avg(lp)), 6) AS perplexity FROM z GROUP BY vec_id")
+@register(f"""WITH {_LOGITS}, c AS (SELECT vec_id // 8 AS seq, lp FROM z WHERE tok = vec_id % 16)
+SELECT seq, count(*) AS n_target, round(sum(lp), 6) AS total, round(avg(lp), 6) AS mean, round(exp(-avg(lp)), 6) AS perplexity FROM c GROUP BY seq""")
 def sequence_score(spark, t):
-    """Sum, mean and perplexity of the log-probabilities of each vector."""
-    x = t("embeddings").filter("size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
-    norm_ = F.array_max("l") + F.log(F.aggregate("l", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("l"))))
-    total = F.aggregate("l", F.lit(0.0), lambda s, v: s + (v - norm_))
-    mean = total / F.size("l")
-    return x.select("vec_id", F.round(total, 6).alias("total"), F.round(mean, 6).alias("mean"), F.round(F.exp(-mean), 6).alias("perplexity"))
+    """Sum, mean and perplexity of the log-probabilities of the tokens that stand in eight positions each."""
+    lp = logits.token_logprob(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 16).cast("int"))
+    each = t("embeddings").select(F.expr("vec_id div 8").alias("seq"), lp.alias("lp")).filter("lp is not null")
+    return evaluate.sequence_score(each, "seq", "lp")
+
+
+@register("""WITH p AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE len(a.embedding) > 0 AND len(a.embedding) = len(b.embedding))
+SELECT vec_id, round(c, 6) AS cosine FROM p""")
+def neighbour_cosine(spark, t):
+    """Cosine of each vector with the next one."""
+    a, b = t("embeddings").alias("a"), t("embeddings").alias("b")
+    both = a.join(b, F.expr("b.vec_id = a.vec_id + 1")).filter("size(a.embedding) > 0 and size(a.embedding) = size(b.embedding)")
+    return both.select("a.vec_id", F.round(logits.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
+
+
+@register(f"""WITH {_LOGITS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(teacher, 9) DESC, tok) AS k FROM (SELECT s.vec_id, s.tok, s.lp AS student, x.lp AS teacher FROM z s JOIN z x ON x.vec_id = s.vec_id + 1 AND x.tok = s.tok)),
+m AS (SELECT vec_id, exp(student) AS q, exp(teacher) AS p FROM r WHERE k <= 4), o AS (SELECT vec_id, greatest(1e-6, 1 - sum(q)) AS q, greatest(1e-6, 1 - sum(p)) AS p FROM m GROUP BY vec_id),
+kl AS (SELECT vec_id, sum(p * (ln(p) - ln(q))) AS kl FROM (SELECT * FROM m UNION ALL SELECT * FROM o) GROUP BY vec_id), ce AS (SELECT vec_id, -lp AS ce FROM z WHERE tok = vec_id % 16)
+SELECT vec_id, round(ce, 6) AS ce, round(kl, 6) AS kl, round(0.5 * kl + 0.5 * ce, 6) AS mix FROM kl JOIN ce USING (vec_id)""")
+def kd_loss(spark, t):
+    """Distillation loss of each vector of logits against the four likeliest tokens of the next one."""
+    e = t("embeddings").filter("size(embedding) > 0").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
+    top = e.select((F.col("vec_id") - 1).alias("vec_id"), logits.top_tokens(F.col("l"), 4).alias("t"))
+    loss = logits.kd_loss(F.col("l"), F.col("t.token"), F.col("t.logprob"), (F.col("vec_id") % 16).cast("int"))
+    return e.join(top, "vec_id").select("vec_id", loss.alias("x")).select("vec_id", *(F.round(f"x.{c}", 6).alias(c) for c in ("ce", "kl", "mix")))

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontools, planning
 from ..functions.text import slug
-from ..operators import compare, evaluate
+from ..operators import compare, evaluate, reports
 from ..streaming import rowjob
 from ..workspace import Workspace
 from .registry import register
 
 
-@register("""WITH w AS (SELECT range AS id FROM range(0, 400)), r AS (SELECT event_id % 450 AS id FROM events WHERE event_id < 500 AND event_id % 10 <> 3), c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
+@register("""WITH m AS (SELECT max(event_id) + 1 AS ids FROM events), w AS (SELECT event_id AS id FROM events, m WHERE event_id < ids * 4 // 5), c AS (SELECT event_id % (ids * 9 // 10) AS id, count(*) AS n FROM events, m WHERE event_id % 10 <> 3 GROUP BY 1)
 SELECT id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'extra' ELSE 'duplicated' END AS problem FROM w FULL OUTER JOIN c USING (id) WHERE n IS NULL OR w.id IS NULL OR n > 1""")
 def row_audit(spark, t):
     """Missing, extra and duplicated rows of a job: of n events, four fifths of n ids are wanted and every event
@@ -70,12 +70,14 @@ def structural_diff(spark, t):
     return compare.structural_diff(x, y, ["k"])
 
 
-@register("""WITH r AS (SELECT custkey AS run, sha256(concat_ws('|', seg, CAST(nation AS VARCHAR))) AS protocol, CASE WHEN custkey % 6 = 0 THEN NULL ELSE bal END AS score FROM (SELECT c_custkey AS custkey, c_mktsegment AS seg, c_nationkey AS nation, c_acctbal AS bal FROM customer))
+@register("""WITH c AS (SELECT c_custkey AS run, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '-' WHEN 2 THEN 'a|' || c_nationkey ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 5 <> 2 THEN c_nationkey END AS nation, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS score FROM customer),
+r AS (SELECT run, score, sha256('{"segment":' || CASE WHEN segment IS NULL THEN 'null' ELSE '"' || segment || '"' END || ',"nation":' || coalesce(CAST(nation AS VARCHAR), 'null') || '}') AS protocol FROM c)
 SELECT run, protocol, score, row_number() OVER (PARTITION BY protocol ORDER BY score DESC NULLS LAST, run) AS rank FROM r""")
 def runs_ranked(spark, t):
-    """Runs ranked within their protocol, unscored last."""
-    runs = t("customer").select(F.col("c_custkey").alias("run"), "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")).alias("score"))
-    grouped = compare.protocol_groups(runs, ["c_mktsegment", "c_nationkey"])
+    """Runs ranked within their protocol, unscored last; null and look-alike values are protocols of their own."""
+    segment = F.expr("case c_custkey % 5 when 0 then null when 1 then '-' when 2 then 'a|' || c_nationkey else c_mktsegment end")
+    runs = t("customer").select(F.col("c_custkey").alias("run"), segment.alias("segment"), F.when(F.col("c_custkey") % 5 != 2, F.col("c_nationkey")).alias("nation"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal")).alias("score"))
+    grouped = compare.protocol_groups(runs, ["segment", "nation"])
     return compare.ranked_within(grouped, "protocol", "score", "run").select("run", "protocol", "score", "rank")
 
 
@@ -85,7 +87,7 @@ def bounded_history(spark, t):
     return compare.last_n(t("events").select("user_id", "event_id"), ["user_id"], "event_id", 3)
 
 
-@register("""WITH a AS (SELECT event_id AS step, value AS x, value * (1 + (event_id % 7) / 1000.0::DOUBLE) AS y FROM events WHERE event_id < 1000), g AS (SELECT step, round(abs(x - y) / greatest(abs(x), abs(y), 1e-12), 9) AS gap FROM a)
+@register("""WITH a AS (SELECT event_id AS step, value AS x, value * (1 + (event_id % 7) / 1000.0::DOUBLE) AS y FROM events), g AS (SELECT step, round(abs(x - y) / greatest(abs(x), abs(y), 1e-12), 9) AS gap FROM a)
 SELECT count(*) AS n, max(gap) AS worst, round(avg(gap), 9) AS mean, arg_min(step, (-gap, step)) AS "at" FROM g""")
 def loss_curves(spark, t):
     """How far two loss curves are apart."""
@@ -107,15 +109,6 @@ def running_ratio(spark, t):
     return t("events").filter(estimate >= 30).agg(F.round(F.avg(F.greatest(F.lit(0.2), F.least(F.lit(5.0), F.col("value") / estimate))), 9).alias("ratio"))
 
 
-@register("""WITH d AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k, CASE k % 5 WHEN 0 THEN s * 3600 WHEN 1 THEN s * 60 WHEN 2 THEN 86400 + s * 3600 WHEN 3 THEN s * 60 + 15 END AS seconds,
-CASE WHEN s < 60 THEN s || ' s' END AS shown FROM d""")
-def durations(spark, t):
-    """Durations parsed and written."""
-    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
-    text = F.expr("case k % 5 when 0 then s || 'h' when 1 then s || ' m' when 2 then '1d' || s || 'h' when 3 then s || 'm15s' else 'soon' end")
-    return p.select("k", planning.parse_duration(text).alias("seconds"), planning.format_duration(F.col("s")).alias("shown"))
-
-
 @register("""WITH e AS (SELECT * FROM (VALUES ('fast', 4e13, 3e9), ('slow', 5e12, 1e9)) v(engine, flops, speed)), s AS (SELECT * FROM (VALUES ('small', 5e8), ('mid', 1.5e9), ('large', 7e9)) v(student, p)),
 te AS (SELECT * FROM (VALUES ('small', 5e8), ('mid', 1.5e9), ('large', 7e9)) v(teacher, tp)), c AS (SELECT engine, student, teacher, 6.0 * p * 300000 * 3 / flops + ceil(500.0 / 64) * 129 * (tp * 2 / speed) AS seconds FROM e, s, te WHERE tp > p)
 SELECT engine, student, teacher, round(seconds, 3) AS seconds, seconds <= 7200 AS fits, row_number() OVER (ORDER BY CASE WHEN seconds <= 7200 THEN 0 ELSE 1 END, seconds, engine, student, teacher) AS rank FROM c""")
@@ -154,17 +147,18 @@ def plan_totals(spark, t):
     return t("orders").groupBy((F.col("o_custkey") % 50).alias("plan")).agg(compare.total_or_null(part).alias("total"))
 
 
-_SCHEMA = {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False}
+_SCHEMA = {"type": "object", "properties": {"k": {"type": "integer"}, "z": {"type": "integer"}}, "required": ["k"], "additionalProperties": False}
 
 
-@register("""WITH a AS (SELECT event_id % 6 AS m, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id FROM events)
-SELECT count(*) AS n_rows, round(avg(CASE WHEN m IN (0, 1, 2, 4) THEN 1.0 ELSE 0 END), 9) AS parseable, round(avg(CASE WHEN m IN (0, 1) THEN 1.0 ELSE 0 END), 9) AS valid, round(avg(CASE WHEN m = 0 THEN 1.0 ELSE 0 END), 9) AS whole, count(*) FILTER (WHERE m = 4) AS extra, count(*) FILTER (WHERE m = 5) AS failed FROM a""")
+@register("""WITH a AS (SELECT event_id % 7 AS m FROM events)
+SELECT count(*) AS n_rows, round(avg(CASE WHEN m IN (0, 1, 2, 4, 6) THEN 1.0 ELSE 0 END), 9) AS parseable, round(avg(CASE WHEN m IN (0, 1, 4) THEN 1.0 ELSE 0 END), 9) AS valid, round(avg(CASE WHEN m = 0 THEN 1.0 ELSE 0 END), 9) AS whole, count(*) FILTER (WHERE m IN (4, 6)) AS extra, count(*) FILTER (WHERE m = 5) AS failed,
+round(avg(CASE WHEN m IN (0, 4) THEN 1.0 ELSE 0 END), 9) AS field_k, round(avg(CASE WHEN m IN (0, 1) THEN 1.0 ELSE 0 END), 9) AS field_z, round((round(avg(CASE WHEN m IN (0, 4) THEN 1.0 ELSE 0 END), 9) + round(avg(CASE WHEN m IN (0, 1) THEN 1.0 ELSE 0 END), 9)) / 2, 9) AS mean_field FROM a""")
 def json_metrics(spark, t):
-    """JSON outputs against a schema and the record wanted."""
-    output = F.expr("case event_id % 6 when 0 then '```json ' || props || '```' when 1 then replace(props, ': ', ': 1') when 2 then '{\"k\": \"x\"}' when 3 then 'none' when 4 then replace(props, '}', '') || ', \"z\": 1}' end")
-    s = t("events").select(output.alias("output"), "props").withColumn("s", jsontools.json_scorer(_SCHEMA)("props", "output"))
-    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 9)
-    return s.agg(F.count("*").alias("n_rows"), mean("s.parseable").alias("parseable"), mean("s.valid").alias("valid"), mean("s.whole").alias("whole"), F.count_if("s.extra").alias("extra"), F.count_if(F.col("output").isNull()).alias("failed"))
+    """JSON outputs against a schema and the record wanted: a field that neither has is right, one too many
+    fails the record, and what breaks the schema earns nothing."""
+    output = F.expr("case event_id % 7 when 0 then '```json ' || props || '```' when 1 then replace(props, ': ', ': 1') when 2 then '{\"k\": \"x\"}' when 3 then 'none' when 4 then replace(props, '}', '') || ', \"z\": 1}' when 6 then replace(props, '}', '') || ', \"y\": 1}' end")
+    s = t("events").select(output.alias("output"), "props").withColumn("s", jsontools.json_scorer(_SCHEMA)("props", "output")).withColumn("failed", F.col("output").isNull())
+    return reports.json_metrics(s, ["k", "z"])
 
 
 @register("SELECT event_id, sha256('{\"a\":' || CAST(event_id AS VARCHAR) || ',\"k\":' || json_extract_string(props, '$.k') || '}') AS digest FROM events")

@@ -70,19 +70,29 @@ def test_scorers(spark):
     one = lambda c: spark.range(1).select(c).head()[0]
     assert one(s.pointwise_score(F.lit("Score: 2 then Score: 4"))) == 4 and one(s.pointwise_score(F.lit("Score: 9"))) is None
     assert one(s.pairwise_pick(F.lit("Better: A. Better: tie"))) == "tie"
-    assert one(s.unit_score(F.lit("10 or 0.5"))) == 0.5
+    assert [one(s.pointwise_score(F.lit(x))) for x in ("Score 4", "score = 4", "Score: **3**", "Score: 45", "4")] == [4, 4, 3, None, None]
+    assert [one(s.pairwise_pick(F.lit(x))) for x in ("Better: answer A", "better - **b**", "BETTER TIE", "Better: C", "a")] == ["A", "B", "tie", None, None]
+    assert [one(s.unit_score(F.lit(x))) for x in ("10 or 0.5", "about 0.5.", "1.", ".5", "Score .75 ok", "1.0", "2.5", "")] == [0.5, None, None, 0.5, 0.75, 1.0, None, None]
+    assert [one(s.rationale(F.lit(x))) for x in ("Rationale: good\nand short. \nScore: 5", "just words ", "x" * 700)] == ["good\nand short.", "just words", "x" * 600]
     assert one(s.rouge_l(F.lit("a b c d"), F.lit("a x c d"))) == pytest.approx(0.75)
     assert one(s.rouge_l(F.lit(""), F.lit("a"))) == 0
     assert one(s.token_f1(F.lit("a a b"), F.lit("a b b"))) == pytest.approx(4 / 6)
     assert one(s.exact_match(F.lit(" x\n"), F.array(F.lit("y"), F.lit("x")))) == 1 and one(s.exact_match(F.lit(None).cast("string"), F.array(F.lit("x")))) is None
-    assert one(s.json_field(F.lit('so {"a": [{"b": 5}]} it is'), "a.0.b", F.lit("5"))) == 1
+    field = lambda t, e: one(s.json_field(F.lit(t), F.lit(e)))
+    assert field('so {"a": [{"b": 5}]} it is', "a.0.b=5") == 1 and field('{"a": "5"}', "a=5") == 0 and field('{"a": 1.0}', "a=1") == 1
+    assert field('{"a": 1, "b": "x"}', '{"a": 1, "b": "x"}') == 1 and field('{"a": 1}', '{"a": 1, "b": "x"}') == 0 and field("nothing", "a=1") == 0 and field('{"a": "x y"}', "a=x y") == 1
+    assert one(s.json_field(F.lit(None).cast("string"), F.lit("a=1"))) is None
     assert one(s.parse_json_strict(F.lit("```json\n[1]\n```")).isNotNull()) and not one(s.parse_json_strict(F.lit("see [1]")).isNotNull())
 
 
 def test_durations(spark):
-    df = spark.createDataFrame([("1d12h",), ("90 m",), ("",), ("soon",), (None,), ("5s",)], "t string")
-    assert [r[0] for r in df.select(planning.parse_duration(F.col("t"))).collect()] == [129600, 5400, None, None, None, 5]
-    assert [r[0] for r in spark.createDataFrame([(5,), (61,), (7260,), (90000,)], "s int").select(planning.format_duration(F.col("s"))).collect()] == ["5 s", "1 min", "2 h 1 min", "1 d 1 h"]
+    df = spark.createDataFrame([("1d12h",), ("90 m",), ("",), ("soon",), (None,), ("5s",), ("1.5h",), ("2h 30m",), ("1w",), ("0s",), ("5x",)], "t string")
+    assert [r[0] for r in df.select(planning.parse_duration(F.col("t"))).collect()] == [129600, 5400, None, None, None, 5, 5400, 9000, 604800, None, None]
+    seconds = [5, 75, 89.5, 90, 5000, 5399, 7260, 100000, 172799, 172800, 3780, 0.5]
+    assert [r[0] for r in spark.createDataFrame([(float(x),) for x in seconds], "s double").select(planning.format_duration(F.col("s"))).collect()] == ["5 s", "75 s", "90 s", "2 min", "83 min", "90 min", "2.0 h", "27.8 h", "48.0 h", "2.0 days", "63 min", "0 s"]
+    stamps = [("2026-10-14T09:00",), ("2026-10-14 09:00",), ("2026-10-14T09:00:30",), ("2026-10-15",), ("2026-10-13",), ("2h",), ("2026-13-01",)]
+    now = F.lit("2026-10-14 08:00:00").cast("timestamp")
+    assert [r[0] for r in spark.createDataFrame(stamps, "t string").select(planning.parse_deadline(F.col("t"), now)).collect()] == [3600, 3600, 3630, 57600, None, 7200, None]
 
 
 def test_json_tools(spark):
@@ -93,11 +103,53 @@ def test_json_tools(spark):
     assert jsontools.violation({"n": 1}, schema) == "$.k: missing" and "not expected" in jsontools.violation({"k": "a", "z": 1}, schema)
     df = spark.createDataFrame([('{"k":"a","n":1}', '```json\n{"n": 1, "k": "a"}\n```'), ('{"k":"a","n":1}', '{"k": "b"}'), ('{"k":"a"}', '{"k": "c"}'), ('{"k":"a"}', None), ('{"k":"a"}', "no")], "g string, o string")
     got = [tuple(r[0]) for r in df.select(jsontools.json_scorer(schema)("g", "o")).collect()]
-    assert got == [(True, True, True, 2, 2, False), (True, True, False, 0, 2, False), (True, False, False, 0, 1, False), (False, False, False, 0, 1, False), (False, False, False, 0, 1, False)]
+    assert got == [(True, True, True, {"k": True, "n": True}, []), (True, True, False, {"k": False, "n": False}, []), (True, False, False, {"k": False, "n": False}, []), (False, False, False, {}, []), (False, False, False, {}, [])]
+    assert not jsontools.equal([True], [1]) and jsontools.equal({"a": [1, 1, 2]}, {"a": [2, 1, 1]}, {"properties": {"a": {"x-unordered": True}}}) and not jsontools.equal([1, 1, 2], [1, 2, 2], {"x-unordered": True})
     derived = jsontools.derive_schema(spark.createDataFrame([('{"a": 1}',), ('{"a": 1.5, "b": [true]}',), ("x",)], "t string").repartition(3), "t")
     assert derived == {"type": "object", "properties": {"a": {"type": "number"}, "b": {"type": "array", "items": {"type": "boolean"}}}, "required": ["a"], "additionalProperties": False}
 
 
+def test_logits(spark):
+    import math
+
+    from lakeval.functions import logits
+
+    x = spark.createDataFrame([([0.0, 1.0, 2.0, 2.0],), ([],), (None,)], "l array<double>")
+    z = math.log(1 + math.e + 2 * math.e**2)
+    got = x.select(logits.log_softmax(F.col("l")), logits.token_logprob(F.col("l"), F.lit(1)), logits.top_tokens(F.col("l"), 3)).collect()
+    assert got[0][0] == pytest.approx([-z, 1 - z, 2 - z, 2 - z]) and got[0][1] == pytest.approx(1 - z) and [t["token"] for t in got[0][2]] == [2, 3, 1]
+    assert got[1] == (None, None, None) and got[2] == (None, None, None)
+    one = x.limit(1).select(logits.kd_loss(F.col("l"), F.array(F.lit(2), F.lit(0)), F.array(F.lit(math.log(0.7)), F.lit(math.log(0.2))), F.lit(3), 2.0, 0.25)).head()[0]
+    t = [math.sqrt(p) for p in (0.7, 0.2, 0.1)]
+    t = [p / sum(t) for p in t]
+    e = [math.exp(v / 2) for v in (0, 1, 2, 2)]
+    s = [e[2] / sum(e), e[0] / sum(e)]
+    s.append(1 - sum(s))
+    kl = 4 * sum(p * math.log(p / q) for p, q in zip(t, s, strict=True))
+    assert (one["ce"], one["kl"], one["mix"]) == pytest.approx((z - 2, kl, 0.25 * kl + 0.75 * (z - 2)))
+    assert x.limit(1).select(logits.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))).head()[0] == pytest.approx(0.5**0.5)
+
+
+def test_scripts(spark, tmp_path):
+    (tmp_path / "m.py").write_text("def score(row):\n    return None if row['expected'] is None else len(row['text']) / 2\n")
+    df = spark.createDataFrame([("a", "x", "e"), ("b", "xxxx", "e"), ("c", None, "e"), ("d", "x", None)], "i string, t string, e string")
+    assert [r[0] for r in df.select(scorers.metric(f"script:{tmp_path}/m.py")("i", "t", "e")).collect()] == [0.5, 1.0, None, None]
+    (tmp_path / "p.py").write_text("def score(row):\n    return 10 * len(row['pred'])\n")
+    f = scorers.project_script(str(tmp_path / "p.py"))
+    assert [r[0] for r in df.filter("i = 'a'").select(f("i", "t", "e", "t", "t")).collect()] == [10.0]
+    with pytest.raises(Exception, match="row c"):
+        df.select(f("i", "t", "e", "t", "t")).collect()
+    with pytest.raises(ValueError):
+        scorers.metric("none such")
+
+
+def test_protocols_are_apart(spark):
+    from lakeval.operators import compare
+
+    runs = spark.createDataFrame([("x|y", "z"), ("x", "y|z"), (None, "z"), ("-", "z")], "a string, b string")
+    assert compare.protocol_groups(runs, ["a", "b"]).select("protocol").distinct().count() == 4
+
+
 def test_csv_with_rejects(spark, tmp_path):
     (tmp_path / "a.csv").write_text('text,label\n"one, ""two""\nthree",x\n\nbad\n four ,y\n', encoding="utf-8")
     (tmp_path / "b.csv").write_bytes(b"text,label\n\xff\xfe,x\n")
