@@ -22,22 +22,37 @@ def suggest_task(df: DataFrame, field: str, out: str) -> DataFrame:
     return whole.select(field, "n", F.when(F.col("objects") == F.col("n"), "json").when(F.col("objects") > 0, "open").when(labels, "classification").otherwise("open").alias("task"))
 
 
-def tfidf_nearest(train: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+def tfidf_nearest(train: DataFrame, queries: DataFrame, key: str, common: float = 0.05) -> DataFrame:
     """(key, id, similarity): the training row (id, text) nearest to each query by cosine of TF-IDF, ties to
     the least id; a query that shares no word takes the first row at similarity 0.
 
-    Rows meet by shared word. idf is ln((1 + n) / (1 + df)) + 1."""
+    idf is ln((1 + n) / (1 + df)) + 1. Rows meet by their rarer words first. A query's words that stand in more
+    than a ``common`` share of rows can add at most the length of that part of its vector, so a row that meets
+    it in these alone is met only by queries whose best by rarer words is no higher than that; for the rest,
+    common words are looked up in the rows already met. The result does not depend on ``common``."""
     n = train.agg(F.count_distinct("id").alias("n"))
     d = train.select("id", F.explode(words(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
-    idf = d.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = d.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") > F.col("n") * common).alias("common"))
     q = queries.select(key, F.explode(words(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("tf"))
-    qw = q.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("qx"))
+    qw = q.join(idf, "w").select(key, "w", "common", (F.col("tf") * F.col("idf")).alias("qx"))
     tw = d.join(idf, "w").select("id", "w", (F.col("tf") * F.col("idf")).alias("tx"))
-    qn = qw.groupBy(key).agg(F.sqrt(F.sum(F.col("qx") * F.col("qx"))).alias("ql"))
+    qn = qw.groupBy(key).agg(F.sqrt(F.sum(F.col("qx") * F.col("qx"))).alias("ql"), F.sqrt(F.sum(F.when(F.col("common"), F.col("qx") * F.col("qx")).otherwise(0.0))).alias("qc"))
     tn = tw.groupBy("id").agg(F.sqrt(F.sum(F.col("tx") * F.col("tx"))).alias("tl"))
-    dots = qw.join(tw, "w").groupBy(key, "id").agg(F.sum(F.col("qx") * F.col("tx")).alias("dot"))
-    sims = dots.join(qn, key).join(tn, "id").select(key, "id", F.round(F.col("dot") / (F.col("ql") * F.col("tl")), 9).alias("similarity"))
-    best = sims.groupBy(key).agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b"))
+
+    def nearest(met: DataFrame) -> DataFrame:
+        """The best row of each query from (key, id, dot)."""
+        sims = met.join(qn, key).join(tn, "id").select(key, "id", F.round(F.col("dot") / (F.col("ql") * F.col("tl")), 9).alias("similarity"))
+        return sims.groupBy(key).agg(F.max_by(F.struct("id", "similarity"), F.struct("similarity", -F.col("id"))).alias("b"))
+
+    dot = F.sum(F.col("qx") * F.col("tx")).alias("dot")
+    rare = qw.filter("not common").join(tw, "w").groupBy(key, "id").agg(dot)
+    often = qw.filter("common").select(F.col(key).alias("k_"), "w", "qx").join(rare.select(F.col(key).alias("k_"), "id"), "k_").join(tw, ["id", "w"]).groupBy("k_", "id").agg(F.sum(F.col("qx") * F.col("tx")).alias("more"))
+    whole = rare.join(often.withColumnRenamed("k_", key), [key, "id"], "left").select(key, "id", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("dot"))
+    best = nearest(whole)
+    # a row met in common words alone has at most qc / ql; one billionth more covers the rounding
+    open_ = qn.join(best, key, "left").filter(F.coalesce("b.similarity", F.lit(-1.0)) <= F.col("qc") / F.col("ql") + 1e-8).select(key)
+    again = nearest(qw.join(open_, key).join(tw, "w").groupBy(key, "id").agg(dot))
+    best = best.join(open_, key, "left_anti").unionByName(again)
     first = train.agg(F.min("id").alias("first"))
     out = queries.select(key).join(best, key, "left").crossJoin(F.broadcast(first))
     return out.select(key, F.coalesce("b.id", "first").alias("id"), F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))

@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.text import normalized, row_key
 
 
-def with_row_ids(df: DataFrame, given: str, wanted: str, order: Sequence[str]) -> DataFrame:
-    """Add ``id``: the row key, with ``-n`` for the n-th repeat in source order."""
+def with_row_ids(df: DataFrame, given: str, wanted: str, order: Sequence[str], parts: int = 64) -> DataFrame:
+    """Add ``id``: the row key, with ``-n`` for the n-th repeat in source order.
+
+    The number of a repeat is counted in two steps, within ranges of the first order column and over the
+    ranges before, so that the copies of one text are never all in one task."""
+    first = order[0]
     keyed = df.withColumn("key_", row_key(F.col(given), F.col(wanted)))
-    n = F.row_number().over(Window.partitionBy("key_").orderBy(*order)) - 1
-    return keyed.withColumn("n_", n).withColumn("id", F.when(F.col("n_") == 0, F.col("key_")).otherwise(F.concat("key_", F.lit("-"), F.col("n_").cast("string")))).drop("key_", "n_")
+    cuts = df.agg(F.approx_percentile(first, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("cuts_")) if dict(df.dtypes)[first] in ("tinyint", "smallint", "int", "bigint", "double", "date", "timestamp") else None
+    if cuts is None:
+        keyed = keyed.withColumn("range_", F.lit(0))
+    else:
+        keyed = keyed.crossJoin(F.broadcast(cuts)).withColumn("range_", F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col(first))), F.lit(0))).drop("cuts_")
+    counts = keyed.groupBy("key_", "range_").agg(F.count("*").alias("c_"))
+    before = counts.select("key_", "range_", (F.sum("c_").over(Window.partitionBy("key_").orderBy("range_")) - F.col("c_")).alias("before_"))
+    n = F.row_number().over(Window.partitionBy("key_", "range_").orderBy(*order)) - 1
+    rows = keyed.withColumn("n_", n).join(before, ["key_", "range_"]).withColumn("n_", F.col("n_") + F.col("before_"))
+    return rows.withColumn("id", F.when(F.col("n_") == 0, F.col("key_")).otherwise(F.concat("key_", F.lit("-"), F.col("n_").cast("string")))).drop("key_", "n_", "range_", "before_")
 
 
 def duplicate_groups(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -65,12 +77,15 @@ def training_union(own: DataFrame, weight: float, *others: tuple[str, DataFrame]
 
 
 def leakage_filter(prompts: DataFrame, held: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
-    """Each prompt with what becomes of it: empty, held (its key is among the held rows), repeat, kept."""
+    """Each prompt with what becomes of it: empty, held (its key is among the held rows), repeat, kept.
+
+    The first prompt of a key is its least by ``order``, summed up before the shuffle; no window gathers the
+    copies of a prompt."""
     keyed = prompts.withColumn("key_", normalized(F.col(text)))
     known = held.select(normalized(F.col(text)).alias("key_")).distinct().withColumn("held_", F.lit(True))
-    n = F.row_number().over(Window.partitionBy("key_").orderBy(*order))
-    fate = F.when(F.coalesce("key_", F.lit("")) == "", "empty").when(F.col("held_"), "held").when(F.col("n_") > 1, "repeat").otherwise("kept")
-    return keyed.withColumn("n_", n).join(known, "key_", "left").withColumn("fate", fate).drop("key_", "n_", "held_")
+    first = keyed.groupBy("key_").agg(F.min(F.struct(*order)).alias("first_"))
+    fate = F.when(F.coalesce("key_", F.lit("")) == "", "empty").when(F.col("held_"), "held").when(F.struct(*order) != F.col("first_"), "repeat").otherwise("kept")
+    return keyed.join(first, "key_", "left").join(known, "key_", "left").withColumn("fate", fate).drop("key_", "first_", "held_")
 
 
 def overlaps(df: DataFrame, text: str, split: str, key: str) -> DataFrame:
