@@ -181,3 +181,17 @@ def largest_overnight(machines, resident_rate: float, hours: float = 12.0):
     stop = F.min(F.when(full | late, F.struct(F.col("p_"), F.when(full, "disk").otherwise("time").alias("limit"))))
     out = tried.groupBy(*own).agg(stop.alias("stop_"))
     return out.select(*own, F.coalesce(F.col("stop_.p_") - 1, F.lit(399)).alias("billions"), F.coalesce("stop_.limit", F.lit("time")).alias("limit"))
+
+
+#: The smallest judge in billions of parameters, and the share of memory that its weights may take.
+LEAST_JUDGE, JUDGE_SHARE = 1.5, 0.6
+
+
+def recommended(machines, candidates: list[tuple[str, float]]):
+    """Machines (memory, student) with ``judge``: of the candidates (name, billions of parameters) the largest
+    that is no less than the smallest judge, not the student, and fits its share of memory at two bytes a
+    parameter; else the smallest judge."""
+    own = machines.columns
+    fits = [F.when((F.lower("student") != name.lower()) & (F.lit(b * 2e9) <= JUDGE_SHARE * F.col("memory")), F.lit(name)) for name, b in sorted(candidates, key=lambda c: -c[1]) if b >= LEAST_JUDGE]
+    smallest = min((c for c in candidates if c[1] >= LEAST_JUDGE), key=lambda c: c[1])[0]
+    return machines.select(*own, F.coalesce(*fits, F.lit(smallest)).alias("judge"))

@@ -112,3 +112,20 @@ def pairwise_rates(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     rate = lambda c: F.round(F.when(n > 0, F.count_if(c) / n), 9)
     v = F.col("verdict")
     return rows.groupBy(by).agg(F.count("*").alias("n_rows"), n.alias("scored"), rate(v == x).alias("win_rate"), rate(~v.isin(x, y)).alias("tie_rate"), rate(v == y).alias("loss_rate"))
+
+
+#: The scorer that each task's outputs get.
+TASK_SCORERS = {"classification": "class_metrics", "exact": "class_metrics", "json": "json_metrics", "open": "open_metrics"}
+
+
+def task_metrics(task: str, rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Metrics of scored rows by task; with a column ``script_score`` also its mean."""
+    from . import reports
+
+    if task not in TASK_SCORERS:
+        raise ValueError(f"no task {task!r}: {', '.join(sorted(TASK_SCORERS))}")
+    kind = TASK_SCORERS[task]
+    out = class_metrics(rows) if kind == "class_metrics" else reports.json_metrics(rows, names or []) if kind == "json_metrics" else reports.open_metrics(rows)
+    if "script_score" in rows.columns:
+        out = out.crossJoin(rows.agg(F.round(F.avg("script_score"), 9).alias("script_score")))
+    return out

@@ -286,3 +286,28 @@ def declared_labels(text: str) -> list[str]:
 def ordered_distinct(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Distinct values in the order of their first row: the values and ``first``."""
     return rows.groupBy(*by).agg(F.min(order).alias("first"))
+
+
+def target_text(task: str, output: Column) -> Column:
+    """What a row is trained to say: text as it is, a JSON task's record in canonical form."""
+    from ..functions.jsontools import canonical_json
+
+    return canonical_json(output) if task == "json" else output
+
+
+def training_file(lines: DataFrame, value: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of a training file of plain, chat or distillation lines: messages that end with an
+    answer. Records with an error or a blank answer are left out without an issue."""
+    from ..sources import files
+
+    v = F.col(value)
+    get = lambda key: F.get_json_object(v, f"$.{key}")
+    record = get("teacher").isNotNull() & get("messages").isNotNull() & (get("completion").isNotNull() | get("target").isNotNull())
+    lines = lines.filter(F.coalesce(strip(v), F.lit("")) != "").withColumn("record_", F.coalesce(record, F.lit(False))).withColumn("problem", line_problem(v))
+    taught = lines.filter("record_ and problem is null").select(ordinal, files.line_messages(v).alias("messages"), F.coalesce(get("completion"), get("target")).alias("answer"), get("error").alias("error"))
+    last = F.struct(F.lit("assistant").alias("role"), strip(F.col("answer")).alias("content"), F.lit(None).cast("int").alias("weight"))
+    taught = taught.filter("error is null").filter(strip(F.col("answer")) != "").select(ordinal, F.concat("messages", F.array(last)).alias("messages"))
+    plain = lines.filter("not record_ and problem is null").select(ordinal, files.line_messages(v).alias("messages"))
+    plain = plain.withColumn("problem", F.when(F.try_element_at("messages", F.lit(-1))["role"] != "assistant", "no answer"))
+    issues = lines.filter("problem is not null").select(ordinal, "problem").unionAll(plain.filter("problem is not null").select(ordinal, "problem"))
+    return taught.unionByName(plain.filter("problem is null").drop("problem")), issues

@@ -208,3 +208,21 @@ def group_overlap(spark, t):
     sides = rows.groupBy("value", "split").agg(F.min("doc_id").alias("first"))
     a, b = sides.alias("a"), sides.alias("b")
     return a.join(b, F.expr("a.value = b.value and a.split < b.split")).select(F.col("a.value").alias("value"), F.col("a.split").alias("split_a"), F.col("b.split").alias("split_b"), F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"))
+
+
+_TRAIN = """case item_id % 8 when 0 then '{"prompt": "p", "answer": "a' || item_id || '"}' when 1 then '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "b"}]}' when 2 then '{"teacher": {"model": "t"}, "messages": [{"role": "user", "content": "u"}], "completion": " c' || item_id || ' "}'
+when 3 then '{"teacher": {"model": "t"}, "messages": [{"role": "user", "content": "u"}], "completion": "  "}' when 4 then '{"teacher": {"model": "t"}, "messages": [{"role": "user", "content": "u"}], "target": "d", "error": "e"}' when 5 then '{"prompt": "p"}' when 6 then '{"messages": [{"role": "user", "content": "u"}]}' else ' ' end"""
+
+
+@register("""SELECT item_id, CASE item_id % 8 WHEN 0 THEN 'a' || item_id WHEN 1 THEN 'b' WHEN 2 THEN 'c' || item_id ELSE 'no answer' END AS outcome FROM benchmark WHERE item_id % 8 IN (0, 1, 2, 5, 6)""")
+def training_file(spark, t):
+    """Answers of a training file of mixed lines, and the lines without one."""
+    rows, issues = intake.training_file(t("benchmark").select("item_id", F.expr(_TRAIN).alias("value")), "value", "item_id")
+    return rows.select("item_id", F.try_element_at("messages", F.lit(-1))["content"].alias("outcome")).unionAll(issues.select("item_id", "problem"))
+
+
+@register("SELECT event_id, '{\"a\":' || (event_id % 9) || ',\"k\":' || json_extract_string(props, '$.k') || '}' AS target FROM events")
+def target_texts(spark, t):
+    """Records in the form that a model is trained to write."""
+    text = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": '), (F.col("event_id") % 9).cast("string"), F.lit("}"))
+    return t("events").select("event_id", intake.target_text("json", text).alias("target"))

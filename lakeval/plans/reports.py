@@ -283,3 +283,49 @@ def capped_issues(spark, t):
     from ..operators.rows import ranked_head
 
     return ranked_head(t("documents").filter("doc_id % 3 = 0").select((F.col("doc_id") % 5).alias("file"), F.col("doc_id").alias("row")), ["file"], ["row"], 8)
+
+
+@register("""SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS text, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END AS score FROM events""")
+def scored_results(spark, t):
+    """Results by id against what was expected; no score for an error or where nothing was expected."""
+    choice = F.struct(F.struct(F.col("event_type").alias("content")).alias("message"))
+    body = F.struct(F.struct(F.array(choice).alias("choices")).alias("body"))
+    row = F.struct(F.expr("case when event_id % 5 = 0 then 'failed' end").alias("error"), body.alias("response"))
+    results = t("events").select(F.col("event_id").alias("id"), scorers.response_text(row).alias("text"))
+    expected = t("events").filter("event_id % 7 <> 0").select(F.col("event_id").alias("id"), F.lit("view").alias("expected"))
+    score = F.when(F.col("expected").isNotNull(), scorers.exact_match(F.col("text"), F.array("expected")))
+    return evaluate.scored(results, expected, "id", score).select("id", "text", "score")
+
+
+@register("""WITH r AS (SELECT event_type AS kind, user_id AS id, event_id, CASE event_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'failed' END AS status FROM events)
+SELECT kind, CAST(id AS VARCHAR) AS id, arg_max(status, event_id) AS status FROM r GROUP BY ALL""")
+def run_listing(spark, t):
+    """The newest version of each record, written in two steps."""
+    from ..operators.records import Records
+    from ..workspace import Workspace
+
+    records = Records(spark, f"{Workspace(spark, 'records').base}/table")
+    rows = t("events").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("id"), F.expr("case event_id % 3 when 0 then 'running' when 1 then 'completed' else 'failed' end").alias("status"), F.timestamp_seconds("event_id").alias("at"), F.col("props").alias("body"), "event_id")
+    records.write(rows.filter("event_id % 2 = 0"))
+    records.write(rows.filter("event_id % 2 = 1"))
+    return records.listing().select("kind", "id", "status")
+
+
+@register("""SELECT c_custkey AS run, sha256('{"segment":"' || c_mktsegment || '","seed":' || (c_custkey % 3) || ',"judge":' || CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '"j"' END || '}') AS identity FROM customer""")
+def run_identities(spark, t):
+    """A digest of what each run's identity covers."""
+    from ..operators.records import identity
+
+    rows = t("customer").select(F.col("c_custkey").alias("run"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 3).alias("seed"), F.when(F.col("c_custkey") % 2 == 1, "j").alias("judge"))
+    return rows.select("run", identity(["segment", "seed", "judge"]).alias("identity"))
+
+
+@register("""WITH c(tag, b) AS (VALUES ('small', 0.5), ('mid', 1.5), ('large', 7.0), ('huge', 32.0)), m AS (SELECT s_suppkey AS k, (1 + s_suppkey % 90) * 1e9 AS mem, CASE s_suppkey % 3 WHEN 0 THEN 'LARGE' WHEN 1 THEN 'mid' ELSE 'small' END AS student FROM supplier)
+SELECT k, coalesce(arg_max(tag, b) FILTER (WHERE b >= 1.5 AND tag <> lower(student) AND b * 2e9 <= 0.6 * mem), 'mid') AS judge FROM m, c GROUP BY k""")
+def recommended_judges(spark, t):
+    """The largest judge that fits each machine's memory, other than the student; else the smallest."""
+    from ..functions import planning
+
+    k = F.col("s_suppkey")
+    m = t("supplier").select(k.alias("k"), ((1 + k % 90) * F.lit(1e9)).alias("memory"), F.expr("case s_suppkey % 3 when 0 then 'LARGE' when 1 then 'mid' else 'small' end").alias("student"))
+    return planning.recommended(m, [("small", 0.5), ("mid", 1.5), ("large", 7.0), ("huge", 32.0)]).select("k", "judge")

@@ -97,3 +97,48 @@ def manifest_problems(wanted: DataFrame, found: DataFrame) -> DataFrame:
     both = a.join(b, F.expr("a.path = b.path"), "full_outer")
     problem = F.when(F.col("b.path").isNull(), "missing").when(F.col("a.path").isNull(), "extra").when(~F.col("a.sha256").eqNullSafe(F.col("b.sha256")) | ~F.col("a.bytes").eqNullSafe(F.col("b.bytes")), "changed")
     return both.select(F.coalesce("a.path", "b.path").alias("path"), problem.alias("problem")).filter("problem is not null")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines with their keys in order, nulls left out; Spark's committer makes the files appear
+    whole or not at all. What is there is not overwritten."""
+    rows.select(*sorted(rows.columns)).write.mode("errorifexists").json(path)
+
+
+def newest_training_file(spark: SparkSession, folder: str) -> str | None:
+    """The newest ``*.distill.jsonl`` or ``train.jsonl`` of a folder, the larger name of two of one time; none
+    if there is none."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
+    named = F.element_at(F.split("path", "/"), -1)
+    best = files.filter((named == "train.jsonl") | F.endswith(named, F.lit(".distill.jsonl"))).agg(F.max(F.struct("modificationTime", "path")).alias("b")).head()
+    return best["b"]["path"] if best["b"] else None
+
+
+def make_bundle(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copy all files below ``source`` as one table with their digests, and return its manifest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    root = source.rstrip("/").removeprefix("file:") + "/"
+    name = F.regexp_replace(F.substring_index("path", root, -1), "^/+", "")
+    files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content").write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target).select("path", "bytes", "sha256")
+
+
+def bundle_problems(spark: SparkSession, bundle: str) -> DataFrame:
+    """Files of a bundle whose content is not what its manifest says."""
+    rows = spark.read.parquet(bundle)
+    return rows.filter((F.sha2("content", 256) != F.col("sha256")) | (F.octet_length("content") != F.col("bytes"))).select("path", F.lit("changed").alias("problem"))
+
+
+def install_bundle(spark: SparkSession, bundle: str, target: str) -> int:
+    """Write the files of a verified bundle below a folder through Hadoop's file systems; returns how many.
+    A changed file stops it before anything is written, and a file that is there is not overwritten."""
+    if not bundle_problems(spark, bundle).isEmpty():
+        raise OSError(f"{bundle} is not what its manifest says")
+    jvm, conf, done = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for r in spark.read.parquet(bundle).select("path", "content").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{target}/{r['path']}")
+        out = path.getFileSystem(conf).create(path, False)
+        out.write(bytearray(r["content"]))
+        out.close()
+        done += 1
+    return done

@@ -25,7 +25,8 @@ class RowJob:
         self.spark, self.source, self.sink, self.state = spark, source, sink, state
         self.schema, self.key, self.files = schema, key, files_per_batch
         self.identity = json.dumps(dict(identity), sort_keys=True)
-        self.out: str | None = None
+        self.query = None
+        self.stopped = False
 
     def _guard(self) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -41,21 +42,34 @@ class RowJob:
     def run(self, runner: Callable, schema: str) -> None:
         """Work through the files that are new, then return."""
         self._guard()
-        self.out = schema
+        self.stopped = False
         rows = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.source)
 
         def segment(df: DataFrame, batch: int) -> None:
             df.withColumn("batch_", F.lit(batch)).write.mode("overwrite").parquet(f"{self.sink}/seg={batch}")
 
-        query = rows.mapInPandas(runner, schema).writeStream.foreachBatch(segment).option("checkpointLocation", f"{self.state}/checkpoint").trigger(availableNow=True).start()
+        self.query = query = rows.mapInPandas(runner, schema).writeStream.foreachBatch(segment).option("checkpointLocation", f"{self.state}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        if query.exception():
+        if query.exception() and not self.stopped:
             raise query.exception()
 
+    def stop(self) -> None:
+        """End after the micro-batch that is running is given up: it has no segment that counts, and the next
+        run does it again. For a signal handler or another thread."""
+        self.stopped = True
+        if self.query is not None:
+            self.query.stop()
+
+    def progress(self) -> dict | None:
+        """Batch number and rows of the last micro-batch of this run; none before the first."""
+        last = self.query.lastProgress if self.query is not None else None
+        return {"batch": last["batchId"], "rows": last["numInputRows"]} if last else None
+
     def results(self) -> DataFrame:
-        """One row an id, the first that was done."""
+        """One row an id, the first that was done; of one batch the least in the order of its columns."""
         rows = self.spark.read.parquet(self.sink)
-        first = F.row_number().over(Window.partitionBy(self.key).orderBy("batch_"))
+        rest = [c for c in rows.columns if c not in (self.key, "batch_", "seg")]
+        first = F.row_number().over(Window.partitionBy(self.key).orderBy("batch_", *rest))
         return rows.withColumn("r_", first).filter("r_ = 1").drop("r_", "batch_", "seg")
 
     def remaining(self, rows: DataFrame) -> DataFrame:
