@@ -46,7 +46,7 @@ class LazyTransducer:
 
     ``max_states`` bounds the tables of deterministic states; beyond it they start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -215,7 +215,7 @@ class Encoder:
     among white space, a text is first cut before each space that has no white space next to it; no
     pretoken crosses such a cut. Frequent units and pretokens are kept, up to ``most`` of each."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 240_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_spaces: bool = True, most: int = 160_000):
         machine = LazyTransducer(ranks)
         find = regex.compile(pattern).findall
 

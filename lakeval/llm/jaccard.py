@@ -227,6 +227,7 @@ def describe(docs: DataFrame, words: int, p: int, q: int, parts: int, seed: int
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), none, pa.nulls(len(sizes), pa.binary())], names=names)
         yield packed()
+        _WORDS.clear()  # the worker may serve other stages next
 
     return docs.select("doc_id", "text").mapInArrow(run, _MADE)
 
