@@ -14,8 +14,9 @@ of leaders:
 1. Which leaders stand in two documents or more? All others are settled.
 2. Of those, runs are sorted by leader and by name of the whole run: a run whose equal stands in an
    earlier document goes as a whole. A leader whose runs are all equal is settled.
-3. What is left, the first run of each name where a leader has several names, is refined to its single
-   windows by sorting their names within the leader.
+3. What is left, the first run of each name where a leader has several names, goes to the leader's shard with
+   its bytes. There buckets of 8-grams are refined by sorting positions on the buckets of later offsets until
+   a bucket is a whole window (``refined``), so what is removed here is equal byte by byte.
 
 A batch sends each name once, with its least doc_id, so a passage that a third of all documents share
 costs a batch one entry. Leaders with very many names are dealt out by window in round 3.
@@ -38,6 +39,8 @@ BATCH_BYTES = 6 << 20
 SHARD_BYTES = 48 << 20
 #: Leaders with more distinct runs than this have their windows dealt out one by one.
 HOT_NAMES = 20_000
+#: Runs whose windows a task refines together, beyond a whole leader's.
+CHUNK_RUNS = 10_000
 
 _RNG = np.random.Generator(np.random.Philox(key=[19, 73]))
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,6 +204,30 @@ def _resolved_runs(t: pa.Table) -> pa.Table:
     return _back(0, src[flag > 0], out[flag > 0])
 
 
+def refined(texts: np.ndarray, window: int) -> np.ndarray:
+    """Bucket of the string of ``window`` bytes at each position of equally long texts (rows of bytes): equal
+    strings, and no others, have one.
+
+    The first buckets are the 8-grams, by their bytes. They are refined by sorting positions on their bucket
+    and on that of the position ``width`` bytes on, and what comes of it is the bucket that the next, twice as
+    wide refinement sorts on, here and at later offsets alike; the last one overlaps."""
+    wide, width = texts.shape[1], 8
+    bucket = np.zeros((len(texts), wide - 7), np.uint64)
+    for k in range(8):
+        bucket = bucket << np.uint64(8) | texts[:, k : wide - 7 + k]
+    while width < window:
+        further = min(width, window - width)
+        here, later = bucket[:, :-further].reshape(-1), bucket[:, further:].reshape(-1)
+        order = np.lexsort((later, here))
+        new = np.zeros(len(order), bool)
+        new[1:] = (here[order][1:] != here[order][:-1]) | (later[order][1:] != later[order][:-1])
+        out = np.empty(len(order), np.uint64)
+        out[order] = np.cumsum(new).astype(np.uint64)
+        bucket = out.reshape(len(texts), -1)
+        width += further
+    return bucket
+
+
 def _resolved_windows(window: int) -> Callable[[pa.Table], pa.Table]:
     kind = _runs_dtype(window)
 
@@ -209,21 +236,19 @@ def _resolved_windows(window: int) -> Callable[[pa.Table], pa.Table]:
         order = np.argsort(rows["r"], kind="stable")
         masks = np.zeros(len(rows), np.uint32)
         cuts = np.flatnonzero(np.r_[True, np.diff(rows["r"][order]) != 0])
-        pieces, held = [], 0  # whole leaders, some hundred thousand runs at a time
+        pieces, held = [], 0  # whole leaders, some ten thousand runs at a time
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
-            if not held or lo - pieces[-1][0] > 100_000:
+            if not held or lo - pieces[-1][0] > CHUNK_RUNS:
                 pieces.append([lo, hi])
                 held = 1
             pieces[-1][1] = hi
         for lo, hi in pieces if len(order) else []:
             part = order[lo:hi]
             r = rows[part]
-            wide = r["t"].shape[1]
-            h = _grams(np.ascontiguousarray(r["t"]).reshape(-1))
             n = r["n"].astype(np.int64)
             own = np.repeat(np.arange(len(r)), n)
             step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            name = _windows(h, own * wide + step, window)
+            name = refined(r["t"], window)[own, step]
             by = np.lexsort((r["d"][own], name, r["r"][own]))
             o, w = own[by], name[by]
             new = np.r_[True, (w[1:] != w[:-1]) | (r["r"][o][1:] != r["r"][o][:-1])]

@@ -43,3 +43,24 @@ def test_null_ids_stay_whole(spark, docs, ws):
     got = substrings.remove_repeats(docs([(None, t), (5, t), (7, t)]), ws).collect()
     assert sorted((str(r["doc_id"]), len(r["kept"])) for r in got) == [("5", len(t)), ("7", 0), ("None", len(t))]
     assert substrings.remove_repeats(docs([]), ws).count() == 0
+
+
+def test_buckets_are_whole_strings():
+    """Equal strings and no others share a bucket, whatever the window."""
+    import numpy as np
+
+    from lakeval.llm import substrings
+
+    rng = np.random.default_rng(5)
+    for window in (17, 31, 32, 50, 64):
+        texts = rng.integers(97, 99, (40, window + 9), np.uint8)
+        texts[20:30] = texts[3]
+        texts[30:, 4:] = texts[5, 2:-2]
+        got = substrings.refined(texts, window)
+        assert got.shape == (40, 10)
+        seen = {}
+        for row in range(40):
+            for at in range(10):
+                seen.setdefault(int(got[row, at]), set()).add(texts[row, at : at + window].tobytes())
+        assert all(len(v) == 1 for v in seen.values())
+        assert len(seen) == len({x for v in seen.values() for x in v})
