@@ -213,3 +213,107 @@ def test_entry_without_the_optional_parts():
 
     assert e._optional("lakeval.no_such_module") is None
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_with_the_subpackage_deleted(tmp_path):
+    """A copy without the subpackage, its tests and with or without the pipeline still has the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "lakeval", tmp_path / "lakeval", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'row_ids' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) <= set(q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_intake_of_odd_records(spark):
+    from lakeval.operators import intake
+
+    schema = "file string, row long, values map<string,string>"
+    rows = [("a", 1, {"x": " in ", "y": " out "}), ("a", 2, {"x": None, "y": "o"}), ("a", 3, {"x": "i"}), ("a", 4, None), ("b", 1, {"x": "i"})]
+    good, bad = intake.map_rows(spark.createDataFrame(rows, schema), "x", "y")
+    assert [(r["row"], r["input"], r["output"], r["group"]) for r in good.collect()] == [(1, " in ", "out", None)]
+    assert sorted((r["file"], r["where"], r["problem"]) for r in bad.collect()) == [("a", "row 2", "empty input"), ("a", "row 3", "empty output"), ("a", "row 4", "empty input"), ("b", "header", "no column y")]
+    good, bad = intake.map_rows(spark.createDataFrame([], schema), "x", "y")
+    assert good.count() == 0 and bad.count() == 0
+    assert intake.declared_labels("a, b\nc") == ["a", "b", "c"]
+    for text in ("a", "a,b,a", ""):
+        with pytest.raises(ValueError):
+            intake.declared_labels(text)
+
+
+def test_prompt_files(spark):
+    from lakeval.operators import intake
+
+    lines = ['{"prompt": "p", "system": "s"}', "", None, '{"custom_id": "a", "messages": [{"role": "user", "content": "u"}], "system": "t"}', '{"custom_id": "a", "prompt": "p", "answer": "x"}', '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "x", "weight": true}]}']
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "n long, value string")
+    rows, issues = intake.prompt_rows(df, "value", "n")
+    got = {r["n"]: r for r in rows.collect()}
+    assert set(got) == {1, 4} and got[1]["custom_id"] == "row-000001" and [m["role"] for m in got[4]["messages"]] == ["system", "user"]
+    assert sorted((r["n"], r["problem"]) for r in issues.collect()) == [(5, "duplicate custom_id"), (6, "weight must be 0 or 1")]
+    rows, issues = intake.prompt_rows(df.filter("n = 5 or n = 1"), "value", "n", mode="score")
+    assert [r["n"] for r in rows.collect()] == [5] and [r["problem"] for r in issues.collect()] == ["no target"]
+
+
+def test_splits_that_were_supplied(spark):
+    from lakeval.operators import intake
+
+    rows = [(i, None if i < 6 else "val" if i < 8 else "test") for i in range(10)]
+    comps = spark.createDataFrame([(i, i // 2) for i in range(10)], "id long, component long")
+    both = intake.resolved_split(spark.createDataFrame(rows, "id long, given string"), comps, "s", 0.2, 0.2)
+    assert {r["split"] for r in both.collect()} == {"train", "val", "test"} and {r["mode"] for r in both.collect()} == {"supplied"}
+    one = intake.resolved_split(spark.createDataFrame([(i, "val" if g == "val" else None) for i, g in rows], "id long, given string"), comps, "s", 0.2, 0.2).collect()
+    assert len(one) == 10 and {r["mode"] for r in one} == {"mixed"} and sum(r["split"] == "test" for r in one) == 2
+    none = intake.resolved_split(spark.createDataFrame([(i, None) for i in range(10)], "id long, given string"), comps, "s", 0.2, 0.2)
+    assert {r["mode"] for r in none.collect()} == {"generated"}
+
+
+def test_row_ids_of_hot_texts(spark):
+    df = spark.createDataFrame([(i, "same" if i % 3 else "other") for i in range(500)], "n long, given string").withColumn("wanted", F.lit("w")).repartition(5)
+    got = rows.with_row_ids(df, "given", "wanted", ["n"]).orderBy("n").collect()
+    seen = {}
+    for r in got:
+        base = r["id"] if r["id"].count("-") == 1 else r["id"].rpartition("-")[0]
+        n = seen.get(base, 0)
+        assert r["id"] == (base if not n else f"{base}-{n}")
+        seen[base] = n + 1
+
+
+def test_files_written_and_bundled(spark, tmp_path):
+    import os
+
+    from lakeval.operators import records
+
+    src = tmp_path / "src"
+    (src / "sub").mkdir(parents=True)
+    (src / "a.txt").write_bytes(b"one")
+    (src / "sub" / "b.bin").write_bytes(bytes(range(256)))
+    made = files.make_bundle(spark, str(src), str(tmp_path / "bundle"))
+    assert sorted((r["path"], r["bytes"]) for r in made.collect()) == [("a.txt", 3), ("sub/b.bin", 256)]
+    assert files.install_bundle(spark, str(tmp_path / "bundle"), str(tmp_path / "out")) == 2
+    assert (tmp_path / "out" / "sub" / "b.bin").read_bytes() == bytes(range(256))
+    files.write_lines(spark.createDataFrame([(2, "x"), (None, "y")], "b long, a string").coalesce(1), str(tmp_path / "lines"))
+    assert sorted(x for p in (tmp_path / "lines").glob("part-*.json") for x in p.read_text().splitlines()) == ['{"a":"x","b":2}', '{"a":"y"}']
+    with pytest.raises(Exception, match="already exists"):
+        files.write_lines(spark.createDataFrame([(1,)], "b long"), str(tmp_path / "lines"))
+    for n, name in enumerate(("train.jsonl", "x.distill.jsonl", "other.jsonl")):
+        (src / name).write_text("{}")
+        os.utime(src / name, (1000 + n, 1000 + n))
+    assert files.newest_training_file(spark, str(src)).endswith("x.distill.jsonl")
+    payloads = spark.createDataFrame([("p", b"abc")], "name string, content binary")
+    assert [tuple(r)[::2] for r in records.put_payloads(payloads, str(tmp_path / "payloads")).collect()] == [("p", 3)]
+    with pytest.raises(Exception, match="already exists"):
+        records.put_payloads(payloads, str(tmp_path / "payloads"))
+    events = spark.createDataFrame([("start", "2026-01-01", "j", "{}")], "event string, at string, job string, data string")
+    records.write_events(events, str(tmp_path / "events"))
+    with pytest.raises(Exception, match="no such event"):
+        records.write_events(events.withColumn("event", F.lit("begin")), str(tmp_path / "events"))
+    assert spark.read.json(str(tmp_path / "events")).count() == 1
+    assert records.gate(spark.createDataFrame([("few rows",)], "problem string"), False) == ["few rows", "the deadline cannot be met"] and records.gate(spark.createDataFrame([], "problem string"), None) == []
