@@ -67,3 +67,19 @@ def length_buckets(rows: DataFrame, key: str, length: str, size: int, seed: str,
     padded = F.ceil(F.max(length).over(Window.partitionBy("batch")) / multiple) * multiple
     out = placed.withColumn("batch", batch).withColumn("padded", padded.cast("long"))
     return out.withColumn("draw", F.sha2(F.concat(F.lit(seed), F.col("batch").cast("string")), 256)).drop("in_", "base_")
+
+
+def padded_batch(ids: Column, mask: Column, width: Column, pad: int = 0) -> tuple[Column, Column, Column]:
+    """(inputs, targets, mask) of an example for training: targets are the inputs shifted by one, all three
+    padded to the width of the batch; what is not trained on is masked with 0."""
+    n = F.size(ids) - 1
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v).cast("long"), F.greatest(F.lit(0), width - n).cast("int")))
+    return fill(F.slice(ids, F.lit(1), n), pad), fill(F.slice(ids, F.lit(2), n), pad), fill(F.slice(mask, F.lit(2), n), 0)
+
+
+def trainable_left(turns: DataFrame, key: str, weight: str) -> DataFrame:
+    """Conversations of truncated turns (kept, role) with whether they can be trained on: an assistant's turn
+    with a weight that is not 0 must have stayed. Where dropping turns took the last such turn, or the last
+    exchange is too long, the conversation is skipped."""
+    trained = (F.col("role") == "assistant") & (F.coalesce(weight, F.lit(1)) != 0)
+    return turns.groupBy(key).agg(F.count_if(~F.coalesce("kept", F.lit(True))).alias("dropped"), F.bool_or(F.coalesce(F.col("kept") & trained, F.lit(False))).alias("usable"))

@@ -48,9 +48,12 @@ def loss_gap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average at the end of each key's rows, starting from the first value."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    return rows.select(key, F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0))[value], lambda s, x: s * (1 - alpha) + x[value] * alpha).alias("ema"))
+    """Exponential moving average at the end of each key's rows, starting from the first value. It is a sum of
+    the values by weights that fall with the place from the end, so no task holds a key's rows."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    rows = df.join(df.groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_")), F.col(key).eqNullSafe(F.col("k_"))).withColumn("i_", back)
+    weight = F.pow(F.lit(1 - alpha), F.col("i_")) * F.when(F.col("i_") == F.col("n_") - 1, 1.0).otherwise(alpha)
+    return rows.groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
 def total_or_null(c: Column) -> Column:

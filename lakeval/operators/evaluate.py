@@ -11,12 +11,12 @@ def scored(results: DataFrame, expected: DataFrame, on: str, score: Column) -> D
     return results.join(expected, on, "left").withColumn("score", score)
 
 
-def eval_table(runs: DataFrame) -> DataFrame:
-    """One row a run: rows, mean score over the scored, unscored rows, exact p50 and p95 of latency, tokens.
+def eval_table(runs: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """One row a run, or for each value of ``by`` (model, quant, adapter): rows, mean score over the scored, unscored rows, exact p50 and p95 of latency, tokens.
 
     Percentiles interpolate linearly over all rows; they are exact, so a run's latencies are grouped by
     value before they are merged."""
-    return runs.groupBy("run").agg(
+    return runs.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.round(F.avg("score"), 9).alias("mean_score"),
         F.count_if(F.col("score").isNull()).alias("unscored"),
@@ -129,3 +129,9 @@ def task_metrics(task: str, rows: DataFrame, names: list[str] | None = None) ->
     if "script_score" in rows.columns:
         out = out.crossJoin(rows.agg(F.round(F.avg("script_score"), 9).alias("script_score")))
     return out
+
+
+def engine_counts(rows: DataFrame, engine: str, key: str) -> DataFrame:
+    """Rows of each engine, distinct ids among them and rows beyond the first of an id."""
+    each = rows.groupBy(engine, key).agg(F.count("*").alias("n_"))
+    return each.groupBy(engine).agg(F.sum("n_").alias("n"), F.count("*").alias("ids"), F.sum(F.col("n_") - 1).alias("repeated"))

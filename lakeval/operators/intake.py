@@ -311,3 +311,29 @@ def training_file(lines: DataFrame, value: str, ordinal: str) -> tuple[DataFrame
     plain = plain.withColumn("problem", F.when(F.try_element_at("messages", F.lit(-1))["role"] != "assistant", "no answer"))
     issues = lines.filter("problem is not null").select(ordinal, "problem").unionAll(plain.filter("problem is not null").select(ordinal, "problem"))
     return taught.unionByName(plain.filter("problem is null").drop("problem")), issues
+
+
+def file_summary(lines: DataFrame, value: str, ordinal: str, by: str) -> DataFrame:
+    """One row a file (``by``): rows, shape, use, expected, targets, and what is wrong with the whole file:
+    lines of two shapes, records of distillation among others, or expected values or targets on some rows
+    only. Lines that are wrong by themselves are counted as ``issues``; blank lines are not counted."""
+    from ..sources import files
+
+    v = F.col(value)
+    lines = lines.filter(F.coalesce(strip(v), F.lit("")) != "")
+    get = lambda key: F.get_json_object(v, f"$.{key}").isNotNull()
+    record = F.coalesce(get("teacher") & get("messages") & (get("completion") | get("target")), F.lit(False))
+    good = line_problem(v).isNull()
+    shaped = lines.select(by, good.alias("good"), F.when(good, F.when(record, "distill").otherwise(files.line_shape(v))).alias("shape"), (good & get("expected")).alias("expected"), F.coalesce(good & (record | (F.try_element_at(files.line_messages(v), F.lit(-1))["role"] == "assistant")), F.lit(False)).alias("target"))
+    out = shaped.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if(~F.col("good")).alias("issues"), F.array_join(F.array_sort(F.collect_set("shape")), ",").alias("shape"), F.count_if("expected").alias("expected"), F.count_if("target").alias("targets"))
+    some = lambda c: (F.col(c) > 0) & (F.col(c) < F.col("n_rows"))
+    use = F.when(F.col("shape") == "distill", "distillation records").when(F.col("expected") > 0, "eval").when(F.col("targets") > 0, "train").otherwise("prompts")
+    problem = F.when(F.col("issues") > 0, "lines with issues").when(F.contains("shape", F.lit(",")), "mixed shapes").when(some("expected"), "expected on some rows").when(some("targets"), "targets on some rows")
+    return out.withColumn("use", use).withColumn("problem", problem)
+
+
+def json_columns(lines: DataFrame, value: str, ordinal: str) -> DataFrame:
+    """(key, place) of the keys of JSON objects in the order in which they are first seen."""
+    keys = lines.select(ordinal, F.posexplode(F.json_object_keys(F.col(value))).alias("at", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct(ordinal, "at")).alias("first"))
+    return first.select("key", F.col(f"first.{ordinal}").alias("line"), F.col("first.at").alias("at"))

@@ -105,3 +105,13 @@ def outside_vocabulary(df: DataFrame, label: str, vocabulary: DataFrame) -> Data
 def ranked_head(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key; tasks cut their own rows before they are gathered."""
     return df.withColumn("r_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r_") <= n).drop("r_")
+
+
+def stratified_total(df: DataFrame, stratum: str, key: str, seed: str, n: int) -> DataFrame:
+    """``n`` rows: first ``n // strata`` of each stratum, then the rest of them all, in the order of a seeded
+    digest of the key. Fewer if there are no more."""
+    digest = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    ranked = df.withColumn("digest_", digest).withColumn("rank_", F.row_number().over(Window.partitionBy(stratum).orderBy("digest_", key))).filter(F.col("rank_") <= n)
+    strata = ranked.agg(F.greatest(F.lit(1), F.count_distinct(F.struct(stratum))).alias("strata_"))
+    first = F.when(F.col("rank_") <= F.floor(F.lit(n) / F.col("strata_")), 0).otherwise(1)
+    return ranked.crossJoin(F.broadcast(strata)).orderBy(first, "digest_", key).limit(n).drop("digest_", "rank_", "strata_")

@@ -95,11 +95,12 @@ def split_overlap(spark, t):
     return rows.overlaps(t("documents").select("doc_id", "text", split.alias("split")), "text", "split", "doc_id")
 
 
-@register(f"""SELECT sha256({norm('text')}) AS digest, string_agg(DISTINCT source, '|' ORDER BY source) AS outputs, count(DISTINCT source) AS n_outputs, min(doc_id) AS first
-FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+@register(f"""WITH d AS (SELECT doc_id, text, {norm("CASE WHEN doc_id % 2 = 0 THEN ' ' || upper(source) ELSE source END")} AS out FROM documents)
+SELECT sha256({norm('text')}) AS digest, string_agg(DISTINCT out, '|' ORDER BY out) AS outputs, count(DISTINCT out) AS n_outputs, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(DISTINCT out) > 1""")
 def conflicting_labels(spark, t):
-    """Inputs with two labels or more, the source standing for the label."""
-    return rows.conflicting(t("documents"), normalized(F.col("text")), F.col("source"), "doc_id")
+    """Inputs with two labels or more in normal form, the source standing for the label."""
+    label = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper("source"))).otherwise(F.col("source"))
+    return rows.conflicting(t("documents"), normalized(F.col("text")), normalized(label), "doc_id")
 
 
 @register("""WITH s AS (SELECT CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type || '  ' ELSE event_type END AS spelling FROM events),

@@ -226,3 +226,32 @@ def target_texts(spark, t):
     """Records in the form that a model is trained to write."""
     text = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": '), (F.col("event_id") % 9).cast("string"), F.lit("}"))
     return t("events").select("event_id", intake.target_text("json", text).alias("target"))
+
+
+@register("""WITH f AS (SELECT item_id % 5 AS file, count(*) AS n FROM benchmark GROUP BY 1), h AS (SELECT count(*) FILTER (WHERE item_id % 5 = 1 AND item_id % 2 = 0) AS e, count(*) FILTER (WHERE item_id % 5 = 2 AND item_id % 2 = 0) AS c FROM benchmark)
+SELECT file, n AS n_rows, CASE WHEN file = 4 THEN n ELSE 0 END AS issues, CASE file WHEN 0 THEN 'plain' WHEN 1 THEN 'plain' WHEN 2 THEN 'chat,plain' WHEN 3 THEN 'distill' ELSE '' END AS shape, CASE file WHEN 0 THEN n WHEN 1 THEN e ELSE 0 END AS expected, CASE WHEN file = 3 THEN n ELSE 0 END AS targets,
+CASE file WHEN 0 THEN 'eval' WHEN 1 THEN 'eval' WHEN 3 THEN 'distillation records' ELSE 'prompts' END AS use, CASE file WHEN 1 THEN 'expected on some rows' WHEN 2 THEN 'mixed shapes' WHEN 4 THEN 'lines with issues' END AS problem FROM f, h""")
+def file_summaries(spark, t):
+    """What each file of JSON lines is for, and what is wrong with it."""
+    value = F.expr("""case item_id % 5 when 0 then '{"prompt": "p", "expected": "e"}' when 1 then case when item_id % 2 = 0 then '{"prompt": "p", "expected": 1}' else '{"prompt": "p"}' end
+when 2 then case when item_id % 2 = 0 then '{"messages": [{"role": "user", "content": "u"}]}' else '{"prompt": "p"}' end when 3 then '{"teacher": {"m": 1}, "messages": [{"role": "user", "content": "u"}], "completion": "c"}' else '{"x": 1}' end""")
+    lines = t("benchmark").select("item_id", (F.col("item_id") % 5).alias("file"), value.alias("value"))
+    return intake.file_summary(lines, "value", "item_id", "file")
+
+
+@register("""SELECT * FROM (SELECT 'k' AS key, min(item_id) AS line, CAST(0 AS INTEGER) AS "at" FROM benchmark UNION ALL SELECT 'b', min(item_id), 1 FROM benchmark WHERE item_id % 3 = 1 UNION ALL SELECT 'a', min(item_id), 2 FROM benchmark WHERE item_id % 3 = 1)""")
+def json_columns(spark, t):
+    """Columns of JSON lines in the order in which they first come up."""
+    value = F.expr("""case when item_id % 3 = 1 then '{"k": 1, "b": 2, "a": 3}' when item_id % 3 = 2 then '{"a": 1, "k": 2}' else '{"k": 1}' end""")
+    return intake.json_columns(t("benchmark").select("item_id", value.alias("value")), "value", "item_id")
+
+
+@register("""WITH x AS (SELECT conv_id, turn, role, length(text) AS tokens, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations),
+y AS (SELECT *, sum(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS sys, sum(CASE WHEN role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY exchange DESC RANGE UNBOUNDED PRECEDING) AS tail FROM x),
+z AS (SELECT *, min(CASE WHEN role <> 'system' THEN tail END) OVER (PARTITION BY conv_id) AS last FROM y),
+k AS (SELECT conv_id, role, turn, CASE WHEN last + sys <= 600 THEN role = 'system' OR tail + sys <= 600 END AS kept FROM z)
+SELECT conv_id, count(*) FILTER (WHERE NOT coalesce(kept, true)) AS dropped, bool_or(coalesce(kept AND role = 'assistant' AND turn % 4 <> 1, false)) AS usable FROM k GROUP BY conv_id""")
+def trainable_conversations(spark, t):
+    """Which truncated conversations still have something to train on."""
+    turns = t("conversations").withColumn("tokens", F.length("text")).withColumn("weight", F.when(F.col("turn") % 4 == 1, 0))
+    return chat.trainable_left(chat.truncated(turns, "conv_id", "turn", "tokens", 600), "conv_id", "weight")

@@ -329,3 +329,57 @@ def recommended_judges(spark, t):
     k = F.col("s_suppkey")
     m = t("supplier").select(k.alias("k"), ((1 + k % 90) * F.lit(1e9)).alias("memory"), F.expr("case s_suppkey % 3 when 0 then 'LARGE' when 1 then 'mid' else 'small' end").alias("student"))
     return planning.recommended(m, [("small", 0.5), ("mid", 1.5), ("large", 7.0), ("huge", 32.0)]).select("k", "judge")
+
+
+@register("""WITH r AS (SELECT event_type AS model, CASE WHEN user_id % 2 = 0 THEN 'bf16' END AS quant, user_id % 3 AS adapter, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value) % 2 END AS score, value AS latency, length(props) AS tokens FROM events)
+SELECT model, quant, adapter, count(*) AS n_rows, round(avg(score), 9) AS mean_score, count(*) FILTER (WHERE score IS NULL) AS unscored, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, sum(tokens) AS tokens FROM r GROUP BY model, quant, adapter""")
+def eval_by_model(spark, t):
+    """The evaluation table by model, quantisation and adapter."""
+    score = F.when(F.col("event_id") % 7 != 0, F.round("value") % 2)
+    runs = t("events").select(F.col("event_type").alias("model"), F.when(F.col("user_id") % 2 == 0, "bf16").alias("quant"), (F.col("user_id") % 3).alias("adapter"), score.alias("score"), F.col("value").alias("latency"), F.length("props").alias("tokens"))
+    return evaluate.eval_table(runs, ("model", "quant", "adapter"))
+
+
+@register("""WITH x AS (SELECT o_orderkey AS k, o_custkey % 10 AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'p' ELSE 'q' END AS b FROM orders),
+l AS (SELECT k, 'r.a' AS path, CAST(a AS VARCHAR) AS was, CAST(CASE WHEN k % 2 = 0 THEN a ELSE a + 1 END AS VARCHAR) AS now FROM x UNION ALL SELECT k, 'r.list.0', '"' || b || '"', '"p"' FROM x UNION ALL SELECT k, 'r.list.1', 'null', CASE WHEN k % 5 = 0 THEN 'null' END FROM x UNION ALL SELECT k, 'e', '{}', '[]' FROM x)
+SELECT k, path, was, now FROM l WHERE was IS DISTINCT FROM now""")
+def json_diff(spark, t):
+    """Paths on which two JSON trees differ."""
+    from ..functions.jsontools import flat_json
+    from ..operators import compare
+
+    o = t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 10).alias("a"))
+    was = F.expr("'{\"r\": {\"a\": ' || a || ', \"list\": [\"' || case when k % 3 = 0 then 'p' else 'q' end || '\", null]}, \"e\": {}}'")
+    now = F.expr("'{\"e\": [], \"r\": {\"list\": [\"p\"' || case when k % 5 = 0 then ', null' else '' end || '], \"a\": ' || case when k % 2 = 0 then a else a + 1 end || '}}'")
+    side = lambda c: o.select("k", F.explode(flat_json(c)).alias("path", "value"))
+    return compare.structural_diff(side(was), side(now), ["k"])
+
+
+@register("""WITH r AS (SELECT doc_id, lang, sha256('s2' || doc_id) AS h FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS n FROM r), s AS (SELECT count(DISTINCT coalesce(lang, '-')) AS strata FROM r)
+SELECT doc_id, lang FROM k, s ORDER BY CASE WHEN n <= 50 // strata THEN 0 ELSE 1 END, h, doc_id LIMIT 50""")
+def sample_with_remainder(spark, t):
+    """Fifty documents, as even by language as can be."""
+    from ..operators.rows import stratified_total
+
+    return stratified_total(t("documents").select("doc_id", "lang"), "lang", "doc_id", "s2", 50)
+
+
+@register("""WITH e AS (SELECT vec_id, 3 + vec_id % 40 AS n FROM embeddings), w AS (SELECT vec_id, n, CAST(ceil((n - 1) / 32.0) * 32 AS BIGINT) AS width FROM e)
+SELECT vec_id, width, width AS n_inputs, CAST((n - 1) * (n - 2) // 2 AS BIGINT) AS inputs, CAST(n * (n - 1) // 2 AS BIGINT) AS targets, CAST(n - 2 AS BIGINT) AS trained FROM w""")
+def padded_batches(spark, t):
+    """Examples with shifted targets, padded to a multiple of 32."""
+    from ..operators import chat
+
+    n = F.col("vec_id") % 40 + 3
+    ids = F.sequence(F.lit(0).cast("long"), n - 1)
+    mask = F.transform(ids, lambda i: F.when(i < 2, 0).otherwise(1).cast("long"))
+    width = (F.ceil((n - 1) / 32) * 32).cast("long")
+    inputs, targets, trained = chat.padded_batch(ids, mask, width)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return t("embeddings").select("vec_id", width.alias("width"), F.size(inputs).alias("n_inputs"), total(inputs).alias("inputs"), total(targets).alias("targets"), total(trained).alias("trained"))
+
+
+@register("""SELECT event_type AS engine, count(*) AS n, count(DISTINCT event_id % 300) AS ids, count(*) - count(DISTINCT event_id % 300) AS repeated FROM events GROUP BY 1""")
+def audit_by_engine(spark, t):
+    """Rows, ids and repeats of each engine."""
+    return evaluate.engine_counts(t("events").select(F.col("event_type").alias("engine"), (F.col("event_id") % 300).alias("id")), "engine", "id")

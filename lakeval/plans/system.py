@@ -96,10 +96,11 @@ def loss_curves(spark, t):
     return compare.loss_gap(e.select(F.col("event_id").alias("step"), F.col("value").alias("loss")), other)
 
 
-@register()
+@register("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, round(sum(value * power(0.7::DOUBLE, i) * CASE WHEN i = n - 1 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END), 6) AS ema FROM r GROUP BY 1""")
 def step_time_ema(spark, t):
     """Moving average of each user's values."""
-    return compare.ema(t("events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").withColumn("ema", F.round("ema", 9))
+    return compare.ema(t("events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").withColumn("ema", F.round("ema", 6))
 
 
 @register("""SELECT round(avg(greatest(0.2, least(5.0, value / (1 + event_id % 40)))), 9) AS ratio FROM events WHERE 1 + event_id % 40 >= 30""")

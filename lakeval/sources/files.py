@@ -142,3 +142,27 @@ def install_bundle(spark: SparkSession, bundle: str, target: str) -> int:
         out.close()
         done += 1
     return done
+
+
+def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of files of JSON lines: records are (file, line, value), issues (file, line, problem).
+
+    Lines are numbered from 1, blank ones count and are left out. A byte order mark is dropped; a file that
+    is not UTF-8 is an issue at line 0 that says at which byte. A file is read by one task, as line numbers
+    need; many files are read in parallel."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, data in zip(pdf.path, pdf.content, strict=True):
+                try:
+                    text = bytes(data).decode("utf-8-sig")
+                except UnicodeDecodeError as e:
+                    out.append((name, 0, None, f"not UTF-8 at byte {e.start}"))
+                    continue
+                out += [(name, n, line, None) for n, line in enumerate(text.splitlines(), 1) if line.strip()]
+            yield pd.DataFrame(out, columns=["file", "line", "value", "problem"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = files.mapInPandas(run, "file string, line long, value string, problem string").withColumn("problem", F.coalesce("problem", line_issue(F.col("value"))))
+    return read.filter("problem is null").drop("problem"), read.filter("problem is not null").drop("value")
