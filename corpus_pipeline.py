@@ -21,7 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that nearly repeat an earlier one; n_chars follows the text."""
+    """Documents less the lines that nearly repeat an earlier one; n_chars follows the text. A null text stays
+    null; rows of one doc_id count as one document; see ``linededup.dedup_lines``."""
     out = linededup.dedup_lines(docs, Workspace(spark, "lines"), TAU, MIN_CHARS, LEAST)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -50,16 +51,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those that it leaves out go."""
+    """Each document as often as the mix takes it; those that it leaves out go, null and blank texts among them.
+    Rows that repeat are dealt their copies one by one; see ``mixing.mixed_rows``."""
     return mixing.mixed_rows(docs, Workspace(spark, "mix"), weight_of, CAP)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit), and whether decoding
-    the ids gives the text again."""
-    path = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    back = bpe.decode(ids, path)
+    the ids gives the text again. A null text has no ids; each row is one of the result, repeated or not."""
+    back = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("restored"))
 
