@@ -226,6 +226,7 @@ class Encoder:
             found = find(unit)
             return piece_ids(unit) if len(found) == 1 else b"".join(map(piece, found))
 
+        self.bytes_of = machine.bytes_of
         self.pieces = _Units(piece_ids, most // 3)
         piece = self.pieces.__getitem__
         self.units = _Units(unit_ids, most)
@@ -352,6 +353,37 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     return df.mapInArrow(run, schema)
 
 
+def _decoded(decoder: StreamDecoder, ids: bytes, chunk: int) -> bytes:
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    parts = [decoder.feed(numbers[i : i + chunk]) for i in range(0, len(numbers), chunk)]
+    return b"".join([*parts, decoder.flush()])
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", decoded: str = "decoded", chunk: int = 4096) -> DataFrame:
+    """What ``encode`` adds, and the bytes that ``decode`` makes of it, in one pass of one worker: the streaming
+    decoder reads the packed ids as anyone else would. Nulls and empty texts have no ids and no bytes; input
+    columns named like an output are replaced; an empty table gives an empty table."""
+    with open(ranks_path, "rb") as f:
+        data = df.sparkSession.sparkContext.broadcast(f.read())
+    key = ranks_path
+    bound_batches(df.sparkSession)
+    schema = _with(df.schema, **{ids: T.BinaryType(), count: T.LongType(), decoded: T.BinaryType()})
+
+    def run(batches):
+        encoder = _once(("enc", key, pattern), lambda: Encoder(parse_ranks(data.value), pattern))
+        decoder = StreamDecoder(encoder.bytes_of)
+        for batch in batches:
+            out, n, back = [], [], []
+            for t in batch.column(text):
+                got = encoder.encode(t.as_py())
+                n.append(len(got) // 4)
+                out.append(got)
+                back.append(_decoded(decoder, got, chunk))
+            yield _replaced(batch, schema.fieldNames(), {ids: pa.array(out, pa.binary()), count: pa.array(n, pa.int64()), decoded: pa.array(back, pa.binary())})
+
+    return df.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str = "decoded", chunk: int = 4096) -> DataFrame:
     """Add the bytes that the ids spell, through the streaming decoder, ``chunk`` ids at a time.
 
@@ -368,9 +400,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str
         for batch in batches:
             out = []
             for v in batch.column(ids):
-                numbers = np.frombuffer(v.as_py() or b"", "<u4").tolist()
-                parts = [decoder.feed(numbers[i : i + chunk]) for i in range(0, len(numbers), chunk)]
-                out.append(b"".join([*parts, decoder.flush()]))
+                out.append(_decoded(decoder, v.as_py() or b"", chunk))
             yield _replaced(batch, schema.fieldNames(), {decoded: pa.array(out, pa.binary())})
 
     return df.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ class Profiles:
     def _forget(self) -> None:
         self._codes = np.empty(0, np.uint64)
         self._rows = np.empty(0, np.int64)
-        self._vectors = np.empty((0, self.dims), np.float32)
+        self._vectors = np.empty((0, self.dims), np.int8)  # signs only
 
     def _letter(self, c: int) -> np.ndarray:
         v = self._letters.get(c)
@@ -67,14 +67,14 @@ class Profiles:
             if len(self._codes) + len(new) > self.most:
                 self._forget()
                 new = codes
-            made = np.stack([self._ngram(int(c)) for c in new])
+            made = np.stack([self._ngram(int(c)).astype(np.int8) for c in new])
             both = np.concatenate([self._codes, new])
             rows = np.concatenate([self._rows, len(self._vectors) + np.arange(len(new))])
             order = np.argsort(both, kind="stable")
             self._codes, self._rows = both[order], rows[order]
             self._vectors = np.concatenate([self._vectors, made])
             at = np.searchsorted(self._codes, codes)
-        return self._vectors[self._rows[at]]
+        return self._vectors[self._rows[at]].astype(np.float32)
 
     def length_class(self, text: str) -> int:
         """Bits of the number of letters of a text."""

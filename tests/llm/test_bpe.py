@@ -53,3 +53,6 @@ def test_round_trip(spark, docs, corpus):
         assert hashlib.sha256(bytes(r["token_ids"])).digest() == hashlib.sha256(np.array(ids, "<u4").tobytes()).digest()
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
     assert bpe.encode(docs([]), path, P.PATTERN).count() == 0
+    once = bpe.round_trip(df.withColumnRenamed("node", "decoded"), path, P.PATTERN).collect()
+    key = lambda r: (r["doc_id"], r["n_tokens"], bytes(r["token_ids"]), bytes(r["decoded"]))
+    assert sorted(map(key, once)) == sorted(map(key, out))
