@@ -55,6 +55,7 @@ class Workspace:
         self.base = f"{shared_dir(spark)}/lakeval/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         self._live: list[str] = []
+        self._children: list[Workspace] = []
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
@@ -87,6 +88,7 @@ class Workspace:
         """A workspace of its own below this one, for a step that frees its tables by ``keep``."""
         out = Workspace(self.spark, label)
         out.base = f"{self.base}/{label}-{uuid.uuid4().hex[:8]}"
+        self._children.append(out)
         return out
 
     def release(self) -> None:
@@ -100,7 +102,9 @@ class Workspace:
             self._delete(getattr(t, "_lakeval_path", None))
 
     def keep(self, *tables: DataFrame) -> None:
-        """Free every table but these, once what is left reads no others."""
+        """Free every table but these, those of children included, once what is left reads no others."""
+        while self._children:
+            self._children.pop().close()
         kept = {getattr(t, "_lakeval_path", None) for t in tables}
         for path in [p for p in self._live if p not in kept]:
             self._live.remove(path)
