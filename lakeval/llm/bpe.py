@@ -303,6 +303,8 @@ class StreamDecoder:
         return rest
 
     def text(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Text of the chunks' ids as it becomes complete; an empty chunk gives an empty string, and what is
+        unfinished at the end is replaced."""
         for ids in chunks:
             yield self.feed(ids).decode("utf-8", "replace")
         yield self.flush().decode("utf-8", "replace")
