@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 GRAMS = (3, 4)
-#: So many rows that rules judge may become examples of the model.
+#: So many urls of the corpus may become examples of the model.
 MOST_LABELLED = 20_000
 
 
@@ -56,10 +56,12 @@ def _grams(host: Column, path: Column) -> Column:
     return F.concat(*out)
 
 
-def ruled_sample(ruled: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(host, path, label) of at most ``most`` rows that a rule judges, the first by hash of host and path:
-    examples for a model of what the rules say nothing of. The bound is this parameter's."""
-    rows = ruled.filter("rule_verdict is not null").select("host", "path", (F.col("rule_verdict") == "block").cast("int").alias("label")).distinct()
+def worded_sample(pages: DataFrame, words: list[str], most: int = MOST_LABELLED) -> DataFrame:
+    """(host, path, label) of at most ``most`` distinct urls, the first by hash of host and path: 1 where one of
+    the words stands by itself in host or path, else 0. Examples of what urls of the corpus look like; the
+    bound is this parameter's. Rows without a host teach nothing."""
+    named = F.lower(F.concat("host", F.coalesce("path", F.lit("")))).rlike(r"(?<![a-z0-9])(?:" + "|".join(words) + r")(?![a-z0-9])")
+    rows = pages.filter("host <> ''").select("host", F.coalesce("path", F.lit("")).alias("path"), named.cast("int").alias("label")).distinct()
     return rows.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most)
 
 
