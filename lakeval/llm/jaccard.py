@@ -295,8 +295,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) ->
 def _groups(members: DataFrame, sets: DataFrame, docs: DataFrame, ws: Workspace, words: int, p: int, q: int) -> DataFrame:
     """(node, component) of the nodes that are linked to another, from distinct (key, node) of shared keys.
 
-    Each node is first verified against the least node of the key fellows that it meets most often. Keys
-    whose nodes are all of one group by then are settled. Under the others nodes are joined across groups,
+    Each node is first verified against the least node of the key fellows that it meets most often, then
+    against the least nodes of its other keys that it isn't grouped with yet. Keys whose nodes are all of one
+    group by then are settled. Under the others nodes are joined across groups,
     and the join lets through only pairs whose sizes and sketches allow a link."""
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = ws.save(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts", release=True)
@@ -309,6 +310,16 @@ def _groups(members: DataFrame, sets: DataFrame, docs: DataFrame, ws: Workspace,
     near = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_near("x", "y", p, q)).select("a", "b").distinct()
     links = ws.save(_verified(near, texts, words, p, q), "links")
     groups = ws.save(connected_components(links, ws), "groups")
+    of = groups.select(F.col("node").alias("n"), "component")
+    every = leads.select("lead", "node").join(of, F.col("node") == F.col("n"), "left").select("lead", "node", F.coalesce("component", "node").alias("cn"))
+    every = every.join(of, F.col("lead") == F.col("n"), "left").filter(F.col("cn") != F.coalesce("component", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    rest = ws.save(every.join(stars, ["a", "b"], "left_anti"), "rest", release=True)
+    near = rest.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_near("x", "y", p, q)).select("a", "b").distinct()
+    found = ws.save(_verified(near, texts, words, p, q), "links")
+    if not found.isEmpty():
+        links = links.unionAll(found)
+        groups = ws.save(connected_components(links, ws), "groups")
+    stars = stars.unionAll(rest)
     grouped = members.join(groups.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     left = ws.save(grouped.join(mixed, "key").join(known, "node"), "left", release=True)

@@ -229,7 +229,7 @@ def dedup_lines(docs: DataFrame, ws: Workspace, tau: int = TAU, min_chars: int =
     gone = ws.save(gone, "gone", release=True)
     ws.keep(gone)
     of, at = "of" + "_" * max(map(len, cols), default=0), "at" + "_" * max(map(len, cols), default=0)  # longer than any column of the input
-    out = docs.join(gone.select(F.col("doc_id").alias(of), F.col("gone").alias(at)), F.col("doc_id") == F.col(of), "left")
+    out = docs.join(gone.select(F.col("doc_id").alias(of), F.col("gone").alias(at)).hint("merge"), F.col("doc_id") == F.col(of), "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
     rest = _with({"lines": lines, "kept": kept}, lambda x, k: F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n"))
