@@ -107,3 +107,36 @@ def test_exact_links():
         w = rng.randrange(1, 4)
         sets = [{tuple(t.split()[i : i + w]) for i in range(len(t.split()) - w + 1)} or {tuple(t.split())} for t in (x, y)]
         assert jaccard.exactly_linked(x, y, w, 60, 100) == (100 * len(sets[0] & sets[1]) >= 60 * len(sets[0] | sets[1])), (x, y, w)
+
+
+def test_sets_leave_few_segments_empty_to_each_other():
+    """Unlike sets of one size have no key in common, as they would by segments that no shingle fell in."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    made = jaccard.Sketches(80, 100)
+    for n in (70, 100, 150, 300, 1000):
+        sets = [np.unique(rng.integers(0, 1 << 62, n, np.uint64)) for _ in range(20)]
+        keys = [made.keys(s) for s in sets]
+        assert len(np.unique(np.concatenate(keys))) > 0.999 * sum(map(len, keys))
+
+
+def test_linked_sets_share_a_key_that_both_need():
+    """Whatever order all keys have, linked sets share one beyond the slack of both."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    made = jaccard.Sketches(80, 100)
+    for n in (5, 9, 30, 47, 200, 1500):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 62, n, np.uint64))
+            b = np.unique(np.r_[a[rng.permutation(len(a))[len(a) // 10 :]], rng.integers(0, 1 << 62, n // 10, np.uint64)])
+            if not jaccard.linked(a, b, 80, 100):
+                continue
+            seed, needed = np.uint64(rng.integers(0, 1 << 62)), []
+            for s in (a, b):
+                keys, slack = made.keys_and_slack(s)
+                for low in (0, 1):
+                    own = keys[keys & np.uint64(1) == low]
+                    needed.append(own[np.argsort((own ^ seed) * np.uint64(0x9E3779B97F4A7C15))][slack[low] :])
+            assert set(np.concatenate(needed[:2]).tolist()) & set(np.concatenate(needed[2:]).tolist())
