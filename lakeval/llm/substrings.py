@@ -2,13 +2,14 @@
 
 Positions are named by the bucket of the string that starts there. The first buckets are single bytes;
 the bucket of 2k bytes at ``p`` is made from the buckets of k bytes at ``p`` and at ``p + k``, up to
-16-grams, and that of the whole ``window`` from four of those: bucket pointers to later offsets refine
-each level from the one before. Names are 64-bit and depend on the bytes alone, so documents need not
+``gram_of(window)`` bytes (32 for 50), and that of the whole ``window`` from some of those: bucket pointers to
+later offsets refine each level from the one before. Names are 64-bit and depend on the bytes alone, so documents need not
 meet for this.
 
-Only some of the positions have to meet. A window belongs to the least 16-gram name that starts in it,
-and so does every equal window elsewhere. Adjacent windows of one such leader are a run, one for about 17
-positions. Buckets of leaders are refined in three rounds, each between batches of documents and shards
+Only some of the positions have to meet. A window belongs to the least gram name that starts in it,
+and so does every equal window elsewhere. Adjacent windows of one such leader are a run, one for about 10
+positions at a window of 50. Grams are as long as that allows: texts that aren't copies share many short ones,
+and the more the larger the corpus is, and all of their runs would go on to round 3. Buckets of leaders are refined in three rounds, each between batches of documents and shards
 of leaders:
 
 1. Which leaders stand in two documents or more? All others are settled.
@@ -36,7 +37,7 @@ from ..workspace import Workspace
 GRAM = 16
 MOST_RUN = 32
 BATCH_BYTES = 6 << 20
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 16 << 20
 #: Leaders with more distinct runs than this have their windows dealt out one by one.
 HOT_NAMES = 20_000
 #: Runs whose windows a task refines together, beyond a whole leader's.
@@ -60,19 +61,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Names of the 16-grams at each position, by doubling."""
+def gram_of(window: int) -> int:
+    """Bytes of a leader: the largest power of two up to two thirds of the window, 16 at least."""
+    return max(GRAM, 1 << (2 * window // 3).bit_length() - 1)
+
+
+def most_run(window: int) -> int:
+    """Windows of a run: as many as can hold one place of a leader, 16 at least. Periodic texts have longer ones."""
+    return min(MOST_RUN, max(16, window - gram_of(window) + 1))
+
+
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Names of the grams at each position, by doubling."""
     h, k = _BYTE[data], 1
-    while k < GRAM:
+    while k < gram:
         h = h[:-k] * (_K[k.bit_length() % 4] | np.uint64(1)) + h[k:] if len(h) > k else h[:0]
         k *= 2
     return h
 
 
 def _windows(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """Names of the windows at ``at``: 16-grams at later offsets, the last one overlapping."""
-    out = np.zeros(len(at), np.uint64)
-    offsets = [*range(0, window - GRAM, GRAM), window - GRAM]
+    """Names of the windows at ``at``: grams at later offsets, the last one overlapping."""
+    out, gram = np.zeros(len(at), np.uint64), gram_of(window)
+    offsets = [*range(0, window - gram, gram), window - gram]
     for o in offsets:
         out = out * _K[0] + h[at + o]
         out ^= out >> np.uint64(29)
@@ -90,7 +101,7 @@ class Batch:
         self.lengths = np.array([len(t) for t in raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.h = _grams(self.data)
+        self.h = _grams(self.data, gram_of(window))
         none = np.empty(0, np.int64)
         self.lo, self.n, self.leader, self.doc = none, none, np.empty(0, np.uint64), none
         self.name = np.empty(0, np.uint64)
@@ -98,7 +109,7 @@ class Batch:
             self._runs()
 
     def _runs(self) -> None:
-        wide = self.window - GRAM + 1
+        wide = self.window - gram_of(self.window) + 1
         least, span = _mixed(self.h), 1
         while span * 2 <= wide:
             least = np.minimum(least[:-span], least[span:])
@@ -114,7 +125,7 @@ class Batch:
         new[1:] = (np.diff(at) != 1) | (lead[1:] != lead[:-1])
         first = np.flatnonzero(new)
         within = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        first = np.flatnonzero(within % MOST_RUN == 0)
+        first = np.flatnonzero(within % most_run(self.window) == 0)
         self.lo, self.n, self.leader = at[first], np.diff(np.r_[first, len(at)]), lead[first]
         self.doc = self.ids[docs[self.lo]]
         ends = _windows(self.h, self.lo, self.window) * _K[0] + _windows(self.h, self.lo + self.n - 1, self.window)
@@ -175,7 +186,7 @@ _PACKED = "to long, src long, data binary"
 
 
 def _runs_dtype(window: int) -> np.dtype:
-    return np.dtype([("r", "<u8"), ("u", "<u8"), ("d", "<i8"), ("n", "u1"), ("t", "u1", (window + MOST_RUN - 1,))])
+    return np.dtype([("r", "<u8"), ("u", "<u8"), ("d", "<i8"), ("n", "u1"), ("t", "u1", (window + most_run(window) - 1,))])
 
 
 def _shared_leaders(t: pa.Table) -> pa.Table:
@@ -321,7 +332,7 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = 50, text: str =
         first, _ = b.firsts()
         flag = _lookup(b.name[first], _unpack(flags, _FLAG)[0], "f")
         kind = _runs_dtype(window)
-        wide = window + MOST_RUN - 1
+        wide = window + most_run(window) - 1
         padded = np.concatenate([b.data, np.zeros(wide, np.uint8)])
         some = first[flag == 2]
         rows = np.zeros(len(some), kind)
@@ -354,7 +365,7 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = 50, text: str =
         np.add.at(cover, b.lo[whole] + b.n[whole] - 1 + window, -1)
         part = np.flatnonzero(~whole & (flag[place] == 2))
         bits = _lookup(b.name[part], masks, "m")
-        for step in range(MOST_RUN):
+        for step in range(most_run(window)):
             at = b.lo[part[(bits >> np.uint32(step)) & np.uint32(1) == 1]] + step
             np.add.at(cover, at, 1)
             np.add.at(cover, at + window, -1)

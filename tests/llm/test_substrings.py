@@ -64,3 +64,26 @@ def test_buckets_are_whole_strings():
                 seen.setdefault(int(got[row, at]), set()).add(texts[row, at : at + window].tobytes())
         assert all(len(v) == 1 for v in seen.values())
         assert len(seen) == len({x for v in seen.values() for x in v})
+
+
+def test_short_strings_in_common_bring_few_runs_together():
+    """Texts made of the same phrases in other orders hardly share a leader, as no window of theirs is equal."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    phrases = ["".join(rng.choice("abcdefghij ") for _ in range(20)) for _ in range(300)]
+    texts = ["".join(rng.choice(phrases) for _ in range(2000)).encode() for _ in range(2)]
+    a, b = (substrings.Batch(pa.table({"doc_id": [k], "data": [t]}), 50).leader for k, t in enumerate(texts))
+    assert np.isin(a, b).mean() < 0.2
+
+
+@pytest.mark.parametrize("width", [24, 47, 48, 64, 200])
+def test_leaders_of_other_widths_equal_brute_force(spark, docs, ws, monkeypatch, width):
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 9000)
+    rng = random.Random(width)
+    shared = "".join(rng.choice("abc ") for _ in range(400)) + "xy" * 150
+    rows = [(k, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + shared[(at := rng.randrange(500)) : at + rng.randrange(20, 300)] + "q" * rng.randrange(80)) for k in range(40)]
+    got = substrings.remove_repeats(docs(rows), ws, width).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute([(i, t.encode()) for i, t in rows], width)
