@@ -208,6 +208,36 @@ def test_tfidf_without_a_shared_word(spark):
     assert got[1][0] == 4 and got[1][1] > 0 and got[2] == (3, 0.0) and got[3] == (3, 0.0)
 
 
+def test_tfidf_of_bounded_workers(spark):
+    """Whatever workers hold, the nearest are those of brute force; repeated ids are one row, ties go to the least."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(k % 70, " ".join(rng.choices(vocabulary, weights=[1 / (j + 1) for j in range(60)], k=rng.randrange(1, 30)))) for k in range(80)]
+    rows += [(100 + k, rows[20][1]) for k in range(3)] + [(None, "only here"), (200, None)]
+    queries = [(k, " ".join(rng.choices(vocabulary, k=6))) for k in range(12)] + [(50, rows[20][1])]
+    bags: dict = {}
+    for i, t in rows:
+        if i is not None:
+            bags.setdefault(i, Counter()).update((t or "").split())
+    df = Counter(w for b in bags.values() for w in b)
+    idf = {w: math.log((1 + len(bags)) / (1 + d)) + 1 for w, d in df.items()}
+    length = {i: math.sqrt(sum((c * idf[w]) ** 2 for w, c in b.items())) for i, b in bags.items()}
+    want = {}
+    for k, t in queries:
+        x = {w: c * idf[w] for w, c in Counter(t.split()).items() if w in idf}
+        ql = math.sqrt(sum(v * v for v in x.values()))
+        want[k] = min((-round(sum(v * b[w] * idf[w] for w, v in x.items()) / (ql * length[i]), 9), i) for i, b in bags.items() if length[i])
+    train, asked = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(queries, "q long, text string")
+    for head, most in ((50_000, 2_000), (5, 4)):
+        got = {r["q"]: (-r["similarity"], r["id"]) for r in baselines.tfidf_nearest(train, asked, "q", head=head, most=most).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(got[k][0] - want[k][0]) < 2e-9 for k in want)
+
+
 def test_entry_without_the_optional_parts():
     import __spark_entry__ as e
 
