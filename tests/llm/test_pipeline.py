@@ -49,3 +49,19 @@ def test_unlike_texts_of_one_id_stay(spark, docs):
     of_a = [x for x in got if x[0] == 1 and x[1] in (a, a + " more")]
     assert len(of_a) == 1
     assert sorted(set(got) - set(of_a), key=str) == sorted([(1, b), (1, None), (1, ""), (2, c), (3, "few words"), (None, a)], key=str) and len(got) == 7
+
+
+def test_texts_that_stay_are_not_shuffled(spark, docs):
+    """Few documents go and many stay: the ids of those that go are broadcast where those that stay are too many."""
+    rows = [(i * 7919 % 100_003, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(1, 4000)] + [(200_000, "a5 b5 c5 d5 e5 f5"), (None, "a6 b6 c6 d6 e6 f6")]
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8k")
+    try:
+        out = corpus_pipeline.near_copies(spark, docs(rows), "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(got, key=str) == sorted((r for r in rows if r[0] != 200_000), key=str)
