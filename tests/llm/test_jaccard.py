@@ -140,3 +140,13 @@ def test_linked_sets_share_a_key_that_both_need():
                     own = keys[keys & np.uint64(1) == low]
                     needed.append(own[np.argsort((own ^ seed) * np.uint64(0x9E3779B97F4A7C15))][slack[low] :])
             assert set(np.concatenate(needed[:2]).tolist()) & set(np.concatenate(needed[2:]).tolist())
+
+
+def test_worker_keeps_no_words(spark, docs, ws):
+    """What a task hands back is the module's own table of words, not a copy that came with the function."""
+    jaccard.describe(docs([(1, "one two three four"), (2, "five six")]).coalesce(1), 3, 90, 100, 1).collect()
+    held = spark.sparkContext.parallelize([0], 1).map(lambda _: len(__import__("lakeval.llm.jaccard", fromlist=["x"])._WORDS)).collect()
+    jaccard.shingles("one two three four", 3)
+    assert jaccard._WORDS
+    jaccard._hand_back()
+    assert held == [0] and not jaccard._WORDS
