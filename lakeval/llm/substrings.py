@@ -38,6 +38,8 @@ GRAM = 16
 MOST_RUN = 32
 BATCH_BYTES = 6 << 20
 SHARD_BYTES = 16 << 20
+#: Positions named together.
+BLOCK = 1 << 14
 #: Leaders with more distinct runs than this have their windows dealt out one by one.
 HOT_NAMES = 20_000
 #: Runs whose windows a task refines together, beyond a whole leader's.
@@ -80,6 +82,22 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray, wide: int) -> np.ndarray:
+    """The least of the ``wide`` names from each position on."""
+    least, span = h, 1
+    while span * 2 <= wide:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    return np.minimum(least[: len(least) - (wide - span)], least[wide - span :]) if span < wide else least
+
+
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted column stands for the first time."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 def _windows(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Names of the windows at ``at``: grams at later offsets, the last one overlapping."""
     out, gram = np.zeros(len(at), np.uint64), gram_of(window)
@@ -91,9 +109,12 @@ def _windows(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 
 class Batch:
-    """Documents laid end to end, and the runs of windows of one leader."""
+    """Documents laid end to end, and the runs of windows of one leader.
+
+    Names are made some ten thousand positions at a time, so that the steps of one block stay in the
+    processor's cache; only the grams (if ``named``) and the runs are kept of the whole batch."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, named: bool = True):
         self.window = window
         table = table.sort_by([("doc_id", "ascending")])
         self.ids = table.column("doc_id").to_numpy()
@@ -101,51 +122,70 @@ class Batch:
         self.lengths = np.array([len(t) for t in raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.h = _grams(self.data, gram_of(window))
+        self.h = np.empty(max(0, len(self.data) - gram_of(window) + 1) if named else 0, np.uint64)
         none = np.empty(0, np.int64)
         self.lo, self.n, self.leader, self.doc = none, none, np.empty(0, np.uint64), none
         self.name = np.empty(0, np.uint64)
         if len(self.data) >= window:
-            self._runs()
-
-    def _runs(self) -> None:
-        wide = self.window - gram_of(self.window) + 1
-        least, span = _mixed(self.h), 1
-        while span * 2 <= wide:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < wide:
-            least = np.minimum(least[: len(least) - (wide - span)], least[wide - span :])
-        docs = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        at = np.flatnonzero(docs[: len(least)] == docs[self.window - 1 :])
-        if not len(at):
-            return
-        lead = least[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) != 1) | (lead[1:] != lead[:-1])
-        first = np.flatnonzero(new)
-        within = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        first = np.flatnonzero(within % most_run(self.window) == 0)
-        self.lo, self.n, self.leader = at[first], np.diff(np.r_[first, len(at)]), lead[first]
-        self.doc = self.ids[docs[self.lo]]
-        ends = _windows(self.h, self.lo, self.window) * _K[0] + _windows(self.h, self.lo + self.n - 1, self.window)
-        self.name = _mixed((ends ^ self.leader) * _K[3] + self.n.astype(np.uint64))
+            self._runs(named)
+
+    def _runs(self, named: bool) -> None:
+        total, most = len(self.data) - self.window + 1, most_run(self.window)
+        windows = np.maximum(self.lengths - self.window + 1, 0)
+        parts = np.stack([windows, self.lengths - windows], axis=1).reshape(-1)
+        whole = np.repeat(np.arange(len(parts)) % 2 == 0, parts)[:total]  # the window lies within one document
+        at, leaders, last = [], [], np.zeros(1, np.uint64)
+        for lo in range(0, total, BLOCK):
+            hi = min(lo + BLOCK, total)
+            h = _grams(self.data[lo : hi + self.window - 1], gram_of(self.window))
+            if named:
+                self.h[lo : lo + len(h)] = h
+            least = _least(_mixed(h), self.window - gram_of(self.window) + 1)
+            edge = np.empty(hi - lo, bool)
+            np.not_equal(least[1:], least[:-1], out=edge[1:])
+            edge[0] = not lo or least[0] != last[0]
+            edge[0] |= bool(lo) and whole[lo] != whole[lo - 1]
+            edge[1:] |= whole[lo + 1 : hi] != whole[lo : hi - 1]
+            first = np.flatnonzero(edge)
+            at.append(first + lo)
+            leaders.append(least[first])
+            last = least[-1:].copy()
+        first, lead = np.concatenate(at), np.concatenate(leaders)
+        n, inside = np.diff(np.r_[first, total]), whole[first]
+        first, lead, n = first[inside], lead[inside], n[inside]
+        pieces = -(-n // most)
+        if len(n) and pieces.max() > 1:
+            step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+            first, lead, n = np.repeat(first, pieces) + step, np.repeat(lead, pieces), np.minimum(np.repeat(n, pieces) - step, most)
+        self.lo, self.n, self.leader = first, n, lead
+        self.doc = self.ids[np.searchsorted(self.starts + self.lengths, first, "right")]
+        if named:
+            ends = _windows(self.h, self.lo, self.window) * _K[0] + _windows(self.h, self.lo + self.n - 1, self.window)
+            self.name = _mixed((ends ^ self.leader) * _K[3] + self.n.astype(np.uint64))
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run name, a run of its least doc_id; and for each run the place of its name."""
-        order = np.lexsort((self.doc, self.name))
-        new = np.ones(len(order), bool)
-        new[1:] = np.diff(self.name[order]) != 0
+        """Of each run name, in their order, a run of its least doc_id; and for each run the place of its name."""
+        order = np.argsort(self.name)
+        new = _begins(self.name[order])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
-        return order[new], place
+        # runs stand in the order of doc_id, so the first one has the least
+        return np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order, place
 
     def leaders_met(self, shared: np.ndarray) -> np.ndarray:
         """Whether each run's leader is shared with other batches, or by two documents of this one."""
-        order = np.lexsort((self.doc, self.leader))
+        if not len(self.leader):
+            return np.empty(0, bool)
+        order = np.argsort(self.leader)
         a, d = self.leader[order], self.doc[order]
-        several = a[1:][(a[1:] == a[:-1]) & (d[1:] != d[:-1])]
-        return np.isin(self.leader, np.union1d(shared, several))
+        start = np.flatnonzero(_begins(a))
+        met = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        if len(shared):
+            shared = np.sort(shared)
+            met |= shared[np.minimum(np.searchsorted(shared, a[start]), len(shared) - 1)] == a[start]
+        out = np.empty(len(order), bool)
+        out[order] = np.repeat(met, np.diff(np.r_[start, len(order)]))
+        return out
 
     def hot_windows(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """Route and name of the windows of a run, each as a run of its own."""
@@ -157,6 +197,7 @@ class Batch:
 def _deal(src: int, route: np.ndarray, rows: np.ndarray, shards: int) -> pa.Table:
     """Packed rows for each shard of their routes."""
     to = (route >> np.uint64(40)) % np.uint64(shards)
+    to = to.astype(np.uint16) if shards <= 1 << 16 else to  # short numbers are sorted by their digits
     order = np.argsort(to, kind="stable")
     dest, start = np.unique(to[order], return_index=True)
     parts = np.split(rows[order], start[1:]) if len(dest) else []
@@ -191,7 +232,7 @@ def _runs_dtype(window: int) -> np.dtype:
 
 def _shared_leaders(t: pa.Table) -> pa.Table:
     a, src = _unpack(t, np.dtype("<u8"))
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a)
     a, src = a[order], src[order]
     same = a[1:] == a[:-1]
     met = np.r_[False, same] | np.r_[same, False]
@@ -223,22 +264,26 @@ def refined(texts: np.ndarray, window: int) -> np.ndarray:
     and on that of the position ``width`` bytes on, and what comes of it is the bucket that the next, twice as
     wide refinement sorts on, here and at later offsets alike; the last one overlaps."""
     wide, width = texts.shape[1], 8
-    bucket = np.zeros((len(texts), wide - 7), np.uint64)
+    grams = np.zeros((len(texts), wide - 7), np.uint64)
     for k in range(8):
-        bucket = bucket << np.uint64(8) | texts[:, k : wide - 7 + k]
+        grams = grams << np.uint64(8) | texts[:, k : wide - 7 + k]
+    bucket = _numbered(grams)
     while width < window:
         further = min(width, window - width)
-        here, later = bucket[:, :-further].reshape(-1), bucket[:, further:].reshape(-1)
-        order = np.lexsort((later, here))
-        new = np.zeros(len(order), bool)
-        new[1:] = (here[order][1:] != here[order][:-1]) | (later[order][1:] != later[order][:-1])
-        out = np.empty(len(order), np.uint64)
-        out[order] = np.cumsum(new).astype(np.uint64)
-        bucket = out.reshape(len(texts), -1)
+        bucket = _numbered(bucket[:, :-further] << np.uint64(32) | bucket[:, further:])
         width += further
     return bucket
 
 
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct ones, which are fewer than 2 ** 32."""
+    flat = keys.reshape(-1)
+    order = np.argsort(flat)
+    out = np.empty(len(flat), np.uint64)
+    out[order] = (np.cumsum(_begins(flat[order])) - 1).astype(np.uint64)
+    return out.reshape(keys.shape)
+
+
 def _resolved_windows(window: int) -> Callable[[pa.Table], pa.Table]:
     kind = _runs_dtype(window)
 
@@ -260,11 +305,13 @@ def _resolved_windows(window: int) -> Callable[[pa.Table], pa.Table]:
             own = np.repeat(np.arange(len(r)), n)
             step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             name = refined(r["t"], window)[own, step]
-            by = np.lexsort((r["d"][own], name, r["r"][own]))
-            o, w = own[by], name[by]
-            new = np.r_[True, (w[1:] != w[:-1]) | (r["r"][o][1:] != r["r"][o][:-1])]
-            least = r["d"][o][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = least < r["d"][o]
+            leader = (np.cumsum(_begins(r["r"])) - 1).astype(np.uint64)[own]
+            key = leader << np.uint64(32) | name
+            by = np.argsort(key)
+            o, new = own[by], _begins(key[by])
+            d = r["d"][o]
+            least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+            gone = least < d
             bits = np.left_shift(np.uint32(1), step[by][gone].astype(np.uint32))
             got = np.zeros(len(r), np.uint32)
             np.bitwise_or.at(got, o[gone], bits)
@@ -312,7 +359,8 @@ def remove_repeats(docs: DataFrame, ws: Workspace, window: int = 50, text: str =
         return int(key[0].as_py())
 
     def send_leaders(key, t):
-        a = np.unique(Batch(t, window).leader)
+        a = np.sort(Batch(t, window, named=False).leader)
+        a = a[_begins(a)]
         return _deal(batch_of(key), a, a, shards)
 
     def send_runs(key, t, met):

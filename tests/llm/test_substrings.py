@@ -87,3 +87,31 @@ def test_leaders_of_other_widths_equal_brute_force(spark, docs, ws, monkeypatch,
     rows = [(k, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + shared[(at := rng.randrange(500)) : at + rng.randrange(20, 300)] + "q" * rng.randrange(80)) for k in range(40)]
     got = substrings.remove_repeats(docs(rows), ws, width).collect()
     assert sorted((r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute([(i, t.encode()) for i, t in rows], width)
+
+
+def test_blocks_are_seamless_and_small(monkeypatch):
+    """Runs don't depend on where blocks end, and naming a batch takes little more than the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.choice([0, 3, 49, 50, 51, 400]))) for _ in range(300)] + [b"q" * 500, b"xy" * 300]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "data": pa.array(texts, pa.binary())})
+    want = substrings.Batch(table, 50)
+    for block in (64, 701, 5000):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        got = substrings.Batch(table, 50)
+        assert all(np.array_equal(getattr(want, k), getattr(got, k)) for k in ("lo", "n", "leader", "doc", "name"))
+    held = sum(int(n) - 49 for n in want.lengths if n >= 50)
+    assert want.n.sum() == held and want.n.max() <= substrings.most_run(50)
+
+    monkeypatch.undo()
+    text = random.Random(5).randbytes(3 << 20)
+    long = pa.table({"doc_id": pa.array([1], pa.int64()), "data": pa.array([text], pa.binary())})
+    tracemalloc.start()
+    substrings.Batch(long, 50, named=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
