@@ -140,3 +140,50 @@ def test_columns_that_clash(spark, ws):
     df = spark.createDataFrame(rows, "doc_id long, text string, gone long, form string, node long, pos long")
     got = linededup.dedup_lines(df, ws, 2, 30, 1).orderBy("doc_id").collect()
     assert [(r["text"], r["n_removed"], r["gone"], r["form"], r["node"], r["pos"]) for r in got] == [("x" * 40, 0, 5, "a", 1, 2), ("y", 1, 6, "b", 3, 4)]
+
+
+def test_keys_are_code_that_the_jvm_compiles(spark):
+    """HotSpot leaves methods of over 8,000 bytes to its interpreter."""
+    df = spark.createDataFrame([(1, "x" * 40, 40)], "node long, form string, n int")
+    plan = linededup.line_keys(df, 2, 30, 1)._jdf.queryExecution().executedPlan()
+    codes = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_tags_of_keys(spark):
+    """Own keys and probes of the spans of lengths, against those of one number of edits."""
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choice("abé日😀") for _ in range(n))) for i, n in enumerate([0, 1, 14, 15, 16, 29, 30, 31, 32, 60])]
+    df = spark.createDataFrame(rows, "node long, form string").withColumn("n", F.length("form"))
+    want = set()
+    for e, low, high in ((1, 15, 31), (2, 30, 1 << 30)):
+        for r in df.filter((F.col("n") >= low) & (F.col("n") < high)).select("node", linededup.segment_keys(F.col("form"), e).alias("keys")).collect():
+            own = [p[1] == 0 and p[3] == 0 for p in linededup._places(e)]
+            assert sum(own) == e + 1
+            want |= {(k, r["node"] if o else -r["node"] - 1) for k, o in zip(r["keys"], own, strict=True)}
+    assert {(r["key"], r["tag"]) for r in linededup.line_keys(df, 2, 30, 1).collect()} == want
+
+
+def test_counts_and_pieces(spark):
+    """Counts of letters by class, and what a pair within some edits always passes and unlike ones mostly don't."""
+    rng = random.Random(22)
+    pairs = []
+    for k in range(300):
+        a = "".join(rng.choice("abcXYZ019 éİ日") for _ in range(rng.randrange(0, 60)))
+        pairs.append((a, edited(rng, a, k % 3), k % 3))
+    df = spark.createDataFrame(pairs, "a string, b string, k int")
+    for r in df.select("a", F.struct(*linededup._counts(F.col("a"))).alias("c"), F.lower("a").alias("low")).collect():
+        assert list(r["c"]) == [sum(r["low"].count(x) for x in c) for c in linededup._CLASSES], r["a"]
+    assert df.filter((F.col("k") <= 2) & ~linededup.pieces_meet(F.col("a"), F.col("b"), 2)).count() == 0
+    line = "the quick brown fox jumps over the lazy dog"
+    unlike = spark.createDataFrame([(line, line[:20] + line[:19:-1])], "a string, b string")
+    assert unlike.filter(linededup.pieces_meet(F.col("a"), F.col("b"), 2)).count() == 0
+    assert unlike.filter(linededup.linked(F.col("a"), F.col("b"), 2, 30, 1)).count() == 0
+
+
+def test_forms_of_lines(spark):
+    """Ends without ASCII white space, whichever stands there; other white space stays."""
+    rows = [("a",), ("",), (" ",), (" \t\r\x0b\x0c",), (" a b ",), ("a\r",), ("\x0ba",), ("\u00a0a\u3000",), ("日 \t",), ("\x0c日",)]
+    for r in spark.createDataFrame(rows, "t string").select("t", linededup.line_form(F.col("t")).alias("f")).collect():
+        assert r["f"] == r["t"].strip(" \t\r\x0b\x0c")
